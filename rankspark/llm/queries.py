@@ -7,8 +7,8 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import near_duplicates
-from rankspark.sources import articles
+from rankspark.llm import encode, near_duplicates, site_lines
+from rankspark.sources import articles, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,30 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.duplicate_groups(articles(spark, sf_dir, "title", "content"))
 
 
+def _by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir, "content").withColumn("source", F.col("feed_name"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.repeated_places(_by_feed(spark, sf_dir))
+
+
+def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_lines.cleaned(_by_feed(spark, sf_dir))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.token_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups}
+    return {
+        "p2_found": p2_found,
+        "p2_groups": p2_groups,
+        "p5_found": p5_found,
+        "p5_cleaned": p5_cleaned,
+        "p6_ids": p6_ids,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
