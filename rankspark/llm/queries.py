@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import encode, near_duplicates, site_lines
+from rankspark.llm import encode, garbled, near_duplicates, site_lines
 from rankspark.sources import articles, table
 
 
@@ -35,6 +35,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.found(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.restored(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -42,6 +50,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
         "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_restored": p8_restored,
     }
 
 
