@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import encode, garbled, near_duplicates, site_lines
+from rankspark.llm import encode, garbled, mixing, near_duplicates, site_lines
 from rankspark.sources import articles, table
 
 
@@ -35,6 +35,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.found(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
         "p6_ids": p6_ids,
+        "p7_chosen": p7_chosen,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_restored": p8_restored,
     }
