@@ -7,10 +7,25 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import encode, garbled, mixing, near_duplicates, site_lines
+from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines
 from rankspark.sources import articles, table
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "relevance_embeddings").where("model_name = 'cobble-64'")
+    return similar_vectors.usable(rows, 64)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_vectors.neighbours(_vectors(spark, sf_dir), 64, k=5, min_cosine=0.9)
+    return similar_vectors.neighbour_pairs(found, 0.9)
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_vectors.neighbours(_vectors(spark, sf_dir), 64, k=5, every=50)
+    return found.withColumnsRenamed({"id": "article_id", "neighbour": "neighbour_id"})
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.group_pairs(near_duplicates.duplicate_groups(articles(spark, sf_dir, "title", "content")))
 
@@ -53,6 +68,8 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
         "p5_found": p5_found,
