@@ -32,8 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder; the table read back and its path."""
+def stored(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder, one folder a value of ``by``; the table read back and its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
