@@ -65,7 +65,7 @@ BLOCK_ARTICLES = 12_500
 _ONE = np.uint64(1)
 
 
-def _sketch(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Two bits of the smallest hash in each of 128 bins: (n, 4) words, even columns the low bits."""
     bins = (h >> np.uint64(W.HASH_BITS - 7)).astype(np.int64)
     cell = doc * BINS + bins
@@ -144,7 +144,7 @@ def _emit(blocks: int, min_words: int):
             if not len(h):
                 continue
             n = len(ids)
-            sketch = _sketch(doc, h, n)
+            sketch = sketches(doc, h, n)
             key, owner = _segment_keys(doc, h, anchor, n)
             block = (key >> np.uint64(40)) % np.uint64(blocks)
             order = np.argsort(block * np.uint64(1 << 17) + owner.astype(np.uint64))
@@ -163,7 +163,7 @@ def _emit(blocks: int, min_words: int):
     return run
 
 
-def _matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of sketches agree in enough bins: half of the bins first, then all."""
     half = np.bitwise_count((a[:, 0] ^ b[:, 0]) | (a[:, 1] ^ b[:, 1]))
     ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF)
@@ -182,7 +182,7 @@ def _leaders(members: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarr
     while len(left) > 1:
         lead, left = left[0], left[1:]
         a = np.broadcast_to(sketch[lead], (len(left), 4))
-        ok = _matching(a, sketch[left])
+        ok = matching(a, sketch[left])
         if len(ok):
             yield np.full(len(ok), lead), left[ok]
             s = sketch[left[ok]]
@@ -220,7 +220,7 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
         at = at[at + gap < end[at]]
         for piece in np.array_split(at, len(at) // 500_000 + 1):
             a, b = owner[piece], owner[piece + gap]
-            ok = _matching(sketch[a], sketch[b])
+            ok = matching(sketch[a], sketch[b])
             if len(ok):
                 keep(a[ok], b[ok])
         gap += 1

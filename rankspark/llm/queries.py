@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines
+from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines, split_overlap
 from rankspark.sources import articles, table
 
 
@@ -34,6 +34,20 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.duplicate_groups(articles(spark, sf_dir, "title", "content"))
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, splits = articles(spark, sf_dir, "title", "content"), table(spark, sf_dir, "article_splits")
+    return split_overlap.split_overlaps(rows, splits), rows, splits
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _overlaps(spark, sf_dir)[0]
+    return found.select(F.least("train_id", "eval_id").alias("article_id_a"), F.greatest("train_id", "eval_id").alias("article_id_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlap_report(*_overlaps(spark, sf_dir))
+
+
 def _by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir, "content").withColumn("source", F.col("feed_name"))
 
@@ -72,6 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
         "p2_groups": p2_groups,
+        "p3_found": p3_found,
+        "p3_report": p3_report,
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
         "p6_ids": p6_ids,

@@ -87,7 +87,12 @@ def shingles(flat: np.ndarray, counts: np.ndarray, width: int = 3) -> tuple[np.n
         anchor = np.minimum(anchor, flat[k : n + k])
     inside = doc[:n] == doc[width - 1 :]
     h, anchor, doc = mix(h[inside]) & _MASK, anchor[inside], doc[:n][inside]
-    # a batch has fewer than 2^16 documents: one key sorts by document and hash
+    if len(counts) > 1 << 64 - HASH_BITS:
+        order = np.lexsort((h, doc))
+        doc, h, anchor = doc[order], h[order], anchor[order]
+        fresh = np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]
+        return doc[fresh], h[fresh], anchor[fresh]
+    # up to 2^16 documents: one key sorts by document and hash
     key = (doc.astype(np.uint64) << np.uint64(HASH_BITS)) | h
     key, first = np.unique(key, return_index=True)
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & _MASK, anchor[first]
