@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines, split_overlap
+from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines, split_overlap, truncation
 from rankspark.sources import articles, table
 
 
@@ -52,6 +52,14 @@ def _by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir, "content").withColumn("source", F.col("feed_name"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_off(_by_feed(spark, sf_dir))
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(_by_feed(spark, sf_dir)).withColumnRenamed("source", "feed_name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.repeated_places(_by_feed(spark, sf_dir))
 
@@ -88,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_report": p3_report,
+        "p4_found": p4_found,
+        "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_cleaned": p5_cleaned,
         "p6_ids": p6_ids,
