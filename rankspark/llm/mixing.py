@@ -134,7 +134,8 @@ def source_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     # partial sums are taken before the shuffle, so a source with a third of all rows is no hot spot
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     plan = goals.join(have, "source", "left").fillna(0, ["available", "documents"])
-    plan = plan.crossJoin(plan.agg(F.sum("available").alias("total"))).withColumn("need", F.col("target_share") * F.col("total"))
+    total = plan.agg(F.coalesce(F.sum("available"), F.lit(0))).scalar()
+    plan = plan.withColumn("total", total).withColumn("need", F.col("target_share") * F.col("total"))
     ratio = F.when(F.col("available") > 0, F.col("need") / F.col("available"))
     # a need above what all repeats give can't be met; one token is the tolerance of the shares' rounding
     plan = plan.withColumn("reachable", F.col("need") <= F.col("available") * F.col("max_repeats") + 1)
@@ -158,7 +159,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, path: str = RA
     every = rows.where("p = 0").unionByName(drawn.where("p = 0 or p = 1")).unionByName(open_)
     chosen = every.select("doc_id", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("uses")).where("uses > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.sum("uses").alias("uses"))
-    report = plan.join(got, "source", "left").fillna(0, ["tokens", "uses"]).crossJoin(got.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("mixed")))
+    mixed = got.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    report = plan.join(got, "source", "left").fillna(0, ["tokens", "uses"]).withColumn("mixed", mixed)
     report = report.select(
         "source", "target_share", "max_repeats", "documents", "available", F.col("need").alias("target_tokens"), "tokens", "uses",
         F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).alias("actual_share"),
