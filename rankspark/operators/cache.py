@@ -21,6 +21,7 @@ def with_cache_state(texts: DataFrame, cache: DataFrame, key: dict, dimensions:
     another hash or length is stale; without a row it is a miss.  A null text
     has a null hash and never hits.
     """
+    texts = texts.drop("cache_state", "embedding")
     hashed = texts if "text_hash" in texts.columns else texts.withColumn("text_hash", text_hash(F.col("text")))
     known = embeddings_of(hashed, cache, key).withColumnsRenamed({"text_hash": "cached_hash", "embedding": "cached"}).withColumn("_known", F.lit(True))
     state = F.when(F.col("_known").isNull(), "miss").when((F.col("cached_hash") == F.col("text_hash")) & (F.size("cached") == dimensions), "hit").otherwise("stale")

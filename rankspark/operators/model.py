@@ -29,6 +29,7 @@ def sample_weights(rows: DataFrame, excellent: float = 3.0) -> DataFrame:
 
 def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """``rows`` with ``weight``: n / (2 * rows of the class), so that both classes weigh the same."""
+    rows = rows.drop("weight")
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*")).scalar()
     weights = counts.select(label, (total / (2.0 * F.col("_n"))).alias("weight"))
@@ -50,10 +51,12 @@ def fit(rows: DataFrame, c: float, max_iter: int = 4000, intercept: bool = True,
 
 def probabilities(model: LogisticRegressionModel, rows: DataFrame, features: str = "embedding") -> DataFrame:
     """``rows`` with ``p``, the clipped probability of class 1; rows without features get null."""
+    rows = rows.drop("p")
+    model = model.copy().setFeaturesCol("_x").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_prediction")
     ready = rows.withColumn("_x", array_to_vector(F.transform(features, lambda x: x.cast("double"))))
     none = rows.where(F.col(features).isNull()).withColumn("p", F.lit(None).cast("double"))
-    scored = model.setFeaturesCol("_x").transform(ready.where(F.col(features).isNotNull()))
-    return scored.withColumn("p", clipped(vector_to_array("probability")[1])).select(*rows.columns, "p").unionByName(none)
+    scored = model.transform(ready.where(F.col(features).isNotNull()))
+    return scored.withColumn("p", clipped(vector_to_array("_probability")[1])).select(*rows.columns, "p").unionByName(none)
 
 
 # --- artifacts: a folder with the model and its metadata ---

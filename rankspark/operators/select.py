@@ -15,11 +15,14 @@ from __future__ import annotations
 from datetime import datetime
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+
+from rankspark.schema import RELATIONS
 
 # The titles of the two urgency tags, and the user whose tags count.
 URGENCY_TITLES = ("0-urgency", "1-urgency")
 TAG_USER = 1
+COLUMNS = tuple(c.split()[0] for c in RELATIONS["entries"].columns.split(", "))
 
 
 def clock(at: datetime | str) -> Column:
@@ -54,7 +57,8 @@ def current_entries(entries: DataFrame, *columns: str) -> DataFrame:
 def articles(entries: DataFrame, feeds: DataFrame, time_sensitivity: DataFrame | None = None) -> DataFrame:
     """Entries as articles, with the names of the article row; without a score table the score is null."""
     known = feeds.select(F.col("id").alias("feed_id"), F.col("title").alias("feed_name"))
-    rows = entries.join(known, "feed_id")
+    # other columns of the entries, whose names may clash, stay behind
+    rows = entries.select(*[c for c in entries.columns if c in COLUMNS]).join(known, "feed_id")
     if time_sensitivity is None:
         rows = rows.withColumn("time_sensitivity_score", F.lit(None).cast("int"))
     else:

@@ -60,7 +60,7 @@ ARTICLE = (
 )
 
 
-def broken_checks(df: DataFrame, relation: str) -> Column:
+def broken_checks(relation: str) -> Column:
     """Names of the checks that a row breaks, in the order of the relation.  As in SQL, a null breaks none."""
     checks = RELATIONS[relation].checks
     names = [F.when(~F.expr(test), F.lit(name)) for name, test in checks.items()]
@@ -69,15 +69,15 @@ def broken_checks(df: DataFrame, relation: str) -> Column:
 
 def violations(df: DataFrame, relation: str) -> DataFrame:
     """(check, rows): rows of ``df`` that break each check; checks that hold everywhere are absent."""
-    return df.select(F.explode(broken_checks(df, relation)).alias("check")).groupBy("check").agg(F.count("*").alias("rows"))
+    return df.select(F.explode(broken_checks(relation)).alias("check")).groupBy("check").agg(F.count("*").alias("rows"))
 
 
 def valid(df: DataFrame, relation: str) -> DataFrame:
     """The rows that break no check."""
-    return df.where(F.size(broken_checks(df, relation)) == 0)
+    return df.where(F.size(broken_checks(relation)) == 0)
 
 
 def asserted(df: DataFrame, relation: str) -> DataFrame:
     """The same rows; running it fails at the first row that breaks a check."""
-    broken = F.array_join(broken_checks(df, relation), ", ")
+    broken = F.array_join(broken_checks(relation), ", ")
     return df.where(F.when(broken == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{relation}: broken check "), broken)).isNull()))
