@@ -22,7 +22,10 @@ cost-based allocation, exact verification):
    article.  Articles under one key are compared by sketch, and only pairs
    within reach of the threshold go on, once each, to exact verification on the
    full sets.  A key that more than ``HOT`` articles share is worked off through
-   leaders, in time linear in the copies, so no group is expanded to all pairs.
+   leaders, in time linear in the copies.  Of articles with more than ``MANY``
+   near copies (by sketch), those that near copies chain to one leader go on as
+   pairs with their leaders, not with each other: no large group is expanded to
+   all pairs.
 5. Alike pairs are chained by rounds of label minimisation; nothing is collected.
 
 The theoretical budget of the pigeonhole for a Jaccard similarity of 0.5 (as
@@ -56,9 +59,12 @@ SIMILARITY = 0.5
 KEYS = 96
 SEGMENTS = 64
 HOT = 512
+MANY = 64
 #: Bins of the sketch, and the matching bins out of them that a pair needs: 62
 #: lies 3.3 standard deviations below the mean of a pair with similarity 0.5.
 BINS, NEED, NEED_HALF = 128, 62, 25
+#: Matching bins that make near copies: out of reach (4.4 deviations) for a similarity of 0.5.
+NEAR = 104
 #: Articles to one block of keys.
 BLOCK_ARTICLES = 12_500
 
@@ -171,12 +177,27 @@ def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok[half[ok].astype(np.int64) + rest <= BINS - NEED]
 
 
+def _stars(code: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Pairs (a * n + b, a < b) without those that near copies and their leaders chain anyway, where near copies are many."""
+    a, b = np.divmod(code, len(sketch))
+    x, y = sketch[a], sketch[b]
+    near = np.bitwise_count((x[:, ::2] ^ y[:, ::2]) | (x[:, 1::2] ^ y[:, 1::2])).sum(axis=1) <= BINS - NEAR
+    degree = np.bincount(np.concatenate([a[near], b[near]]), minlength=len(sketch))
+    lead = np.arange(len(sketch))
+    np.minimum.at(lead, b[near], a[near])
+    root = lead[lead]
+    while (root != lead[root]).any():
+        root = lead[root]
+    # pairs with the leader stay, and chain what they chain
+    drop = (root[a] == root[b]) & ~(near & (lead[b] == a)) & (np.minimum(degree[a], degree[b]) > MANY)
+    return code[~drop]
+
+
 def _leaders(members: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs within a key shared by many: everyone is compared with leaders only.
 
-    A member that agrees with a leader in over three quarters of the bins is
-    linked to it and leads no comparison itself; near copies so cost one
-    comparison each.
+    A near copy of a leader is linked to it and leads no comparison itself, so
+    near copies cost one comparison each.
     """
     left = members
     while len(left) > 1:
@@ -187,7 +208,7 @@ def _leaders(members: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarr
             yield np.full(len(ok), lead), left[ok]
             s = sketch[left[ok]]
             differ = np.bitwise_count((s[:, ::2] ^ sketch[lead][::2]) | (s[:, 1::2] ^ sketch[lead][1::2])).sum(axis=1)
-            left = np.delete(left, ok[differ < BINS // 4])
+            left = np.delete(left, ok[differ <= BINS - NEAR])
 
 
 def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
@@ -207,10 +228,9 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     found = []
 
     def keep(a: np.ndarray, b: np.ndarray) -> None:
-        code = a * len(ids) + b
-        found.append(np.unique(code))
+        found.append(np.unique(a * len(ids) + b))
         if sum(map(len, found)) > 2_000_000:
-            found[:] = [np.unique(np.concatenate(found))]
+            found[:] = [_stars(np.unique(np.concatenate(found)), sketch)]
 
     cold = np.repeat((count >= 2) & (count <= HOT), count)
     end = np.repeat(edge[1:], count)
@@ -227,7 +247,7 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     for g in np.flatnonzero(count > HOT):
         for a, b in _leaders(owner[edge[g] : edge[g + 1]], sketch):
             keep(np.minimum(a, b), np.maximum(a, b))
-    code = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    code = _stars(np.unique(np.concatenate(found)), sketch) if found else np.empty(0, np.int64)
     return pd.DataFrame({"a": ids[code // len(ids)], "b": ids[code % len(ids)]})
 
 
@@ -285,8 +305,8 @@ def alike_pairs(articles: DataFrame, similarity: float = SIMILARITY, min_words:
 def duplicate_groups(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(article_id, group_id, links) of each article in a group of two or more; a group is named by its smallest id.
 
-    ``links`` counts the verified links of the article (under a key shared by
-    very many, links to a leader stand for all links between near copies).
+    ``links`` counts the verified links of the article (among more than ``MANY``
+    near copies, links to leaders stand for those between the copies).
     """
     links = cut(alike_pairs(articles, similarity, min_words).select("a", "b"))
     members = components(links)

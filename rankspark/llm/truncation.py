@@ -7,8 +7,9 @@ record is scored.
 
 1. Site matter at the end of texts is found by counting: a closing line that
    stands in at least ``SITE_ARTICLES`` articles and ``SITE_PER_CENT`` % of its
-   source's articles (compared without markup, case and digits) is the site's,
-   and so is a last line that only begins like one.
+   source's articles (in small sources, fewer that are a larger share; compared
+   without markup, case and digits) is the site's, and so is a last line that
+   only begins like one.
 2. What is left after the site's lines, markup, and leftovers of a cut (ellipsis
    marks, half tags, half entities, a broken character) is the author's text.
    Positions where suspiciously many texts of a source end are its limits.
@@ -45,11 +46,15 @@ from rankspark.llm.site_lines import plain_line
 from rankspark.sources.shared import stored
 
 SITE_ARTICLES, SITE_PER_CENT = 8, 2
+#: In small sources fewer articles do, if they are a larger share.
+SMALL_ARTICLES, SMALL_PER_CENT = 3, 10
 #: Closing lines of an article that are looked at for site matter.
 CLOSING = 8
 LIMIT_ARTICLES, LIMIT_PER_CENT = 6, 2
 SAMPLE = 20_000
 FEATURES = 1 << 14
+#: Probability from which an intact record is doubted after the first fit.
+DOUBT = 0.4
 SEED = 42
 
 _BREAK = re.compile(r"\n|<br\s*/?>|</(?:p|div|li|h\d)\s*>", re.I)
@@ -121,7 +126,8 @@ def features(lines: list[str], left: str, at_limit: bool) -> list[str]:
     final = _class(core[-1]) if core else "none"
     ended = core[-1:] in _END and bool(core)
     out = [f"final={final}", f"shape={shape[-1:]}", f"shape2={shape[-2:]}", f"shape4={shape}", f"ended={ended}", f"left={left}", f"left={bool(left)}:ended={ended}", f"limit={at_limit}", f"limit={at_limit}:ended={ended}"]
-    out.append("last=" + re.sub(r"\d+", "0", last.lower())[-12:])
+    # short words and abbreviations by name; of longer ones only the end, which many share
+    out.append("last=" + (re.sub(r"\d+", "0", last.lower()) if len(last) <= 4 or last[-1:] == "." and len(last) <= 8 else "*" + last[-1:]))
     out.append(f"lastlen={min(len(last), 4)}:{final}")
     out.append(f"words={min(len(words), 12)}:{ended}")
     # a quote or bracket that stays open; the dot of an abbreviation has its word before it
@@ -130,7 +136,7 @@ def features(lines: list[str], left: str, at_limit: bool) -> list[str]:
     out.append(f"straight={body.count(chr(34)) % 2}:{ended}")
     line = " ".join("".join(map(_class, w)) for w in words[:2])
     out.append("begin=" + re.sub(r"(.)\1+", r"\1", line)[:12])
-    out.append("first=" + (words[0].lower()[:10] if words else ""))
+    out.append("first=" + (words[0].lower() if words and len(words[0]) <= 3 else ""))
     if len(words) <= 8:
         out.append("form=" + re.sub(r"(.)\1+", r"\1", " ".join("".join(map(_class, w)) for w in words))[:40])
     previous = lines[-2].rstrip() if len(lines) > 1 else ""
@@ -156,7 +162,7 @@ def cut_copy(lines: list[str], rng: np.random.Generator) -> tuple[list[str], str
         rest = tail.lstrip(_AFTER_END + " ")
         inside = rest and not (closed and closed in _END and not (rest[0].islower() or rest[0].isdigit()))
         if head and inside:
-            left = ("", "", "mark", "mark", "tag", "entity", "broken")[int(rng.integers(7))]
+            left = ("", "", "", "", "", "mark", "mark", "tag", "entity", "broken")[int(rng.integers(10))]
             return lines[:k] + [head], left, bool(rng.random() < 0.4)
     return None
 
@@ -185,8 +191,9 @@ def site_matter(rows: DataFrame) -> DataFrame:
     """(source, site): the closing lines of each source that are the site's; a source has at most
     ``CLOSING * 100 / SITE_PER_CENT`` of them."""
     totals = rows.groupBy("source").agg(F.count("*").alias("total"))
-    counts = rows.where("content is not null").select("source", "content").mapInArrow(_closing, "source string, line string").groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= SITE_ARTICLES)
-    often = counts.join(totals, "source").where(F.col("n") * 100 >= F.col("total") * SITE_PER_CENT)
+    counts = rows.where("content is not null").select("source", "content").mapInArrow(_closing, "source string, line string").groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min(SITE_ARTICLES, SMALL_ARTICLES))
+    share = lambda n, per_cent: (F.col("n") >= n) & (F.col("n") * 100 >= F.col("total") * per_cent)
+    often = counts.join(totals, "source").where(share(SITE_ARTICLES, SITE_PER_CENT) | share(SMALL_ARTICLES, SMALL_PER_CENT))
     return often.groupBy("source").agg(F.collect_list("line").alias("site"))
 
 
@@ -257,11 +264,14 @@ def scored(articles: DataFrame) -> DataFrame:
     made = known.where("content is not null").select("article_id", "content", "site", "limits").mapInArrow(_featured(share), "article_id long, label double, words array<string>")
     made, _ = stored(made, "features")
     hashing = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES, binary=True)
-    train = hashing.transform(made.where("label is not null").select("label", "words"))
+    train = hashing.transform(made.where("label is not null").select("article_id", "label", "words")).persist()
     every = hashing.transform(made.where("article_id is not null").select("article_id", "words").dropDuplicates(["article_id"]))
     if train.select("label").distinct().count() < 2:
         return every.select("article_id", F.lit(0.0).alias("probability"))
-    model = LogisticRegression(regParam=1e-4, maxIter=60, standardization=False).fit(train.coalesce(4).persist())
+    fit = LogisticRegression(regParam=1e-3, maxIter=60, standardization=False).fit
+    # intact records that the first model takes for cut ones are most likely that: they go, and it is fitted again
+    doubted = fit(train).transform(train).where((F.col("label") == 0) & F.col("article_id").isNotNull() & (vector_to_array("probability")[1] >= DOUBT))
+    model = fit(train.join(doubted.select("article_id", F.lit(True).alias("doubted")), "article_id", "left").where("doubted is null"))
     train.unpersist()
     return model.transform(every).select("article_id", vector_to_array("probability")[1].alias("probability"))
 

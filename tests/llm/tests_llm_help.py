@@ -1,0 +1 @@
+from test_near_duplicates import brute_pairs  # noqa: F401
