@@ -18,8 +18,9 @@ cost-based allocation, exact verification):
    4 to 9 shingles, so short articles, which have few segments, get the
    neighbourhoods.  Above ``SEGMENTS`` segments a step, the first ones are used:
    a pair at the threshold keeps a tenth of its segments or more intact.
-4. Keys travel in binary blocks by key range, with a 256-bit sketch of each
-   article.  Articles under one key are compared by sketch, and only pairs
+4. Of articles with the same set in a batch one goes on and the others are linked
+   to it, so a hot group of copies shrinks before the shuffle.  Keys travel in
+   binary blocks by key range, with a 256-bit sketch of each article.  Articles under one key are compared by sketch, and only pairs
    within reach of the threshold go on, once each, to exact verification on the
    full sets.  A key that more than ``HOT`` articles share is worked off through
    leaders, in time linear in the copies.  Of articles with more than ``MANY``
@@ -128,27 +129,26 @@ def _segment_keys(doc: np.ndarray, h: np.ndarray, anchor: np.ndarray, n: int) ->
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def article_shingles(batch: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, document index, shingle, anchor) of the articles of a batch that have enough words."""
-    ids, seen, texts = [], set(), []
-    for i, title, content in zip(batch.column("article_id").to_pylist(), batch.column("title").to_pylist(), batch.column("content").to_pylist()):
-        if i is None or i in seen:
-            continue
-        body = W.content_words(content)
-        if len(body) >= min_words:
-            seen.add(i)
-            ids.append(i)
-            texts.append(W.title_words(title) + body)
-    doc, h, anchor = W.shingles(*W.word_hashes(texts))
-    return np.array(ids, np.int64), doc, h, anchor
-
-
 def _emit(blocks: int, min_words: int):
+    binary = ("ids", "sketches", "owners", "keys", "copies")
+    schema = pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in binary])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, doc, h, anchor = article_shingles(batch, min_words)
+            ids, flat, counts = W.article_words(batch, min_words)
+            doc, h, anchor = W.shingles(flat, counts)
             if not len(h):
                 continue
+            # of articles with the same set in a batch, one goes on and the others are linked to it
+            total = np.zeros(len(ids), np.uint64)
+            np.add.at(total, doc, W.mix(h))
+            _, first, kind = np.unique(total, return_index=True, return_inverse=True)
+            leader = ids[first][kind]
+            alone = np.isin(np.arange(len(ids)), first) & (np.bincount(doc, minlength=len(ids)) > 0)
+            copies = np.stack([leader, ids], axis=1)[(leader != ids) & (np.bincount(doc, minlength=len(ids)) > 0)]
+            keep = alone[doc]
+            place = np.cumsum(alone) - 1
+            ids, doc, h, anchor = ids[alone], place[doc[keep]], h[keep], anchor[keep]
             n = len(ids)
             sketch = sketches(doc, h, n)
             key, owner = _segment_keys(doc, h, anchor, n)
@@ -156,7 +156,7 @@ def _emit(blocks: int, min_words: int):
             order = np.argsort(block * np.uint64(1 << 17) + owner.astype(np.uint64))
             key, owner, block = key[order], owner[order], block[order].astype(np.int64)
             edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-            rows: dict[str, list] = {c: [] for c in ("block", "ids", "sketches", "owners", "keys")}
+            rows: dict[str, list] = {c: [] for c in ("block", *binary)}
             for a, b in zip(edge[:-1], edge[1:]):
                 here, position = np.unique(owner[a:b], return_inverse=True)
                 rows["block"].append(int(block[a]))
@@ -164,7 +164,14 @@ def _emit(blocks: int, min_words: int):
                 rows["sketches"].append(sketch[here].tobytes())
                 rows["owners"].append(position.astype(np.uint16).tobytes())
                 rows["keys"].append(key[a:b].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in ("ids", "sketches", "owners", "keys")]))
+                rows["copies"].append(copies[copies[:, 0] % blocks == block[a]].tobytes())
+            # links of copies whose block got no key here
+            rest = copies[~np.isin(copies[:, 0] % blocks, block[edge[:-1]])] if len(key) else copies
+            if len(rest):
+                for c in binary:
+                    rows[c].append(rest.tobytes() if c == "copies" else b"")
+                rows["block"].append(int(rest[0, 0] % blocks))
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     return run
 
@@ -221,9 +228,9 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     owner, ids, sketch = np.searchsorted(first, ids)[owner], first, sketch[where]
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][: len(key)]
     key, owner = key[fresh], owner[fresh]
-    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
     count = np.diff(edge)
     found = []
 
@@ -248,21 +255,24 @@ def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
         for a, b in _leaders(owner[edge[g] : edge[g + 1]], sketch):
             keep(np.minimum(a, b), np.maximum(a, b))
     code = _stars(np.unique(np.concatenate(found)), sketch) if found else np.empty(0, np.int64)
-    return pd.DataFrame({"a": ids[code // len(ids)], "b": ids[code % len(ids)]})
+    copies = np.concatenate([np.frombuffer(x, np.int64) for x in frame["copies"]]).reshape(-1, 2)
+    a, b = np.concatenate([ids[code // max(1, len(ids))], copies.min(axis=1)]), np.concatenate([ids[code % max(1, len(ids))], copies.max(axis=1)])
+    return pd.DataFrame({"a": a, "b": b})[a != b]
 
 
 def candidate_pairs(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Pairs (a < b) of articles that may be alike; each once."""
     rows = articles.select("article_id", "title", "content")
     blocks = 16 + rows.count() // BLOCK_ARTICLES
-    keyed = rows.mapInArrow(_emit(blocks, min_words), "block int, ids binary, sketches binary, owners binary, keys binary")
+    keyed = rows.mapInArrow(_emit(blocks, min_words), "block int, ids binary, sketches binary, owners binary, keys binary, copies binary")
     return keyed.groupBy("block").applyInPandas(_candidates, "a long, b long").distinct()
 
 
 def _sets(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, doc, h, _ = article_shingles(batch, min_words)
+            ids, flat, counts = W.article_words(batch, min_words)
+            doc, h, _ = W.shingles(flat, counts)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
             yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
 
@@ -305,8 +315,10 @@ def alike_pairs(articles: DataFrame, similarity: float = SIMILARITY, min_words:
 def duplicate_groups(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(article_id, group_id, links) of each article in a group of two or more; a group is named by its smallest id.
 
-    ``links`` counts the verified links of the article (among more than ``MANY``
-    near copies, links to leaders stand for those between the copies).
+    ``links`` counts the verified links of the article.  Links between different
+    texts stand between representatives: copies of one set in a batch have one
+    link, to the first of them, and among more than ``MANY`` near copies links to
+    leaders stand for those between the copies.
     """
     links = cut(alike_pairs(articles, similarity, min_words).select("a", "b"))
     members = components(links)

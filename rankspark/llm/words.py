@@ -12,13 +12,14 @@ import html
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 MARK = re.compile(r"\[\d+\]|\(TS:\s*\d+\)")
 TAG = re.compile(r"<[^>]*>")
 WORD = re.compile(r"[^\W_]+")
 #: Words kept in a worker's hash table before it is emptied: memory stays bounded.
-TABLE = 1_000_000
+TABLE = 300_000
 HASH_BITS = 48
 _MASK = np.uint64((1 << HASH_BITS) - 1)
 
@@ -63,6 +64,38 @@ def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
+def article_words(batch: pa.RecordBatch, min_words: int, piece: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, word hashes, words of each) of the articles of a batch with ``min_words`` words of content or more.
+
+    A null id is left out and of an id's rows the first counts.  Words exist as
+    strings for ``piece`` articles at a time only.
+    """
+    ids: list[int] = []
+    seen: set[int] = set()
+    flats, counts = [], []
+    for start in range(0, batch.num_rows, piece):
+        part, texts = batch.slice(start, piece), []
+        for i, title, content in zip(part.column("article_id").to_pylist(), part.column("title").to_pylist(), part.column("content").to_pylist()):
+            if i is None or i in seen:
+                continue
+            body = content_words(content)
+            if len(body) >= min_words:
+                seen.add(i)
+                ids.append(i)
+                texts.append(title_words(title) + body)
+        flat, count = word_hashes(texts)
+        flats.append(flat)
+        counts.append(count)
+    none = np.empty(0, np.uint64)
+    return np.array(ids, np.int64), np.concatenate([none, *flats]), np.concatenate([np.empty(0, np.int64), *counts])
+
+
+def text_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each article's whole sequence of words."""
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    return np.array([xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:])], np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (public-domain splitmix constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
