@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from pathlib import Path
 
 import pyspark.sql.functions as F
 from pyspark.ml.classification import LogisticRegressionModel
@@ -122,6 +123,32 @@ def evaluate_relevance(tables: Tables, config: Config, make: Callable[[], Encode
     return M.binary_metrics(H.probabilities(model, held).select("label", "p"))
 
 
+def evaluate_urgency(tables: Tables, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str) -> DataFrame | None:
+    """Metrics of a head trained without a stratified hold-out; none without rows, with too few of them, or a class of fewer than two."""
+    k = config.validation_size
+    rows, _ = embedded(urgency_set(tables), tables, config, make, dimensions, as_of)
+    counts = [r[1] for r in D.class_counts(rows).collect()]
+    if k < 2 or sum(counts) <= k or min(counts) < 2:
+        return None
+    held = D.stratified_holdout(rows, k)
+    model = H.fit(H.balanced_weights(D.rest_of(rows, held)), config.urgency_linear_c)
+    return M.binary_metrics(H.probabilities(model, held).select("label", "p"))
+
+
+def load_or_train(path: str, train: Callable[[], LogisticRegressionModel], **metadata) -> LogisticRegressionModel:
+    """The model at ``path``, trained and saved there first if there is none."""
+    if not Path(path).exists():
+        H.save(train(), path, **metadata)
+    return H.load(path)[0]
+
+
+def infer(tables: Tables, model: LogisticRegressionModel, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str, days: int = 14) -> DataFrame:
+    """(article_id, p, score) of the recent unread articles by one head, without decay."""
+    rows = R.recent_unread(tables.articles(), as_of, days).withColumn("title", T.clean_title(F.col("title")))
+    rows, _ = embedded(rows, tables, config, make, dimensions, as_of)
+    return H.probabilities(model, rows).select("article_id", "p", S.to_score(F.col("p")).alias("score"))
+
+
 def evaluation_row(metrics: DataFrame, model: str, on: str, training: dict[str, int], evaluation: dict[str, int]) -> DataFrame:
     """The row of the history of evaluations."""
     counts = lambda d: F.create_map(*[x for k, n in d.items() for x in (F.lit(k), F.lit(n))]).cast("map<string,int>")

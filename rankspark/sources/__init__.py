@@ -1 +1 @@
-from rankspark.sources.tables import articles, table  # noqa: F401
+from rankspark.sources.tables import articles, jdbc, register, sql, table  # noqa: F401

@@ -21,3 +21,22 @@ def articles(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     feeds = table(spark, sf_dir, "feeds").select(F.col("id").alias("feed_id"), F.col("title").alias("feed_name"))
     entries = table(spark, sf_dir, "entries").select(F.col("id").alias("article_id"), "feed_id", *columns)
     return entries.join(feeds, "feed_id")
+
+
+def jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a database, read in ``partitions`` ranges of a numeric column; filters and columns are pushed down."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if column:
+        reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions)
+    return reader.load()
+
+
+def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Tables as temporary views, for SQL."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def sql(spark: SparkSession, query: str, **values) -> DataFrame:
+    """A statement over registered views with named parameters (``:name``), bound as values and never as text."""
+    return spark.sql(query, args=values)

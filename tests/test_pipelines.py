@@ -7,7 +7,7 @@ import pytest
 from rankspark.config import Config
 from rankspark.operators.encode import HashingEncoder
 from rankspark.plans import pipelines as P
-from rankspark.sources import table
+from rankspark.sources import register, sql, table
 from rankspark.streaming import labels as S
 
 AS_OF = "2024-02-01 00:00:00"
@@ -55,6 +55,30 @@ def test_train_refresh_and_evaluate(spark, tables):
     assert P.evaluate_relevance(tables, Config(relevance_max_length=64, validation_size=100_000), make, 16, AS_OF) is None
 
 
+def test_evaluate_infer_and_reuse(spark, tables, tmp_path):
+    config = Config(relevance_max_length=32, validation_size=4)
+    assert P.evaluate_urgency(tables, config, make, 16, AS_OF).count() == 1
+    for size in (0, 1, 100_000):
+        assert P.evaluate_urgency(tables, Config(relevance_max_length=32, validation_size=size), make, 16, AS_OF) is None
+    path, calls = str(tmp_path / "model"), []
+
+    def train():
+        calls.append(1)
+        return P.train_urgency(tables, Config(relevance_max_length=32), make, 16, AS_OF)[0]
+
+    models = [P.load_or_train(path, train, c=1.0) for _ in range(2)]
+    assert len(calls) == 1 and models[0].coefficients == models[1].coefficients
+    scores = P.infer(tables, models[1], config, make, 16, AS_OF, days=60)
+    assert scores.where("score between 0 and 100").count() == scores.count() > 0
+
+
+def test_sql_over_views(spark, data):
+    register(spark, data, "entries", "feeds")
+    query = "select count(*) n from entries e join feeds f on f.id = e.feed_id where status = :status and array_contains(:votes, vote)"
+    n = sql(spark, query, status="read", votes=F.array(F.lit(0), F.lit(1))).first()["n"]
+    assert n == table(spark, data, "entries").join(table(spark, data, "feeds").withColumnRenamed("id", "feed_id").drop("title"), "feed_id").where("status = 'read' and vote in (0, 1)").count() > 0
+
+
 def test_labels_and_tags(spark, tables):
     labels = spark.createDataFrame([], "article_id long, score short")
     new, links, rejects = P.label_simplified(tables, labels, labeller, AS_OF)
