@@ -113,17 +113,17 @@ def cell_of(tree, points: np.ndarray) -> np.ndarray:
 class Cell:
     """The vectors of one cell in leaf order, with the leaves' boxes in the projection."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, projector: np.ndarray):
-        self.ids, self.vectors, self.projected = ids, vectors, vectors @ projector
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sizes: np.ndarray, projector: np.ndarray, asks: np.ndarray | None = None):
+        self.ids, self.vectors, self.projected, self.asks = ids, vectors, vectors @ projector, asks
         self.edge = np.concatenate([[0], np.cumsum(sizes)])
         self.low = np.minimum.reduceat(self.projected, self.edge[:-1], axis=0)
         self.high = np.maximum.reduceat(self.projected, self.edge[:-1], axis=0)
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, projector: np.ndarray, leaf: int = LEAF) -> Cell:
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, projector: np.ndarray, leaf: int = LEAF, asks: np.ndarray | None = None) -> Cell:
         leaves = split(vectors @ projector, leaf)
         order = np.concatenate(leaves)
-        return cls(ids[order], vectors[order], np.array([len(x) for x in leaves], np.int64), projector)
+        return cls(ids[order], vectors[order], np.array([len(x) for x in leaves], np.int64), projector, None if asks is None else asks[order])
 
     def distances(self, queries: np.ndarray) -> np.ndarray:
         """Squared projected distance of each query to each leaf's box."""
@@ -211,15 +211,16 @@ def _to_cells(length: int, projector: np.ndarray, tree):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = np.asarray(batch.column(0)), _unit(batch.column(1), length)
+            ids, x, asks = np.asarray(batch.column(0)), _unit(batch.column(1), length), np.asarray(batch.column(2).to_pylist(), np.uint8)
             cell = cell_of(tree, x @ projector)
-            rows: dict[str, list] = {"cell": [], "ids": [], "vectors": []}
+            rows: dict[str, list] = {"cell": [], "ids": [], "vectors": [], "asks": []}
             for c in np.unique(cell):
                 here = cell == c
                 rows["cell"].append(int(c))
                 rows["ids"].append(ids[here].tobytes())
                 rows["vectors"].append(x[here].tobytes())
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("cell", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+                rows["asks"].append(asks[here].tobytes())
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("cell", pa.int32())] + [(c, pa.binary()) for c in ("ids", "vectors", "asks")]))
 
     return run
 
@@ -229,8 +230,8 @@ def _built(length: int, projector: np.ndarray):
         ids = np.frombuffer(b"".join(frame["ids"]), np.int64)
         order = np.argsort(ids)  # the same tree whatever order the pieces come in
         x = np.frombuffer(b"".join(frame["vectors"]), np.float32).reshape(-1, length)[order]
-        cell = Cell.build(ids[order], x, projector)
-        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "ids": [cell.ids.tobytes()], "vectors": [cell.vectors.tobytes()], "sizes": [np.diff(cell.edge).tobytes()]})
+        cell = Cell.build(ids[order], x, projector, asks=np.frombuffer(b"".join(frame["asks"]), np.uint8)[order])
+        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "ids": [cell.ids.tobytes()], "vectors": [cell.vectors.tobytes()], "sizes": [np.diff(cell.edge).tobytes()], "asks": [cell.asks.tobytes()]})
 
     return run
 
@@ -241,11 +242,11 @@ def read_cell(path: str, cell: int, length: int, projector: np.ndarray) -> Cell
     if files.get_file_info(f"{at}/cell={cell}").type == pafs.FileType.NotFound:
         return None
     names = [i.path for i in files.get_file_info(pafs.FileSelector(f"{at}/cell={cell}")) if i.base_name.endswith(".parquet")]
-    row = pq.ParquetFile(files.open_input_file(names[0])).read(columns=["ids", "vectors", "sizes"]).to_pylist()[0]
-    return Cell(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, length), np.frombuffer(row["sizes"], np.int64), projector)
+    row = pq.ParquetFile(files.open_input_file(names[0])).read(columns=["ids", "vectors", "sizes", "asks"]).to_pylist()[0]
+    return Cell(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, length), np.frombuffer(row["sizes"], np.int64), projector, np.frombuffer(row["asks"], np.uint8))
 
 
-def _searcher(path: str, cells: int, length: int, projector: np.ndarray, k: int, min_cosine: float, confidence: float, every: int, blocks: int):
+def _searcher(path: str, cells: int, length: int, projector: np.ndarray, k: int, min_cosine: float, confidence: float, blocks: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for home, block in zip(frame["cell"], frame["block"]):
@@ -253,7 +254,7 @@ def _searcher(path: str, cells: int, length: int, projector: np.ndarray, k: int,
                 if own is None:
                     continue
                 # leaf order keeps neighbours in one block
-                mine = np.flatnonzero(own.ids % every == 0)
+                mine = np.flatnonzero(own.asks)
                 mine = mine[len(mine) * block // blocks : len(mine) * (block + 1) // blocks]
                 if not len(mine):
                     continue
@@ -279,7 +280,11 @@ def neighbours(vectors: DataFrame, length: int, k: int = 5, min_cosine: float =
     keyed, _ = stored(vectors.select("id", "vector", F.xxhash64("vector").alias("copy")), "vectors")
     copies = keyed.groupBy("copy").agg(F.min("id").alias("leader"), F.count("*").alias("members"))
     several, _ = stored(keyed.select("id", "copy").join(copies.where("members > 1"), "copy"), "copies")
-    leaders = keyed.join(several.where("id <> leader").select("id"), "id", "left_anti").select("id", "vector")
+    # a leader answers for its copies: it is a query if its id or one of theirs is asked for; the others are left out
+    asked = F.pmod("id", F.lit(every)) == 0
+    roles = several.groupBy("leader").agg(F.max(asked).alias("ask")).select(F.col("leader").alias("id"), "ask", F.lit(False).alias("out"))
+    roles = roles.unionByName(several.where("id <> leader").select("id", F.lit(False).alias("ask"), F.lit(True).alias("out")))
+    leaders = keyed.join(roles, "id", "left").where(~F.coalesce("out", F.lit(False))).select("id", "vector", (asked | F.coalesce("ask", F.lit(False))).alias("ask"))
     rows = keyed.count()
     projector = directions(length)
     cells = 1 << max(0, math.ceil(math.log2(max(rows, 1) / cell)))
@@ -289,16 +294,13 @@ def neighbours(vectors: DataFrame, length: int, k: int = 5, min_cosine: float =
         x = np.array([r[0] for r in chosen.select("vector").collect()], np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         tree = cell_tree((x @ projector).astype(np.float32), cells)
-    packed = leaders.mapInArrow(_to_cells(length, projector, tree), "cell int, ids binary, vectors binary")
-    packed = packed.groupBy("cell").applyInPandas(_built(length, projector), "cell int, ids binary, vectors binary, sizes binary")
+    packed = leaders.mapInArrow(_to_cells(length, projector, tree), "cell int, ids binary, vectors binary, asks binary")
+    packed = packed.groupBy("cell").applyInPandas(_built(length, projector), "cell int, ids binary, vectors binary, sizes binary, asks binary")
     _, path = stored(packed, "cells", "cell")
     blocks = 1 if every >= 20 else 2
     tasks = spark.range(0, cells * blocks, 1, cells * blocks).select((F.col("id") / blocks).cast("int").alias("cell"), F.pmod("id", F.lit(blocks)).cast("int").alias("block"))
-    ask = every if every > 1 else 1
-    # a leader answers for all its copies, so with copies every leader is a query
-    lone = not several.head(1)
-    found = tasks.mapInPandas(_searcher(path, cells, length, projector, k, min_cosine, confidence, ask if lone else 1, blocks), "id long, neighbour long, cosine double")
-    return found if lone else _with_copies(found, several, k, every)
+    found = tasks.mapInPandas(_searcher(path, cells, length, projector, k, min_cosine, confidence, blocks), "id long, neighbour long, cosine double")
+    return _with_copies(found, several, k, every) if several.head(1) else found
 
 
 def _with_copies(found: DataFrame, several: DataFrame, k: int, every: int) -> DataFrame:

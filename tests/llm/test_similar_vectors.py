@@ -52,6 +52,8 @@ def test_copies_and_ties(spark):
         got.setdefault(r["id"], []).append(r["neighbour"])
     assert all(len(v) == 5 for v in got.values()) and len(got) == 240
     assert got[1] == [2, 3, 4, 5, 6] and got[3] == [1, 2, 4, 5, 6] and got[1000] == [1, 2, 3, 4, 5] and got[40] == [1, 2, 3, 4, 5]
+    some = {(r["id"], r["neighbour"]) for r in V.neighbours(V.usable(make(spark, rows), 64), 64, 5, every=20).collect()}
+    assert some == {(i, j) for i, near in got.items() if i % 20 == 0 for j in near}
     want = brute([r[0] for r in rows], np.array([r[1] for r in rows], np.float32).astype(float), 5)
     same = sum(len(set(got[i]) & {j for j, _ in want[i]}) for i in got if i >= 1001)
     assert same >= 0.95 * 199 * 5
