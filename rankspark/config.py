@@ -61,5 +61,6 @@ class Config:
 
     @property
     def urgency_model_key(self) -> str:
+        # Fixed value: the format of the key under which scores of a configuration are stored.
         c = self
         return "::".join(["urgency-embedding_linear", c.relevance_model_name, str(c.relevance_max_length), c.relevance_text_prep_mode, str(c.relevance_prep_version), f"c={c.urgency_linear_c}"])
