@@ -172,12 +172,17 @@ def embeddings_of(ids: DataFrame, cache: DataFrame, key: dict) -> DataFrame:
     rows = cache
     for column, value in key.items():
         rows = rows.where(F.col(column) == F.lit(value))
-    rows = rows.select("article_id", "text_hash", "embedding", "last_updated").join(ids.select("article_id").distinct(), "article_id", "left_semi")
+    rows = rows.select("article_id", "text_hash", "embedding", "last_updated").join(ids.select("article_id"), "article_id", "left_semi")
     return latest(rows, ["article_id"], ["last_updated", "text_hash"]).select("article_id", "text_hash", "embedding")
 
 
-def urgency_of(ids: DataFrame, inference: DataFrame, model_key: str) -> DataFrame:
-    """(article_id, urgency_score) of the ids that have one of this model; the latest row of a key counts."""
+def latest_urgency(inference: DataFrame, model_key: str) -> DataFrame:
+    """(article_id, urgency_score) of this model; the latest row of a key counts."""
     rows = inference.where(F.col("model_key") == model_key).select("article_id", "urgency_score", "last_updated")
-    rows = rows.join(ids.select("article_id").distinct(), "article_id", "left_semi")
     return latest(rows, ["article_id"], ["last_updated", "urgency_score"]).select("article_id", "urgency_score")
+
+
+def urgency_of(ids: DataFrame, inference: DataFrame, model_key: str) -> DataFrame:
+    """The latest urgency of the ids that have one of this model."""
+    wanted = inference.join(ids.select("article_id"), "article_id", "left_semi")
+    return latest_urgency(wanted, model_key)

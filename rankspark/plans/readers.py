@@ -46,7 +46,7 @@ def _reader(make: Callable[[SparkSession, str, DataFrame], DataFrame]) -> Callab
 def active_set_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The active set with decayed scores: the raw score stands in by a formula on the id."""
     rows = R.active_set(article_rows(spark, d, "feed_id", "published_at", "vote", "starred"), AS_OF).dropDuplicates(["article_id"])
-    urgency = R.urgency_of(rows, table(spark, d, "urgency_inference"), MODEL_KEY)
+    urgency = R.latest_urgency(table(spark, d, "urgency_inference"), MODEL_KEY)
     rows = rows.join(urgency, "article_id", "left").withColumn("raw_score", (F.col("article_id") * 37 % 101).cast("int"))
     score = S.decayed(F.col("raw_score"), S.age_days(R.clock(AS_OF), F.col("date_entered")), F.col("urgency_score"))
     return rows.withColumn("score", score).select("article_id", "feed_name", "date_entered", "urgency_score", "raw_score", "score").orderBy(F.desc("score"), "article_id")
