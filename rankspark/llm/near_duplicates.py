@@ -17,12 +17,13 @@ cost-based allocation, exact verification):
    left of the budget (``KEYS``) goes to one-deletion keys of the segments with
    4 to 9 shingles, so short articles, which have few segments, get the
    neighbourhoods.  Above ``SEGMENTS`` segments a step, the first ones are used:
-   a pair at the threshold keeps a tenth of its segments or more intact.
+   a pair at the threshold keeps a tenth of its segments or more intact.  A set
+   of under ``TINY`` shingles (a text that repeats itself) has a key for each.
 4. Of articles with the same set in a batch one goes on and the others are linked
    to it, so a hot group of copies shrinks before the shuffle.  Keys travel in
-   binary blocks by key range, with a 256-bit sketch of each article.  Articles under one key are compared by sketch, and only pairs
-   within reach of the threshold go on, once each, to exact verification on the
-   full sets.  A key that more than ``HOT`` articles share is worked off through
+   binary blocks by key range, with a 256-bit sketch of each article.  Articles
+   under one key are compared by sketch, and only pairs within reach of the
+   threshold go on, once each, to exact verification on the full sets.  A key that more than ``HOT`` articles share is worked off through
    leaders, in time linear in the copies.  Of articles with more than ``MANY``
    near copies (by sketch), those that near copies chain to one leader go on as
    pairs with their leaders, not with each other: no large group is expanded to
@@ -59,11 +60,17 @@ MIN_WORDS = 20
 SIMILARITY = 0.5
 KEYS = 96
 SEGMENTS = 64
+TINY = 16
 HOT = 512
 MANY = 64
-#: Bins of the sketch, and the matching bins out of them that a pair needs: 62
-#: lies 3.3 standard deviations below the mean of a pair with similarity 0.5.
-BINS, NEED, NEED_HALF = 128, 62, 25
+BINS = 128
+#: Matching bins that a pair of sets needs, by the size of the smaller (the last
+#: for all larger): 3.3 standard deviations, of bins and of small sets, below the
+#: mean of a pair with similarity 0.5, which is 80; in half the bins 4 below 40.
+_SIZE = np.maximum(np.arange(1025), 0.75)
+NEED = np.maximum(0, 80 - 3.3 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
+NEED_HALF = np.maximum(0, 40 - 4 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
+WIDTH = 5
 #: Matching bins that make near copies: out of reach (4.4 deviations) for a similarity of 0.5.
 NEAR = 104
 #: Articles to one block of keys.
@@ -73,7 +80,7 @@ _ONE = np.uint64(1)
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Two bits of the smallest hash in each of 128 bins: (n, 4) words, even columns the low bits."""
+    """Two bits of the smallest hash in each of 128 bins, as four words (even columns the low bits), and the set's size: (n, 5)."""
     bins = (h >> np.uint64(W.HASH_BITS - 7)).astype(np.int64)
     cell = doc * BINS + bins
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
@@ -84,7 +91,13 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
             empty = value[:, c] == 4
             value[empty, c] = value[empty, (c + 1) % BINS]
     planes = [np.packbits((value >> p) & 1, axis=1).view(np.uint64) for p in (0, 1)]
-    return np.ascontiguousarray(np.stack([planes[0][:, 0], planes[1][:, 0], planes[0][:, 1], planes[1][:, 1]], axis=1))
+    size = np.bincount(doc, minlength=n).astype(np.uint64)
+    return np.ascontiguousarray(np.stack([planes[0][:, 0], planes[1][:, 0], planes[0][:, 1], planes[1][:, 1], size], axis=1))
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bins in which sketches differ."""
+    return np.bitwise_count((a[..., 0:4:2] ^ b[..., 0:4:2]) | (a[..., 1:4:2] ^ b[..., 1:4:2])).sum(axis=-1)
 
 
 def _segment_keys(doc: np.ndarray, h: np.ndarray, anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +132,9 @@ def _segment_keys(doc: np.ndarray, h: np.ndarray, anchor: np.ndarray, n: int) ->
         c = cell[roomy[cell]]
         late.append((W.mix(full[c] - (token[t] & np.uint64(0xFFFFFF)) - (((token[t] >> np.uint64(24)) & np.uint64(0xFFFFFF)) << np.uint64(24)) + salt[c]), owner[c]))
         # a full subset of the partner may equal a one-deletion key: both forms live in one key space
+    tiny = np.flatnonzero(size[doc] < 2 * TINY)  # a partner may be twice as large
+    keys.append(W.mix(token[tiny] ^ np.uint64(0x71)))
+    docs.append(doc[tiny])
     for k, d in late:
         wanted = np.bincount(d, minlength=n)
         ok = (wanted <= spare) & (size < 128)
@@ -179,16 +195,17 @@ def _emit(blocks: int, min_words: int):
 def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of sketches agree in enough bins: half of the bins first, then all."""
     half = np.bitwise_count((a[:, 0] ^ b[:, 0]) | (a[:, 1] ^ b[:, 1]))
-    ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF)
+    size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(1024)).astype(np.int64)
+    ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF[size])
     rest = np.bitwise_count((a[ok, 2] ^ b[ok, 2]) | (a[ok, 3] ^ b[ok, 3]))
-    return ok[half[ok].astype(np.int64) + rest <= BINS - NEED]
+    return ok[half[ok].astype(np.int64) + rest <= BINS - NEED[size[ok]]]
 
 
 def _stars(code: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Pairs (a * n + b, a < b) without those that near copies and their leaders chain anyway, where near copies are many."""
     a, b = np.divmod(code, len(sketch))
-    x, y = sketch[a], sketch[b]
-    near = np.bitwise_count((x[:, ::2] ^ y[:, ::2]) | (x[:, 1::2] ^ y[:, 1::2])).sum(axis=1) <= BINS - NEAR
+    # a sketch of a small set says too little to call two sets near copies
+    near = (differing(sketch[a], sketch[b]) <= BINS - NEAR) & (np.minimum(sketch[a, 4], sketch[b, 4]) >= 2 * TINY)
     degree = np.bincount(np.concatenate([a[near], b[near]]), minlength=len(sketch))
     lead = np.arange(len(sketch))
     np.minimum.at(lead, b[near], a[near])
@@ -209,19 +226,18 @@ def _leaders(members: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarr
     left = members
     while len(left) > 1:
         lead, left = left[0], left[1:]
-        a = np.broadcast_to(sketch[lead], (len(left), 4))
+        a = np.broadcast_to(sketch[lead], (len(left), WIDTH))
         ok = matching(a, sketch[left])
         if len(ok):
             yield np.full(len(ok), lead), left[ok]
-            s = sketch[left[ok]]
-            differ = np.bitwise_count((s[:, ::2] ^ sketch[lead][::2]) | (s[:, 1::2] ^ sketch[lead][1::2])).sum(axis=1)
-            left = np.delete(left, ok[differ <= BINS - NEAR])
+            near = (differing(sketch[left[ok]], sketch[lead]) <= BINS - NEAR) & (np.minimum(sketch[left[ok], 4], sketch[lead, 4]) >= 2 * TINY)
+            left = np.delete(left, ok[near])
 
 
 def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
     parts = {c: [np.frombuffer(x, t) for x in frame[c]] for c, t in (("ids", np.int64), ("sketches", np.uint64), ("owners", np.uint16), ("keys", np.uint64))}
     shift = np.concatenate([[0], np.cumsum([len(x) for x in parts["ids"]])])[:-1]
-    ids, sketch, key = np.concatenate(parts["ids"]), np.concatenate(parts["sketches"]).reshape(-1, 4), np.concatenate(parts["keys"])
+    ids, sketch, key = np.concatenate(parts["ids"]), np.concatenate(parts["sketches"]).reshape(-1, WIDTH), np.concatenate(parts["keys"])
     owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(parts["owners"], shift)])
     # one position for each article, in the order of ids
     first, where = np.unique(ids, return_index=True)
