@@ -65,11 +65,13 @@ HOT = 512
 MANY = 64
 BINS = 128
 #: Matching bins that a pair of sets needs, by the size of the smaller (the last
-#: for all larger): 3.3 standard deviations, of bins and of small sets, below the
-#: mean of a pair with similarity 0.5, which is 80; in half the bins 4 below 40.
-_SIZE = np.maximum(np.arange(1025), 0.75)
-NEED = np.maximum(0, 80 - 3.3 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
-NEED_HALF = np.maximum(0, 40 - 4 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
+#: for all larger).  A pair with similarity 0.5 has 80 on average, 40 in half the
+#: bins; from 64 shingles on 62 and 25 are 2.9 and 3.6 standard deviations below
+#: for a usual article, smaller sets get as much by their larger deviation.
+_SIZE = np.maximum(np.arange(65), 0.75)
+NEED = np.maximum(0, 80 - 2.9 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
+NEED_HALF = np.maximum(0, 40 - 3.6 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
+NEED[64], NEED_HALF[64] = 62, 25
 WIDTH = 5
 #: Matching bins that make near copies: out of reach (4.4 deviations) for a similarity of 0.5.
 NEAR = 104
@@ -195,7 +197,7 @@ def _emit(blocks: int, min_words: int):
 def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of sketches agree in enough bins: half of the bins first, then all."""
     half = np.bitwise_count((a[:, 0] ^ b[:, 0]) | (a[:, 1] ^ b[:, 1]))
-    size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(1024)).astype(np.int64)
+    size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(64)).astype(np.int64)
     ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF[size])
     rest = np.bitwise_count((a[ok, 2] ^ b[ok, 2]) | (a[ok, 3] ^ b[ok, 3]))
     return ok[half[ok].astype(np.int64) + rest <= BINS - NEED[size[ok]]]
