@@ -4,8 +4,10 @@ Method: a compressed full-text index (FM-index) over the words of the evaluation
 articles, in shards of bounded size.  Training articles stream through it by
 backward search: from every ``STEP``-th word on, a match is extended to the left
 word by word until no evaluation text has it, which gives the left-maximal
-matches and, as an interval of the index, all places where they occur.  (A match
-stops at ``MAX_MATCH`` words: what lies further left belongs to earlier ends.)
+matches and, as intervals of the index, all places where they occur.  Where a match
+grows in some of its places only, the others are given at the length they reached,
+so each text with a seed is found, however close others are.  (A match stops at
+``MAX_MATCH`` words: what lies further left belongs to earlier ends.)
 Matches of at least ``MIN_MATCH`` words are located, merged into spans of each
 pair of articles, and counted; every common run of ``MIN_MATCH + STEP - 1`` words
 or more is found.  Pairs whose spans can amount to the similarity asked for are verified
@@ -117,6 +119,9 @@ class Index:
         # the row of the suffix one word longer, and the position of the rows where it is known
         self.longer = np.empty(self.n, np.int32)
         self.longer[self.places] = np.arange(self.n, dtype=np.int32)
+        # the word in front of each row
+        self.before = np.empty(self.n, np.int32)
+        self.before[self.places] = word
         self.at = np.full(self.n, -1, np.int32)
         self.at[self.sampled] = self.positions
 
@@ -199,11 +204,27 @@ class Index:
             left, row = left[~hit], row[~hit]
         return np.searchsorted(self.starts, position, side="right") - 1
 
+    def articles(self, low: np.ndarray, high: np.ndarray, grown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many articles each interval has outside its rows with the word ``grown`` in front, and their numbers, each once an interval."""
+        times, d = high - low, len(self.ids)
+        found = [np.empty(0, np.int64)]
+        # in pieces of bounded size
+        for piece in np.split(np.arange(len(low)), np.searchsorted(np.cumsum(times), np.arange(1, times.sum() // LOCATE + 1) * LOCATE)):
+            t = times[piece]
+            rows = np.repeat(low[piece] - np.cumsum(t) + t, t) + np.arange(t.sum())
+            piece = np.repeat(piece, t)
+            here = self.before[rows] != grown[piece]
+            found.append(np.unique(piece[here] * d + self.locate(rows[here])))
+        interval, article = np.divmod(np.concatenate(found), d)
+        return np.bincount(interval, minlength=len(low)), article
+
 
 def left_maximal(index: Index, flat: np.ndarray, begin: np.ndarray, first: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(which, first word, low, high) of the matches grown to the left from seeds.
+    """(which, first word, low, high, grown) of the matches grown to the left from seeds.
 
-    ``first`` is the first word of each seed, ``hashed`` its hash (sorted),
+    Each place of a seed belongs to one match, the longest there: the rows of the
+    interval without those that have the word ``grown`` in front (-1 for none),
+    which are in a longer match.  ``first`` is the first word of each seed, ``hashed`` its hash (sorted),
     ``begin`` the first word of its article.
     """
     which, low, high = index.start(hashed)
@@ -217,10 +238,13 @@ def left_maximal(index: Index, flat: np.ndarray, begin: np.ndarray, first: np.nd
         grown = (symbol > 0) & (new_low < new_high)
         stay = np.ones(len(which), bool)
         stay[on[grown]] = False
-        out.append((which[stay], first[stay], low[stay], high[stay]))
+        out.append((which[stay], first[stay], low[stay], high[stay], np.full(stay.sum(), -1)))
+        # the places where the match doesn't grow
+        some = grown & (new_high - new_low < high[on] - low[on])
+        out.append((which[on[some]], first[on[some]], low[on[some]], high[on[some]], symbol[some]))
         on = on[grown]
         which, begin, first, low, high = which[on], begin[on], first[on] - 1, new_low[grown], new_high[grown]
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 5
 
 
 class Stream:
@@ -241,31 +265,30 @@ class Stream:
 
     def overlaps(self, index: Index) -> tuple[np.ndarray, ...]:
         """(training number, evaluation number, words covered, spans) of the pairs that may be alike."""
-        which, first, low, high = left_maximal(index, self.flat, self.start[self.doc[self.first]], self.first, self.hashed)
+        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first]], self.first, self.hashed)
         end = self.first[which] + MIN_MATCH - 1
-        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, self.counts)
+        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, self.counts)
         good = matching(self.sketch[mine], index.sketch.reshape(-1, WIDTH)[theirs])
         return mine[good], theirs[good], covered[good], spans[good]
 
 
-def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     of, times = doc[end], high - low
     # the most frequent matches of an article are left out, up to under half of what an alike pair shares
     order = np.lexsort((-times, of))
-    of, end, first, low, times = of[order], end[order], first[order], low[order], times[order]
+    of, end, first, low, grown, times = of[order], end[order], first[order], low[order], grown[order], times[order]
     edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
     place = np.arange(len(of)) - np.repeat(edge, np.diff(np.append(edge, len(of))))
     allowed = (counts[of] // STEP) // 2
     out = (times > FEW) & (place < allowed)
-    of, end, first, low, times = (x[~out] for x in (of, end, first, low, times))
-    # locate, in pieces of bounded size
-    cut = np.searchsorted(np.cumsum(times), np.arange(1, times.sum() // LOCATE + 1) * LOCATE)
-    found = []
-    for piece in np.split(np.arange(len(of)), cut):
-        t = times[piece]
-        rows = np.repeat(low[piece], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
-        found.append((np.repeat(piece, t), index.locate(rows)))
-    match, there = (np.concatenate(x) for x in zip(*found))
+    of, end, first, low, grown, times = (x[~out] for x in (of, end, first, low, grown, times))
+    # each interval is located once, however many matches have it
+    _, kind = np.unique(low * (index.n + 1) + low + times, return_inverse=True)
+    _, lead, kind = np.unique(kind * (len(index.counts) + 1) + grown + 1, return_index=True, return_inverse=True)
+    size, articles = index.articles(low[lead], low[lead] + times[lead], grown[lead])
+    start, t = np.concatenate([[0], np.cumsum(size)])[:-1], size[kind]
+    match = np.repeat(np.arange(len(of)), t)
+    there = articles[np.repeat(start[kind] - np.cumsum(t) + t, t) + np.arange(t.sum())]
     # merge the matches of each pair into spans
     pair = of[match] * len(index.ids) + there
     order = np.lexsort((first[match], pair))

@@ -84,3 +84,39 @@ def test_copies_take_part_in_all_pairs(spark):
     found = S.split_overlaps(df, splits)
     assert {(r["train_id"], r["eval_id"]) for r in found.collect()} == {(a, b) for a in range(300) if a % 3 for b in [*range(0, 300, 3), 1000]}
     assert found.count() == 200 * 101
+
+
+def test_a_closer_sibling_hides_no_pair(spark):
+    """An evaluation text that shares longer runs with the training article takes no other's pair, in one shard or in many."""
+    words = [f"word{k}" for k in range(240)]
+    alike = [f"other{k}" if k % 20 == 7 else w for k, w in enumerate(words)]
+    rows = [(1, "t", " ".join(words)), (2, "t", " ".join(words[:-1] + ["end"])), (3, "t", " ".join(alike))]
+    df = spark.createDataFrame(rows, "article_id long, title string, content string")
+    assert set(brute_pairs(rows)) >= {(1, 2), (1, 3)}
+    for words in (S.SHARD_WORDS, 250):
+        got = {(r["train_id"], r["eval_id"]) for r in S.candidates(df.where("article_id = 1"), df.where("article_id > 1"), shard_words=words)[0].collect()}
+        assert got == {(1, 2), (1, 3)}
+
+
+def test_each_place_of_a_seed_is_in_its_longest_match():
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 3, rng.integers(6, 40)).astype(np.uint64) * np.uint64(977) for _ in range(30)]
+    index = S.Index.build(np.arange(30), np.concatenate(docs), np.array(list(map(len, docs))))
+    query = rng.integers(1, 4, 60).astype(np.uint64) * np.uint64(977)
+    hashed = S.seed_hashes(query)
+    seeds = np.argsort(hashed)
+    which, first, low, high, grown = S.left_maximal(index, query, np.zeros(len(seeds), np.int64), seeds, hashed[seeds])
+    got = []
+    for w, f, a, b, g in zip(which, first, low, high, grown):
+        rows = np.arange(a, b)
+        got += [(int(seeds[w]), int(seeds[w] - f), int(d)) for d in index.locate(rows[index.before[rows] != g])]
+    want = []
+    for at in range(len(query) - S.MIN_MATCH + 1):
+        for d, x in enumerate(docs):
+            for p in range(len(x) - S.MIN_MATCH + 1):
+                if (x[p : p + S.MIN_MATCH] == query[at : at + S.MIN_MATCH]).all():
+                    more = 0
+                    while more < min(at, p, S.MAX_MATCH - S.MIN_MATCH) and x[p - more - 1] == query[at - more - 1]:
+                        more += 1
+                    want.append((at, more, d))
+    assert sorted(got) == sorted(want)
