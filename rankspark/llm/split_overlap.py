@@ -13,13 +13,12 @@ pair of articles, and counted; every common run of ``MIN_MATCH + STEP - 1`` word
 or more is found.  Pairs whose spans can amount to the similarity asked for are verified
 exactly on their full sets of three-word sequences.
 
-Frequent matches: a training article doesn't locate its most frequent matches
-(notices of a site, stock phrases) while they are less than half of its text: an
-alike article shares two thirds of it or more and so has part of the rest.  An
-article made of frequent matches only, such as one of a large group of copies,
-locates the rarer half of them.  Pairs must cover ``COVER`` of the training
-article by located matches and agree in a sketch of their sets before they are
-verified; the sketch and its margin are those of the near-duplicate operator.
+Frequent matches (notices of a site, stock phrases, large groups of copies) count
+like others: each interval of seeds is located once a batch, and all pairs of
+articles that share a seed are screened by a sketch of their sets.  Only the pairs
+that pass have their matches extended, located and merged; they must cover
+``COVER`` of the training article before they are verified.  The sketch and its
+margin are those of the near-duplicate operator.
 
 The index of a shard holds the Burrows-Wheeler transform as positions by word, a
 suffix array sampled at every ``RATE``-th word, and the intervals of all
@@ -48,7 +47,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
-from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, matching, sketches, verified
+from rankspark.llm.near_duplicates import BINS, MIN_WORDS, NEED_HALF, SIMILARITY, WIDTH, matching, sketches, verified
 from rankspark.sources.shared import stored
 
 SHARD_WORDS = 4_000_000
@@ -56,12 +55,11 @@ STEP = 4
 MIN_MATCH = 6
 MAX_MATCH = 24
 RATE = 8
-#: Matches with at most so many occurrences in a shard are always located.
-FEW = 8
 #: The share of a training article's words that located spans of a pair must cover.
 COVER = 0.1
 STREAM = 10_000
 LOCATE = 500_000
+TABLE = 16_000_000
 _BIG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +103,17 @@ def seed_hashes(words: np.ndarray) -> np.ndarray:
     return W.mix(h)
 
 
+def pieces(sizes: np.ndarray, begin: int, end: int) -> list[np.ndarray]:
+    """The numbers from ``begin`` to ``end`` in pieces whose sizes sum to about ``LOCATE``."""
+    total = np.cumsum(sizes[begin:end])
+    return np.split(np.arange(begin, end), np.searchsorted(total, np.arange(1, sizes[begin:end].sum() // LOCATE + 1) * LOCATE))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 class Index:
     """An FM-index over the words of some articles."""
 
@@ -208,13 +217,12 @@ class Index:
         """How many articles each interval has outside its rows with the word ``grown`` in front, and their numbers, each once an interval."""
         times, d = high - low, len(self.ids)
         found = [np.empty(0, np.int64)]
-        # in pieces of bounded size
-        for piece in np.split(np.arange(len(low)), np.searchsorted(np.cumsum(times), np.arange(1, times.sum() // LOCATE + 1) * LOCATE)):
+        for piece in pieces(times, 0, len(low)):
             t = times[piece]
             rows = np.repeat(low[piece] - np.cumsum(t) + t, t) + np.arange(t.sum())
             piece = np.repeat(piece, t)
             here = self.before[rows] != grown[piece]
-            found.append(np.unique(piece[here] * d + self.locate(rows[here])))
+            found.append(distinct(piece[here] * d + self.locate(rows[here])))
         interval, article = np.divmod(np.concatenate(found), d)
         return np.bincount(interval, minlength=len(low)), article
 
@@ -265,32 +273,83 @@ class Stream:
 
     def overlaps(self, index: Index) -> tuple[np.ndarray, ...]:
         """(training number, evaluation number, words covered, spans) of the pairs that may be alike."""
-        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first]], self.first, self.hashed)
-        end = self.first[which] + MIN_MATCH - 1
-        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, self.counts)
-        good = matching(self.sketch[mine], index.sketch.reshape(-1, WIDTH)[theirs])
-        return mine[good], theirs[good], covered[good], spans[good]
-
-
-def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    of, times = doc[end], high - low
-    # the most frequent matches of an article are left out, up to under half of what an alike pair shares
-    order = np.lexsort((-times, of))
-    of, end, first, low, grown, times = of[order], end[order], first[order], low[order], grown[order], times[order]
-    edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-    place = np.arange(len(of)) - np.repeat(edge, np.diff(np.append(edge, len(of))))
-    allowed = (counts[of] // STEP) // 2
-    out = (times > FEW) & (place < allowed)
-    of, end, first, low, grown, times = (x[~out] for x in (of, end, first, low, grown, times))
+        wanted = self.alike(index)
+        d = len(index.ids)
+        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // d))
+        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
+        end = self.first[seeds[which]] + MIN_MATCH - 1
+        return pairs_of_matches(index, self.doc, end, first, low, high, grown, self.counts, wanted)
+
+    def alike(self, index: Index) -> np.ndarray:
+        """The pairs (training number * evaluation articles + evaluation number, in order) that share a seed and whose sketches match."""
+        hit, low, high = index.start(self.hashed)
+        d, theirs = len(index.ids), index.sketch.reshape(-1, WIDTH)
+        _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
+        size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        # of an article's equal seeds one counts
+        doc, kind = np.divmod(distinct(self.doc[self.first[hit]] * max(1, len(lead)) + kind), max(1, len(lead)))
+        # the articles of frequent seeds as bits, at most four bytes an article in place of eight
+        often = np.flatnonzero(size > d // 32)
+        bits = np.zeros((len(often), -(-d // 64) * 8), np.uint8)
+        for k, q in enumerate(often):
+            row = np.zeros(bits.shape[1] * 8, bool)
+            row[articles[start[q] : start[q] + size[q]]] = True
+            bits[k] = np.packbits(row)
+        bits, bit = bits.view(np.uint64), np.full(len(lead), -1)
+        bit[often] = np.arange(len(often))
+        bit = bit[kind]
+        many = np.flatnonzero(bit >= 0)
+        doc_many, bit = doc[many], bit[many]
+        doc, kind = np.delete(doc, many), np.delete(kind, many)
+        mine = self.sketch
+        columns = [np.ascontiguousarray(theirs[:, c]) for c in (0, 1)]
+        own, sizes = mine[:, 4].astype(np.int64), theirs[:, 4].astype(np.int32)
+        reach = (BINS // 2 - NEED_HALF[np.minimum(sizes, 64)]).astype(np.uint8)
+        wanted = [np.empty(0, np.int64)]
+        # a table of all pairs of some training articles, filled and read in pieces of bounded size
+        step = max(1, TABLE // d)
+        for base in range(0, len(self.counts), step):
+            shared = np.zeros(min(step, len(self.counts) - base) * d, bool)
+            for piece in pieces(size[kind], *np.searchsorted(doc, [base, base + step])):
+                t = size[kind[piece]]
+                at = np.repeat(start[kind[piece]] - np.cumsum(t) + t, t) + np.arange(t.sum())
+                shared[np.repeat((doc[piece] - base) * d, t) + articles[at]] = True
+            for piece in pieces(np.full(len(bit), bits.shape[1]), *np.searchsorted(doc_many, [base, base + step])):
+                if len(piece):
+                    edge = np.flatnonzero(np.r_[True, doc_many[piece][1:] != doc_many[piece][:-1]])
+                    together = np.bitwise_or.reduceat(bits[bit[piece]], edge, axis=0)
+                    shared.reshape(-1, d)[doc_many[piece][edge] - base] |= np.unpackbits(together.view(np.uint8), axis=1, count=d).view(bool)
+            # article by article, so that the columns of the other side stay in the cache
+            for a, row in enumerate(shared.reshape(-1, d), base):
+                # no similarity of a half between sets of which one is over twice as large; then half of the sketch, then all
+                b = np.flatnonzero(row & (sizes <= 2 * own[a]) & (2 * sizes >= own[a]))
+                if len(b):
+                    half = np.bitwise_count((columns[0][b] ^ mine[a, 0]) | (columns[1][b] ^ mine[a, 1]))
+                    b = b[half <= np.maximum(reach[b], BINS // 2 - NEED_HALF[min(own[a], 64)])]
+                    b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b])]
+                    wanted.append(a * d + b)
+        return np.concatenate(wanted)
+
+
+def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(training number, evaluation number, words covered, spans) of the ``wanted`` pairs that matches cover enough of."""
+    of = doc[end]
     # each interval is located once, however many matches have it
-    _, kind = np.unique(low * (index.n + 1) + low + times, return_inverse=True)
+    _, kind = np.unique(low * (index.n + 1) + high, return_inverse=True)
     _, lead, kind = np.unique(kind * (len(index.counts) + 1) + grown + 1, return_index=True, return_inverse=True)
-    size, articles = index.articles(low[lead], low[lead] + times[lead], grown[lead])
+    size, articles = index.articles(low[lead], high[lead], grown[lead])
     start, t = np.concatenate([[0], np.cumsum(size)])[:-1], size[kind]
-    match = np.repeat(np.arange(len(of)), t)
-    there = articles[np.repeat(start[kind] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+    found = [np.empty((2, 0), np.int64)]
+    for piece in pieces(t, 0, len(t)):
+        n = t[piece]
+        match = np.repeat(piece, n)
+        pair = of[match] * len(index.ids) + articles[np.repeat(start[kind[piece]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        at = np.minimum(np.searchsorted(wanted, pair), max(0, len(wanted) - 1))
+        here = wanted[at] == pair if len(wanted) else np.zeros(len(pair), bool)
+        found.append(np.stack([match[here], pair[here]]))
+    match, pair = np.concatenate(found, axis=1)
     # merge the matches of each pair into spans
-    pair = of[match] * len(index.ids) + there
     order = np.lexsort((first[match], pair))
     pair, a, b = pair[order], first[match][order], end[match][order] + 1
     if not len(pair):

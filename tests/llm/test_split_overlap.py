@@ -120,3 +120,17 @@ def test_each_place_of_a_seed_is_in_its_longest_match():
                         more += 1
                     want.append((at, more, d))
     assert sorted(got) == sorted(want)
+
+
+def test_frequent_matches_hide_no_pair(spark):
+    """A training article all of whose matches are frequent keeps its pairs with each of its near copies."""
+    rng = np.random.default_rng(6)
+    words = [f"word{k}" for k in range(180)]
+    # edits at the same places in all copies leave few and frequent matches
+    rows = [(0, "t", " ".join(words))] + [(1 + c, "t", " ".join(f"e{c}x{k}" if k % 10 == 4 and k > 20 or k == 3 + c else w for k, w in enumerate(words))) for c in range(20)]
+    rows += [(100 + k, "t", " ".join(f"n{rng.integers(10**6)}" for _ in range(60))) for k in range(20)]
+    df = spark.createDataFrame(rows, "article_id long, title string, content string")
+    want = {(a, b) for a, b in brute_pairs(rows) if a == 0}
+    assert len(want) == 20
+    got = {(r["train_id"], r["eval_id"]) for r in S.candidates(df.where("article_id = 0"), df.where("article_id > 0"))[0].collect()}
+    assert got >= want
