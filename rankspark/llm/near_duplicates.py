@@ -7,34 +7,35 @@ cost-based allocation, exact verification):
    is hashed into ``m`` segments; a shingle's segment depends on its *anchor*
    (its smallest word hash), so the few shingles that one edited word destroys
    fall into one or two segments, not into three or more.
-2. Size bands: ``m`` comes from a ladder in steps of the square root of two, and
-   an article of ``n`` shingles uses the three steps that leave 4 to 11.3
-   shingles a segment.  Articles whose sizes differ by up to a factor of two
-   share a step; beyond that no pair can reach a similarity of 0.5.
+2. Size bands: ``m`` is a power of two, and an article of ``n`` shingles uses
+   the two steps that leave 1.5 to 6 shingles a segment.  Articles whose sizes
+   differ by up to a factor of two share a step; beyond that no pair can reach a
+   similarity of 0.5.
 3. An article emits a key for each segment: the hash of the subset of its
    shingles in it.  Allocation: a segment with a single shingle costs most (its
    key is shared by many) and gets none; all others get the exact key; what is
    left of the budget (``KEYS``) goes to one-deletion keys of the segments with
-   4 to 9 shingles, so short articles, which have few segments, get the
-   neighbourhoods.  Above ``SEGMENTS`` segments a step, the first ones are used:
-   a pair at the threshold keeps a tenth of its segments or more intact.  A set
-   of under ``TINY`` shingles (a text that repeats itself) has a key for each.
-4. Of articles with the same set in a batch one goes on and the others are linked
-   to it, so a hot group of copies shrinks before the shuffle.  Keys travel in
-   binary blocks by key range, with a 256-bit sketch of each article.  Articles
-   under one key are compared by sketch, and only pairs within reach of the
-   threshold go on, once each, to exact verification on the full sets.  A key that more than ``HOT`` articles share is worked off through
-   leaders, in time linear in the copies.  Of articles with more than ``MANY``
-   near copies (by sketch), those that near copies chain to one leader go on as
-   pairs with their leaders, not with each other: no large group is expanded to
-   all pairs.
-5. Alike pairs are chained by rounds of label minimisation; nothing is collected.
-
-The theoretical budget of the pigeonhole for a Jaccard similarity of 0.5 (as
-many segments as a third of both sizes) leaves segments of one or two common
-shingles, whose candidates grow as the square of the input.  The ladder above
-trades that worst-case guarantee for segments of 4 to 11 shingles; the measured
-loss is in the README.
+   3 to 9 shingles, those of the coarser step first, which a partner of half or
+   twice the size shares.  Of the ``m`` segments the first ``SEGMENTS`` are
+   used.  A set of under ``4 * TINY`` shingles has a key for each.
+4. Keys travel with ids only.  Articles under one key are compared by sketch, and
+   the pairs within reach of the threshold are verified exactly on the full sets.
+5. Links are chained by rounds of label minimisation; nothing is collected.
+
+Hot keys.  Articles of the same set in a batch are linked and one goes on; near
+copies are linked to a leader by parts of the sketch, with a leader a batch in
+front of the shuffle.  A key that more than ``HOT`` articles share waits until
+these links and those of the other keys are verified and chained.  Then all its
+pairs of articles in *different* chains are compared, in sub-blocks of at most
+``PART`` by ``PART``; members of the largest chain meet the others only.  Of the
+pairs between two chains the ``ALLOWED`` nearest are verified first, and more in
+further rounds as long as there are any and the chains stay apart.  So a hot
+group of near copies costs a link each, and no pair is left out.
+
+The theoretical budget of the pigeonhole for a Jaccard similarity of 0.5 asks for
+as many segments as a third of both sizes.  The ladder is as fine as that at its
+finer step; what gives up the worst-case guarantee is that segments of a single
+shingle get no key and ``SEGMENTS`` are used.  The measured loss is in the README.
 
 Nulls: a null or empty title counts as no words; articles with under
 ``MIN_WORDS`` words of content, null or empty content included, are left out.
@@ -50,19 +51,28 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
 from rankspark.llm.components import components
-from rankspark.sources.shared import cut, stored
+from rankspark.sources.shared import stored
 
 MIN_WORDS = 20
 SIMILARITY = 0.5
-KEYS = 96
-SEGMENTS = 64
+KEYS = 64
+SEGMENTS = 32
+#: Shingles a segment at the finer step, at least.
+FINE = 1.5
 TINY = 16
-HOT = 512
-MANY = 64
+#: Members of a key from which it waits for the chains of the others.
+HOT = 16
+#: Members of a key in one batch from which its articles are spread over all blocks.
+SPREAD = 64
+#: Members on each side of a sub-block of a hot key.
+PART = 8192
+#: Pairs between two chains that are verified in the first round; each further round allows as many times more.
+ALLOWED = 16
 BINS = 128
 #: Matching bins that a pair of sets needs, by the size of the smaller (the last
 #: for all larger).  A pair with similarity 0.5 has 80 on average, 40 in half the
@@ -73,12 +83,10 @@ NEED = np.maximum(0, 80 - 2.9 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astyp
 NEED_HALF = np.maximum(0, 40 - 3.6 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
 NEED[64], NEED_HALF[64] = 62, 25
 WIDTH = 5
-#: Matching bins that make near copies: out of reach (4.4 deviations) for a similarity of 0.5.
-NEAR = 104
+#: 64-bit words of the bitmap of wanted ids, whatever their number (8 MB).
+BITMAP = 1 << 20
 #: Articles to one block of keys.
-BLOCK_ARTICLES = 12_500
-
-_ONE = np.uint64(1)
+BLOCK_ARTICLES = 25_000
 
 
 def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -105,51 +113,65 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _segment_keys(doc: np.ndarray, h: np.ndarray, anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, document) of all allocated segment subsets and one-deletion neighbours."""
     size = np.bincount(doc, minlength=n)
-    top = np.floor(2 * np.log2(np.maximum(size, 1) / 4)).astype(np.int64)  # the finest step: over 4 shingles a segment
+    top = np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / FINE))).astype(np.int64)
     place, token = W.mix(anchor ^ np.uint64(0x5EED)), W.mix(h)
-    low, high = (token & np.uint64(0xFFFFFF)).astype(np.float64), ((token >> np.uint64(24)) & np.uint64(0xFFFFFF)).astype(np.float64)
     keys, docs, spare, late = [], [], np.full(n, KEYS, np.int64), []
-    for down in range(3):
-        step = np.maximum(top - down, 0)
+    for down in (1, 0):
         used = (top >= down) | (down == 0)
-        m = np.round(2.0 ** (step / 2)).astype(np.int64)
-        seg = (place % m[doc].astype(np.uint64)).astype(np.int64)
+        m = np.left_shift(1, np.maximum(top - down, 0))
+        seg = (place & (m[doc] - 1).astype(np.uint64)).astype(np.int64)
         width = np.minimum(m, SEGMENTS) * used
         start = np.concatenate([[0], np.cumsum(width)])
-        inside = seg < width[doc]
+        inside = np.flatnonzero(seg < width[doc])
+        # segment by segment, so that sums are of runs
         cell = start[doc[inside]] + seg[inside]
-        cells = int(start[-1])
-        count = np.bincount(cell, minlength=cells)
-        sums = [np.bincount(cell, x[inside], cells).astype(np.uint64) for x in (low, high)]
-        owner = np.repeat(np.arange(n), width)
-        salt = W.mix((step[owner].astype(np.uint64) << np.uint64(32)) | (np.arange(cells) - start[owner]).astype(np.uint64))
-        full = sums[0] + (sums[1] << np.uint64(24))
+        order = np.argsort(cell, kind="stable")
+        inside, cell = inside[order], cell[order]
+        edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+        count = np.diff(np.append(edge, len(cell)))
+        owner = doc[inside[edge]]
+        salt = W.mix((m[owner].astype(np.uint64) << np.uint64(32)) | (cell[edge] - start[owner]).astype(np.uint64))
+        full = np.add.reduceat(token[inside], edge) if len(edge) else np.empty(0, np.uint64)
         good = count >= 2
         keys.append(W.mix(full + salt)[good])
         docs.append(owner[good])
         spare -= np.bincount(owner[good], minlength=n)
         # one-deletion keys: the subset without each of its shingles
-        roomy = (count >= 4) & (count <= 9)
-        t = np.flatnonzero(inside)[roomy[cell]]
-        c = cell[roomy[cell]]
-        late.append((W.mix(full[c] - (token[t] & np.uint64(0xFFFFFF)) - (((token[t] >> np.uint64(24)) & np.uint64(0xFFFFFF)) << np.uint64(24)) + salt[c]), owner[c]))
+        roomy = np.flatnonzero(np.repeat((count >= 3) & (count <= 9), count))
+        c = np.repeat(np.arange(len(edge)), count)[roomy]
         # a full subset of the partner may equal a one-deletion key: both forms live in one key space
-    tiny = np.flatnonzero(size[doc] < 2 * TINY)  # a partner may be twice as large
+        late.append((W.mix(full[c] - token[inside[roomy]] + salt[c]), owner[c]))
+    tiny = np.flatnonzero(size[doc] < 4 * TINY)
     keys.append(W.mix(token[tiny] ^ np.uint64(0x71)))
     docs.append(doc[tiny])
     for k, d in late:
-        wanted = np.bincount(d, minlength=n)
-        ok = (wanted <= spare) & (size < 128)
-        keep = ok[d]
+        # documents come in order here
+        keep = np.arange(len(d)) - np.searchsorted(d, d) < spare[d]
         keys.append(k[keep])
         docs.append(d[keep])
-        spare -= wanted * ok
+        spare -= np.bincount(d[keep], minlength=n)
     return np.concatenate(keys), np.concatenate(docs)
 
 
+def _near_codes(sketch: np.ndarray) -> np.ndarray:
+    """Eight codes of each sketch, each of 16 of its bins: near copies share one or more; (n, 8)."""
+    planes = sketch[:, :4].view(np.uint16).reshape(len(sketch), 2, 2, 4).astype(np.uint64)
+    code = planes[:, :, 0] | (planes[:, :, 1] << np.uint64(16))
+    return W.mix(code.reshape(len(sketch), 8) | (np.arange(1, 9, dtype=np.uint64) << np.uint64(40)))
+
+
+_COLUMNS = {"keys": np.uint64, "ids": np.int64, "marks": np.uint64, "hot_keys": np.uint64, "hot_ids": np.int64, "codes": np.uint64, "code_ids": np.int64, "copies": np.int64, "links": np.int64, "sketch_ids": np.int64, "sketches": np.uint64}
+
+
+def _leaders(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by code and id, first in that order of each one's code)."""
+    order = np.lexsort((ids, code))
+    head = np.r_[True, code[order][1:] != code[order][:-1]][: len(code)]
+    return order, order[np.maximum.accumulate(np.where(head, np.arange(len(code)), 0))] if len(code) else order
+
+
 def _emit(blocks: int, min_words: int):
-    binary = ("ids", "sketches", "owners", "keys", "copies")
-    schema = pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in binary])
+    schema = pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in _COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,37 +181,48 @@ def _emit(blocks: int, min_words: int):
                 continue
             # of articles with the same set in a batch, one goes on and the others are linked to it
             total = np.zeros(len(ids), np.uint64)
-            np.add.at(total, doc, W.mix(h))
+            some = np.bincount(doc, minlength=len(ids)) > 0
+            edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            total[doc[edge]] = np.add.reduceat(W.mix(h), edge)
             _, first, kind = np.unique(total, return_index=True, return_inverse=True)
             leader = ids[first][kind]
-            alone = np.isin(np.arange(len(ids)), first) & (np.bincount(doc, minlength=len(ids)) > 0)
-            copies = np.stack([leader, ids], axis=1)[(leader != ids) & (np.bincount(doc, minlength=len(ids)) > 0)]
+            alone = np.isin(np.arange(len(ids)), first) & some
+            copies = np.stack([leader, ids], axis=1)[(leader != ids) & some]
             keep = alone[doc]
             place = np.cumsum(alone) - 1
             ids, doc, h, anchor = ids[alone], place[doc[keep]], h[keep], anchor[keep]
             n = len(ids)
             sketch = sketches(doc, h, n)
             key, owner = _segment_keys(doc, h, anchor, n)
-            block = (key >> np.uint64(40)) % np.uint64(blocks)
-            order = np.argsort(block * np.uint64(1 << 17) + owner.astype(np.uint64))
-            key, owner, block = key[order], owner[order], block[order].astype(np.int64)
-            edge = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
-            rows: dict[str, list] = {c: [] for c in ("block", *binary)}
-            for a, b in zip(edge[:-1], edge[1:]):
-                here, position = np.unique(owner[a:b], return_inverse=True)
-                rows["block"].append(int(block[a]))
-                rows["ids"].append(ids[here].tobytes())
-                rows["sketches"].append(sketch[here].tobytes())
-                rows["owners"].append(position.astype(np.uint16).tobytes())
-                rows["keys"].append(key[a:b].tobytes())
-                rows["copies"].append(copies[copies[:, 0] % blocks == block[a]].tobytes())
-            # links of copies whose block got no key here
-            rest = copies[~np.isin(copies[:, 0] % blocks, block[edge[:-1]])] if len(key) else copies
-            if len(rest):
-                for c in binary:
-                    rows[c].append(rest.tobytes() if c == "copies" else b"")
-                rows["block"].append(int(rest[0, 0] % blocks))
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            # near copies are linked to a leader of the batch, which alone goes on with the code
+            code, by = _near_codes(sketch).ravel(), np.repeat(np.arange(n), 8)
+            large = sketch[by, 4] >= 2 * TINY  # a sketch of a small set says too little
+            code, by = code[large], by[large]
+            order, lead = _leaders(code, ids[by])
+            mine, theirs = by[order], by[lead]
+            links = np.unique(np.stack([ids[mine], ids[theirs]], axis=1)[mine != theirs], axis=0)
+            links = links[np.unique(links[:, 0], return_index=True)[1]]  # one leader each, the smallest
+            leads = order[mine == theirs]
+            # keys that many share here are spread over all blocks; the key's own block is told
+            u, at, times = np.unique(key, return_inverse=True, return_counts=True)
+            often = times[at] > SPREAD
+            marks = u[times > SPREAD]
+            parts = [
+                (key[~often] % np.uint64(blocks), (("keys", key[~often]), ("ids", ids[owner[~often]]))),
+                (marks % np.uint64(blocks), (("marks", marks),)),
+                (W.mix(key[often] ^ ids[owner[often]].view(np.uint64)) % np.uint64(blocks), (("hot_keys", key[often]), ("hot_ids", ids[owner[often]]))),
+                (code[leads] % np.uint64(blocks), (("codes", code[leads]), ("code_ids", ids[by[leads]]))),
+                (W.mix(ids.view(np.uint64)) % np.uint64(blocks), (("sketch_ids", ids), ("sketches", sketch))),
+            ]
+            parts += [(W.mix(v[:, 1].astype(np.uint64)) % np.uint64(blocks), ((name, v),)) for name, v in (("copies", copies), ("links", links))]
+            rows: dict[int, dict[str, bytes]] = {}
+            for block, values in parts:
+                order = np.argsort(block, kind="stable")
+                edge = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1], True]) if len(block) else [0]
+                for a, b in zip(edge[:-1], edge[1:]):
+                    here = order[a:b]
+                    rows.setdefault(int(block[here[0]]), {}).update({name: value[here].tobytes() for name, value in values})
+            yield pa.RecordBatch.from_pydict({"block": list(rows)} | {c: [r.get(c, b"") for r in rows.values()] for c in _COLUMNS}, schema=schema)
 
     return run
 
@@ -203,106 +236,167 @@ def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ok[half[ok].astype(np.int64) + rest <= BINS - NEED[size[ok]]]
 
 
-def _stars(code: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Pairs (a * n + b, a < b) without those that near copies and their leaders chain anyway, where near copies are many."""
-    a, b = np.divmod(code, len(sketch))
-    # a sketch of a small set says too little to call two sets near copies
-    near = (differing(sketch[a], sketch[b]) <= BINS - NEAR) & (np.minimum(sketch[a, 4], sketch[b, 4]) >= 2 * TINY)
-    degree = np.bincount(np.concatenate([a[near], b[near]]), minlength=len(sketch))
-    lead = np.arange(len(sketch))
-    np.minimum.at(lead, b[near], a[near])
-    root = lead[lead]
-    while (root != lead[root]).any():
-        root = lead[root]
-    # pairs with the leader stay, and chain what they chain
-    drop = (root[a] == root[b]) & ~(near & (lead[b] == a)) & (np.minimum(degree[a], degree[b]) > MANY)
-    return code[~drop]
+#: Kinds of rows after the exchange of keys.
+COLD, WAITING, COPY, LINK, SKETCH = range(5)
 
 
-def _leaders(members: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within a key shared by many: everyone is compared with leaders only.
-
-    A near copy of a leader is linked to it and leads no comparison itself, so
-    near copies cost one comparison each.
-    """
-    left = members
-    while len(left) > 1:
-        lead, left = left[0], left[1:]
-        a = np.broadcast_to(sketch[lead], (len(left), WIDTH))
-        ok = matching(a, sketch[left])
-        if len(ok):
-            yield np.full(len(ok), lead), left[ok]
-            near = (differing(sketch[left[ok]], sketch[lead]) <= BINS - NEAR) & (np.minimum(sketch[left[ok], 4], sketch[lead, 4]) >= 2 * TINY)
-            left = np.delete(left, ok[near])
-
-
-def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
-    parts = {c: [np.frombuffer(x, t) for x in frame[c]] for c, t in (("ids", np.int64), ("sketches", np.uint64), ("owners", np.uint16), ("keys", np.uint64))}
-    shift = np.concatenate([[0], np.cumsum([len(x) for x in parts["ids"]])])[:-1]
-    ids, sketch, key = np.concatenate(parts["ids"]), np.concatenate(parts["sketches"]).reshape(-1, WIDTH), np.concatenate(parts["keys"])
-    owner = np.concatenate([o.astype(np.int64) + s for o, s in zip(parts["owners"], shift)])
-    # one position for each article, in the order of ids
-    first, where = np.unique(ids, return_index=True)
-    owner, ids, sketch = np.searchsorted(first, ids)[owner], first, sketch[where]
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][: len(key)]
-    key, owner = key[fresh], owner[fresh]
+def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one block: the (key, id) of keys that two or more share, links of near copies, sketches by id."""
+    part = {c: np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in _COLUMNS.items()}
+    key, ids = part["keys"], part["ids"]
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
+    key, ids = key[fresh], ids[fresh]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
     count = np.diff(edge)
-    found = []
-
-    def keep(a: np.ndarray, b: np.ndarray) -> None:
-        found.append(np.unique(a * len(ids) + b))
-        if sum(map(len, found)) > 2_000_000:
-            found[:] = [_stars(np.unique(np.concatenate(found)), sketch)]
-
-    cold = np.repeat((count >= 2) & (count <= HOT), count)
-    end = np.repeat(edge[1:], count)
-    at = np.flatnonzero(cold)
-    gap = 1
+    marked = np.isin(key[edge[:-1]], part["marks"])
+    hot = np.repeat((count > HOT) | marked, count)
+    cold = np.repeat(count >= 2, count) & ~hot
+    order, lead = _leaders(part["codes"], part["code_ids"])
+    near = np.stack([part["code_ids"][lead], part["code_ids"][order]], axis=1)
+    # a leader of its batch needs the smallest leader only
+    near = near[near[:, 0] != near[:, 1]]
+    links = np.concatenate([part["links"].reshape(-1, 2), near])
+    links = links[links[:, 0] != links[:, 1]]
+    _, first = np.unique(part["sketch_ids"], return_index=True)
+    sketch = part["sketches"].reshape(-1, WIDTH)[first]
+    copies = part["copies"].reshape(-1, 2)
+    x = [key[cold], key[hot], part["hot_keys"], copies.min(axis=1), links.min(axis=1), part["sketch_ids"][first]]
+    y = [ids[cold], ids[hot], part["hot_ids"], copies.max(axis=1), links.max(axis=1), part["sketch_ids"][first]]
+    kind = np.repeat([COLD, WAITING, WAITING, COPY, LINK, SKETCH], [len(v) for v in x])
+    held = np.full(len(kind), None, object)
+    if len(sketch):
+        held[-len(sketch) :] = [row.tobytes() for row in sketch]
+    return pd.DataFrame({"kind": kind.astype(np.int32), "x": np.concatenate([v.view(np.int64) for v in x]), "y": np.concatenate(y), "sketch": held})
+
+
+def _members(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return frame["y"].to_numpy(), np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(-1, WIDTH)
+
+
+def _compared(frame: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of the articles under one key whose sketches match."""
+    ids, sketch = _members(frame)
+    key = frame["x"].to_numpy()
+    order = np.lexsort((ids, key))
+    key, ids, sketch = key[order], ids[order], sketch[order]
+    end = np.searchsorted(key, key, side="right")
+    at, gap, a, b = np.arange(len(key)), 1, [], []
     while len(at):
         at = at[at + gap < end[at]]
         for piece in np.array_split(at, len(at) // 500_000 + 1):
-            a, b = owner[piece], owner[piece + gap]
-            ok = matching(sketch[a], sketch[b])
-            if len(ok):
-                keep(a[ok], b[ok])
+            ok = piece[matching(sketch[piece], sketch[piece + gap])]
+            a.append(ids[ok])
+            b.append(ids[ok + gap])
         gap += 1
-    for g in np.flatnonzero(count > HOT):
-        for a, b in _leaders(owner[edge[g] : edge[g + 1]], sketch):
-            keep(np.minimum(a, b), np.maximum(a, b))
-    code = _stars(np.unique(np.concatenate(found)), sketch) if found else np.empty(0, np.int64)
-    copies = np.concatenate([np.frombuffer(x, np.int64) for x in frame["copies"]]).reshape(-1, 2)
-    a, b = np.concatenate([ids[code // max(1, len(ids))], copies.min(axis=1)]), np.concatenate([ids[code % max(1, len(ids))], copies.max(axis=1)])
-    return pd.DataFrame({"a": a, "b": b})[a != b]
+    pairs = np.unique(np.stack([np.concatenate([np.empty(0, np.int64), *v]) for v in (a, b)], axis=1), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _apart(allowed: int):
+    """(a, b, more) of the articles of different chains under one key whose sketches match, ``allowed`` nearest ones of two
+    chains at most; ``more`` if there are others."""
+
+    def one(x: np.ndarray, y: np.ndarray, label: np.ndarray, sketch: np.ndarray, same: bool) -> Iterator[np.ndarray]:
+        step = max(1, 500_000 // max(1, len(y)))
+        reach = (BINS // 2 - NEED_HALF[np.minimum(sketch[:, 4], np.uint64(64)).astype(np.int64)]).astype(np.uint8)
+        theirs, reach_y, label_y = np.ascontiguousarray(sketch[y].T), reach[y], label[y]
+        for start in range(0, len(x), step):
+            here = x[start : start + step]
+            mine = sketch[here]
+            half = np.bitwise_count((mine[:, :1] ^ theirs[0]) | (mine[:, 1:2] ^ theirs[1]))
+            i, j = np.nonzero((half <= np.maximum(reach[here][:, None], reach_y)) & (label[here][:, None] != label_y))
+            i, j = here[i], y[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            # no similarity of a half between sets of which one is over twice as large
+            near = (sketch[i, 4] <= 2 * sketch[j, 4]) & (sketch[j, 4] <= 2 * sketch[i, 4])
+            i, j = i[near], j[near]
+            ok = matching(sketch[i], sketch[j])
+            yield np.stack([i[ok], j[ok]])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, sketch = _members(frame)
+        label, key, side = frame["label"].to_numpy(), frame["x"].to_numpy(), frame["side"].to_numpy()
+        # side 0 meets itself, 1 meets 2, and nothing else
+        order = np.lexsort((side, key))
+        edge = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        found = [np.empty((2, 0), np.int64)]
+        for a, b in zip(edge[:-1], edge[1:]):
+            here = order[a:b]
+            sides = [here[side[here] == s] for s in range(3)]
+            for x, y, same in ((sides[0], sides[0], True), (sides[1], sides[2], False)):
+                found += one(x, y, label, sketch, same)
+        i, j = np.concatenate(found, axis=1)
+        low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        one_, two = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        order = np.lexsort((high, low, differing(sketch[i], sketch[j]), two, one_))
+        low, high, one_, two = (v[order] for v in (low, high, one_, two))
+        fresh = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])][: len(low)]
+        low, high, one_, two = (v[fresh] for v in (low, high, one_, two))
+        head = np.flatnonzero(np.r_[True, (one_[1:] != one_[:-1]) | (two[1:] != two[:-1])][: len(low)])
+        size = np.diff(np.append(head, len(low)))
+        keep = np.arange(len(low)) - np.repeat(head, size) < allowed
+        return pd.DataFrame({"a": low[keep], "b": high[keep], "more": np.repeat(size > allowed, size)[keep]})
 
-
-def candidate_pairs(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs (a < b) of articles that may be alike; each once."""
-    rows = articles.select("article_id", "title", "content")
-    blocks = 16 + rows.count() // BLOCK_ARTICLES
-    keyed = rows.mapInArrow(_emit(blocks, min_words), "block int, ids binary, sketches binary, owners binary, keys binary, copies binary")
-    return keyed.groupBy("block").applyInPandas(_candidates, "a long, b long").distinct()
+    return run
 
 
-def _sets(min_words: int):
+def _blocks_apart(waiting: DataFrame, sketched: DataFrame, labels: DataFrame, blocks: int) -> DataFrame:
+    """The members of hot keys, (block, side, x, y, label, sketch), in sub-blocks where chains meet that are apart."""
+    named = waiting.join(labels.select(F.col("node").alias("y"), F.col("component").alias("label")), "y", "left").withColumn("label", F.coalesce("label", "y"))
+    named, _ = stored(named, "waiting")
+    chains = named.groupBy("x", "label").agg(F.count("*").alias("n"))
+    # of each key the largest chain meets the others only; a key with one chain is done
+    sizes = chains.groupBy("x").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("chains")).where("chains > 1")
+    sizes = sizes.select("x", F.col("m.label").alias("largest"), F.ceil(F.col("m.n") / PART).cast("int").alias("large"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.n")) / PART)).cast("int").alias("others"))
+    rows = named.join(sizes, "x")
+    inside = F.col("label") == F.col("largest")
+    part = F.when(inside, F.pmod(F.xxhash64("y"), "large")).otherwise(F.pmod(F.xxhash64("y"), "others")).cast("int")
+    rows = rows.select("x", "y", "label", inside.alias("inside"), "large", "others", part.alias("part"))
+    # sub-blocks: each part of the others with itself, with each later part, and with each part of the largest chain
+    seq = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    part = F.col("part")
+    with_large = F.when(F.col("inside"), F.transform(seq("others"), lambda i: pair(1, i, part, F.lit(2)))).otherwise(F.transform(seq("large"), lambda j: pair(1, part, j, F.lit(1))))
+    others = F.transform(seq("others"), lambda k: pair(0, F.least(part, k), F.greatest(part, k), F.when(k == part, 0).when(part < k, 1).otherwise(2)))
+    rows = rows.withColumn("s", F.explode(F.when(F.col("inside"), with_large).otherwise(F.concat(with_large, others))))
+    alone = (F.col("large") == 1) & (F.col("others") == 1)
+    block = F.when(alone, F.pmod("x", F.lit(blocks))).otherwise(F.xxhash64("x", "s.kind", "s.i", "s.j"))
+    return rows.select(block.alias("block"), F.col("s.side").alias("side"), "x", "y", "label").join(sketched, "y")
+
+
+def _sets(min_words: int, bitmap: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
+            place = np.asarray(batch.column("place")).view(np.uint64)
+            batch = batch.filter(pa.array((bits[place >> np.uint64(6) & np.uint64(BITMAP - 1)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            if not batch.num_rows:
+                continue
             ids, flat, counts = W.article_words(batch, min_words)
             doc, h, _ = W.shingles(flat, counts)
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
+            # 48 bits of each hash
+            packed = h.view(np.uint8).reshape(-1, 8)[:, : W.HASH_BITS // 8]
+            yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [packed[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
 
     return run
 
 
+def _unpacked(x: bytes) -> np.ndarray:
+    h = np.zeros((len(x) // 6, 8), np.uint8)
+    h[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    return h.view(np.uint64).ravel()
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             value = np.empty(len(frame))
             for k, (x, y) in enumerate(zip(frame["set_a"], frame["set_b"])):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -312,36 +406,70 @@ def _verify(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """The pairs (a, b) of at least ``similarity``, computed on the full sets of shingles.
+def shingle_sets(wanted: DataFrame, articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(article_id, shingles) of the ``wanted`` ids (article_id) and perhaps a few others, stored; some may come twice.
 
-    Only articles in a candidate pair are shingled again; the texts of the
-    others are dropped by a semi-join.
+    Only articles in a bitmap of the wanted ids are shingled, so no text moves.
+    The bitmap has ``BITMAP`` words whatever the number of ids: with very many it
+    lets all pass, and the joins that follow drop what isn't wanted.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
-    sets = articles.select("article_id", "title", "content").join(wanted, "article_id", "left_semi").mapInArrow(_sets(min_words), "article_id long, shingles binary").dropDuplicates(["article_id"])
-    sets, _ = stored(sets, "shingles")
+    spark = articles.sparkSession
+    place = F.xxhash64(F.col("article_id").cast("long"))
+    word = F.shiftrightunsigned(place, 6).bitwiseAND(F.lit(BITMAP - 1)).cast("int")
+    # one bit each: eight bytes of a word, so that no shift touches the sign
+    found = wanted.select(word.alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.when(F.col("bit") < 32, F.expr("shiftleft(1L, bit)")).otherwise(0)).alias("low"), F.bit_or(F.when(F.col("bit") >= 32, F.expr("shiftleft(1L, bit - 32)")).otherwise(0)).alias("high")).toPandas()
+    bits = np.zeros(BITMAP, np.uint64)
+    bits[found["word"].to_numpy(np.int64)] = found["low"].to_numpy(np.uint64) | (found["high"].to_numpy(np.uint64) << np.uint64(32))
+    bitmap = spark.sparkContext.broadcast(bits.tobytes())
+    rows = articles.select("article_id", "title", "content", place.alias("place")).where("article_id is not null")
+    return stored(rows.mapInArrow(_sets(min_words, bitmap), "article_id long, shingles binary"), "shingles")[0]
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, similarity) of the pairs that reach ``similarity`` on their sets; the sets may repeat an id."""
     both = pairs.join(sets.select(F.col("article_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("article_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.mapInPandas(_verify(similarity), "a long, b long, similarity double")
+    return both.mapInPandas(_verify(similarity), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def alike_pairs(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    pairs, _ = stored(candidate_pairs(articles, min_words), "candidates")
-    return verified(pairs, articles, similarity, min_words)
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("article_id")).distinct()
 
 
-def duplicate_groups(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """(article_id, group_id, links) of each article in a group of two or more; a group is named by its smallest id.
+def verified(pairs: DataFrame, articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """The pairs (a, b) of at least ``similarity``, computed on the full sets of shingles."""
+    return with_sets(pairs, shingle_sets(ends(pairs), articles, min_words), similarity)
 
-    ``links`` counts the verified links of the article.  Links between different
-    texts stand between representatives: copies of one set in a batch have one
-    link, to the first of them, and among more than ``MANY`` near copies links to
-    leaders stand for those between the copies.
-    """
-    links = cut(alike_pairs(articles, similarity, min_words).select("a", "b"))
-    members = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("article_id")).groupBy("article_id").agg(F.count("*").alias("links"))
-    return members.withColumnsRenamed({"node": "article_id", "component": "group_id"}).join(degree, "article_id")
+
+def chains(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(node, component) of each article that is alike to another, chained by alike pairs; a chain is named by its smallest id."""
+    rows = articles.select("article_id", "title", "content")
+    blocks = 16 + rows.count() // BLOCK_ARTICLES
+    keyed = rows.mapInArrow(_emit(blocks, min_words), "block int, " + ", ".join(f"{c} binary" for c in _COLUMNS))
+    keyed, _ = stored(keyed.groupBy("block").applyInPandas(_shared, "kind int, x long, y long, sketch binary"), "keys", "kind")
+    of = lambda kind: keyed.where(F.col("kind") == kind)
+    sketched = of(SKETCH).select("y", "sketch").dropDuplicates(["y"])
+    cold = of(COLD).select("x", "y").join(sketched, "y").withColumn("block", F.pmod("x", F.lit(blocks)))
+    pairs = cold.groupBy("block").applyInPandas(_compared, "a long, b long")
+    pairs, _ = stored(pairs.union(of(LINK).select("x", "y")).distinct(), "candidates")
+    known, sets = ends(pairs), shingle_sets(ends(pairs), articles, min_words)
+    found = components(with_sets(pairs, sets, similarity).select("a", "b").union(of(COPY).select("x", "y")))
+    waiting, allowed, more = of(WAITING).select("x", "y").distinct(), ALLOWED, True
+    while more and waiting.head(1):
+        apart = _blocks_apart(waiting, sketched, found, blocks).groupBy("block").applyInPandas(_apart(allowed), "a long, b long, more boolean")
+        apart, _ = stored(apart.groupBy("a", "b").agg(F.max("more").alias("more")), "apart")
+        more = apart.agg(F.max("more")).first()[0]
+        if more is None:
+            break
+        new = ends(apart).join(known, "article_id", "left_anti")
+        sets, known = sets.unionByName(shingle_sets(new, articles, min_words)), known.union(new)
+        found = components(with_sets(apart.select("a", "b"), sets, similarity).select("a", "b").union(found.select("node", "component")))
+        allowed *= ALLOWED
+    return found
+
+
+def duplicate_groups(articles: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """(article_id, group_id) of each article in a group of two or more; a group is named by its smallest id."""
+    return chains(articles, similarity, min_words).withColumnsRenamed({"node": "article_id", "component": "group_id"})
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
