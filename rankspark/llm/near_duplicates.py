@@ -66,7 +66,7 @@ SEGMENTS = 32
 FINE = 1.5
 TINY = 16
 #: Members of a key from which it waits for the chains of the others.
-HOT = 16
+HOT = 32
 #: Members of a key in one batch from which its articles are spread over all blocks.
 SPREAD = 64
 #: Members on each side of a sub-block of a hot key.
@@ -83,6 +83,8 @@ NEED = np.maximum(0, 80 - 2.9 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astyp
 NEED_HALF = np.maximum(0, 40 - 3.6 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
 NEED[64], NEED_HALF[64] = 62, 25
 WIDTH = 5
+#: Articles that are worked on at once: memory stays bounded, arrays in the cache.
+PIECE = 2000
 #: 64-bit words of the bitmap of wanted ids, whatever their number (8 MB).
 BITMAP = 1 << 20
 #: Articles to one block of keys.
@@ -170,11 +172,17 @@ def _leaders(code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, order[np.maximum.accumulate(np.where(head, np.arange(len(code)), 0))] if len(code) else order
 
 
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE):
+            yield batch.slice(start, PIECE)
+
+
 def _emit(blocks: int, min_words: int):
     schema = pa.schema([("block", pa.int32())] + [(c, pa.binary()) for c in _COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             ids, flat, counts = W.article_words(batch, min_words)
             doc, h, anchor = W.shingles(flat, counts)
             if not len(h):
@@ -350,21 +358,22 @@ def _blocks_apart(waiting: DataFrame, sketched: DataFrame, labels: DataFrame, bl
     chains = named.groupBy("x", "label").agg(F.count("*").alias("n"))
     # of each key the largest chain meets the others only; a key with one chain is done
     sizes = chains.groupBy("x").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("chains")).where("chains > 1")
-    sizes = sizes.select("x", F.col("m.label").alias("largest"), F.ceil(F.col("m.n") / PART).cast("int").alias("large"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.n")) / PART)).cast("int").alias("others"))
+    sizes = sizes.select("x", "all", F.col("m.label").alias("largest"), F.ceil(F.col("m.n") / PART).cast("int").alias("large"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("m.n")) / PART)).cast("int").alias("others"))
     rows = named.join(sizes, "x")
+    # most keys fit one sub-block
+    few = rows.where(F.col("all") <= PART).select(F.pmod("x", F.lit(blocks)).alias("block"), F.lit(0).alias("side"), "x", "y", "label")
     inside = F.col("label") == F.col("largest")
     part = F.when(inside, F.pmod(F.xxhash64("y"), "large")).otherwise(F.pmod(F.xxhash64("y"), "others")).cast("int")
-    rows = rows.select("x", "y", "label", inside.alias("inside"), "large", "others", part.alias("part"))
+    many = rows.where(F.col("all") > PART).select("x", "y", "label", inside.alias("inside"), "large", "others", part.alias("part"))
     # sub-blocks: each part of the others with itself, with each later part, and with each part of the largest chain
     seq = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     pair = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
     part = F.col("part")
     with_large = F.when(F.col("inside"), F.transform(seq("others"), lambda i: pair(1, i, part, F.lit(2)))).otherwise(F.transform(seq("large"), lambda j: pair(1, part, j, F.lit(1))))
     others = F.transform(seq("others"), lambda k: pair(0, F.least(part, k), F.greatest(part, k), F.when(k == part, 0).when(part < k, 1).otherwise(2)))
-    rows = rows.withColumn("s", F.explode(F.when(F.col("inside"), with_large).otherwise(F.concat(with_large, others))))
-    alone = (F.col("large") == 1) & (F.col("others") == 1)
-    block = F.when(alone, F.pmod("x", F.lit(blocks))).otherwise(F.xxhash64("x", "s.kind", "s.i", "s.j"))
-    return rows.select(block.alias("block"), F.col("s.side").alias("side"), "x", "y", "label").join(sketched, "y")
+    many = many.withColumn("s", F.explode(F.when(F.col("inside"), with_large).otherwise(F.concat(with_large, others))))
+    many = many.select(F.xxhash64("x", "s.kind", "s.i", "s.j").alias("block"), F.col("s.side").alias("side"), "x", "y", "label")
+    return few.unionByName(many).join(sketched, "y")
 
 
 def _sets(min_words: int, bitmap: Broadcast):
@@ -372,15 +381,14 @@ def _sets(min_words: int, bitmap: Broadcast):
         bits = np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             place = np.asarray(batch.column("place")).view(np.uint64)
-            batch = batch.filter(pa.array((bits[place >> np.uint64(6) & np.uint64(BITMAP - 1)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
-            if not batch.num_rows:
-                continue
-            ids, flat, counts = W.article_words(batch, min_words)
-            doc, h, _ = W.shingles(flat, counts)
-            edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-            # 48 bits of each hash
-            packed = h.view(np.uint8).reshape(-1, 8)[:, : W.HASH_BITS // 8]
-            yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [packed[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
+            wanted = batch.filter(pa.array((bits[place >> np.uint64(6) & np.uint64(BITMAP - 1)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            for piece in in_pieces(iter([wanted])):
+                ids, flat, counts = W.article_words(piece, min_words)
+                doc, h, _ = W.shingles(flat, counts)
+                edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+                # 48 bits of each hash
+                packed = h.view(np.uint8).reshape(-1, 8)[:, : W.HASH_BITS // 8]
+                yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [packed[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
 
     return run
 
@@ -462,7 +470,9 @@ def chains(articles: DataFrame, similarity: float = SIMILARITY, min_words: int =
             break
         new = ends(apart).join(known, "article_id", "left_anti")
         sets, known = sets.unionByName(shingle_sets(new, articles, min_words)), known.union(new)
-        found = components(with_sets(apart.select("a", "b"), sets, similarity).select("a", "b").union(found.select("node", "component")))
+        fresh, _ = stored(with_sets(apart.select("a", "b"), sets, similarity).select("a", "b"), "links")
+        if fresh.head(1):
+            found = components(fresh.union(found.select("node", "component")))
         allowed *= ALLOWED
     return found
 
