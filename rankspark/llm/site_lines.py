@@ -6,6 +6,9 @@ articles with that line.  A new partition of articles gives a delta of both; the
 merge adds them, and comparing a line's standing before and after tells which
 lines crossed the threshold, up or down (a growing source can also drop a line
 below its share).  Only documents with a newly crossed line are built again.
+The queries go through that: the articles arrive in ``DELTAS`` partitions, each is
+merged into the stored state, and places and contents built before stand unless
+one of their lines crossed.
 
 A line is compared after dropping HTML tags, decoding entities, lower-casing,
 reducing white space to single blanks and replacing each run of the digits 0-9
@@ -36,6 +39,8 @@ from rankspark.sources.shared import stored
 
 MIN_ARTICLES = 8
 MIN_PER_CENT = 6
+#: Partitions in which a table of articles is merged.
+DELTAS = 2
 _TAG = re.compile(r"<[^>]*>")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -90,21 +95,33 @@ def merge(state: LineState, ids: DataFrame, lines: DataFrame) -> LineState:
     Articles that the state has already are no news: a redelivered article
     changes no count.
     """
-    new = ids.select("source", "article_id").where("article_id is not null and source is not null").distinct().join(state.articles, ["source", "article_id"], "left_anti")
-    per_line = lines.select("source", "line", "article_id").distinct().join(state.articles, ["source", "article_id"], "left_anti")
+    ids = ids.select("source", "article_id").where("article_id is not null and source is not null").distinct()
+    again = ids.join(state.articles, ["source", "article_id"], "left_semi")
+    # the lines, many times the ids, meet the known articles only if there are any among the new
+    if again.head(1):
+        ids, lines = (t.join(again, ["source", "article_id"], "left_anti") for t in (ids, lines))
     add = lambda old, fresh, *keys: old.unionByName(fresh).groupBy(*keys).agg(F.sum("articles").alias("articles"))
     return LineState(
-        state.articles.unionByName(new),
-        add(state.totals, new.groupBy("source").agg(F.count("*").alias("articles")), "source"),
-        add(state.counts, per_line.groupBy("source", "line").agg(F.count("*").alias("articles")), "source", "line"),
+        state.articles.unionByName(ids),
+        add(state.totals, ids.groupBy("source").agg(F.count("*").alias("articles")), "source"),
+        add(state.counts, line_counts(lines), "source", "line"),
     )
 
 
+def line_counts(lines: DataFrame) -> DataFrame:
+    """(source, line, articles) of one partition; the first step is by article, so a hot line is counted in parts."""
+    return lines.groupBy("source", "line", "article_id").agg(F.lit(1).alias("once")).groupBy("source", "line").agg(F.count("*").alias("articles"))
+
+
 def first_state(ids: DataFrame, lines: DataFrame) -> LineState:
     """The state of a first partition: nothing to compare with, so counts come from the delta alone."""
     ids = ids.select("source", "article_id").where("article_id is not null and source is not null").distinct()
-    per_line = lines.groupBy("source", "line").agg(F.count_distinct("article_id").alias("articles"))
-    return LineState(ids, ids.groupBy("source").agg(F.count("*").alias("articles")), per_line)
+    return LineState(ids, ids.groupBy("source").agg(F.count("*").alias("articles")), line_counts(lines))
+
+
+def kept(state: LineState) -> LineState:
+    """The state in the shared folder, from which the next merge goes on."""
+    return LineState(*(stored(table, "lines-state")[0] for table in (state.articles, state.totals, state.counts)))
 
 
 def crossings(before: LineState, after: LineState, **limits: int) -> DataFrame:
@@ -119,29 +136,73 @@ def places(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(wanted.select("source", "line"), ["source", "line"], "left_semi").select("article_id", "line_no").distinct()
 
 
-def rebuild(articles: DataFrame, lines: DataFrame, changed: DataFrame, now: DataFrame) -> DataFrame:
-    """(article_id, content) without repeated lines, of the articles that have a line in ``changed`` only.
+def rebuild(articles: DataFrame, lines: DataFrame, touched: DataFrame, now: DataFrame) -> DataFrame:
+    """(article_id, content) without repeated lines, of the ``touched`` (article_id) only.
 
     ``now`` are all repeated lines.  The others' contents stand as built before.
     """
-    touched = lines.join(changed.select("source", "line"), ["source", "line"], "left_semi").select("article_id").distinct()
+    # an article has as many numbers here as repeated lines at most
     out = places(lines, now).groupBy("article_id").agg(F.collect_list("line_no").alias("out"))
     keep = F.filter(F.split("content", "\n", -1), lambda _, k: ~F.array_contains(F.coalesce("out", F.array().cast("array<int>")), (k + 1).cast("int")))
-    rows = articles.select("article_id", "content").join(touched, "article_id", "left_semi").dropDuplicates(["article_id"])
+    rows = articles.select("article_id", "content").join(touched.select("article_id").distinct(), "article_id", "left_semi").dropDuplicates(["article_id"])
     return rows.join(out, "article_id", "left").select("article_id", F.array_join(keep, "\n").alias("content"))
 
 
+def with_line(lines: DataFrame, changed: DataFrame) -> DataFrame:
+    """(article_id) of the articles that have a line of ``changed``."""
+    return lines.join(changed.select("source", "line"), ["source", "line"], "left_semi").select("article_id").distinct()
+
+
+@dataclass
+class Step:
+    """One merge: the lines known before and those that came, the lines that crossed and those repeated now."""
+
+    before: DataFrame
+    came: DataFrame
+    crossed: DataFrame
+    now: DataFrame
+
+
+def merged(articles: DataFrame, deltas: int = DELTAS) -> Iterator[Step]:
+    """The articles, from (article_id, source, content), merged into the state partition by partition."""
+    part = F.pmod(F.xxhash64("article_id"), F.lit(deltas)).cast("int")
+    lines, _ = stored(article_lines(articles).withColumn("part", part), "lines", "part")
+    state, now = None, None
+    for k in range(deltas):
+        ids = articles.select("source", "article_id").where(part == k)
+        came = lines.where(F.col("part") == k).drop("part")
+        after = kept(first_state(ids, came) if state is None else merge(state, ids, came))
+        crossed = repeated(after).withColumn("repeated", F.lit(True)) if state is None else crossings(state, after)
+        crossed, _ = stored(crossed, "crossed")
+        up = crossed.where("repeated").select("source", "line")
+        if now is not None:
+            up = now.join(crossed.where("not repeated"), ["source", "line"], "left_anti").unionByName(up)
+        state, now = after, up
+        yield Step(lines.where(F.col("part") < k).drop("part"), came, crossed, now)
+
+
 def repeated_places(articles: DataFrame) -> DataFrame:
     """(article_id, line_no): each place of a line repeated excessively in its source."""
-    lines, _ = stored(article_lines(articles), "lines")
-    return places(lines, repeated(first_state(articles, lines)))
+    keys, found = ["source", "line"], None
+    for step in merged(articles):
+        new = step.came.join(step.now, keys, "left_semi")
+        if found is not None:
+            # what stood stays but for lines that fell; lines that rose are looked up in what came before
+            fell, rose = step.crossed.where("not repeated"), step.crossed.where("repeated")
+            new = found.join(fell, keys, "left_anti").unionByName(step.before.join(rose, keys, "left_semi")).unionByName(new)
+        found = new
+    return found.select("article_id", "line_no").distinct()
 
 
 def cleaned(articles: DataFrame) -> DataFrame:
     """(article_id, content) of every article, repeated lines removed; null content stays null."""
-    lines, _ = stored(article_lines(articles), "lines")
-    now, _ = stored(repeated(first_state(articles, lines)), "repeated")
-    built = rebuild(articles, lines, now, now).withColumnRenamed("content", "built")
+    built = None
+    for step in merged(articles):
+        # old documents with a crossed line, and new ones with a repeated line
+        lines = step.before.join(step.crossed, ["source", "line"], "left_semi").unionByName(step.came.join(step.now, ["source", "line"], "left_semi"))
+        touched, _ = stored(lines.select("article_id").distinct(), "touched")
+        new = rebuild(articles, step.before.unionByName(step.came), touched, step.now)
+        built, _ = stored(new if built is None else built.join(touched, "article_id", "left_anti").unionByName(new), "built")
     rows = articles.select("article_id", "content").dropDuplicates(["article_id"])
     # content may be null: whether an article was built is told by its row, not by its text
-    return rows.join(built.withColumn("was", F.lit(True)), "article_id", "left").select("article_id", F.when(F.col("was"), F.col("built")).otherwise(F.col("content")).alias("content"))
+    return rows.join(built.withColumnRenamed("content", "built").withColumn("was", F.lit(True)), "article_id", "left").select("article_id", F.when(F.col("was"), F.col("built")).otherwise(F.col("content")).alias("content"))

@@ -80,7 +80,21 @@ def test_crossings_and_rebuilding(spark):
     assert L.crossings(before, after).where("repeated").count() == 1 and L.crossings(before, after).where("not repeated").count() == 1
     both = first.unionByName(second)
     lines = L.article_lines(both)
-    built = L.rebuild(both, lines, L.crossings(before, after), L.repeated(after)).collect()
+    built = L.rebuild(both, lines, L.with_line(lines, L.crossings(before, after)), L.repeated(after)).collect()
     assert len(built) == 48  # 40 lose the footer, 8 get the other line back
     assert {r["content"] for r in built if r["article_id"] < 8} == {f"own {k}{chr(97 + k)}\nshare" for k in range(8)}
     assert all("footer" not in r["content"] for r in built)
+
+
+def test_the_queries_merge_deltas(spark, monkeypatch):
+    """Lines that a later partition lifts over the threshold or lets fall below it, in any number of partitions."""
+    rows = [(k, "s", f"own {chr(97 + k % 26)}{chr(97 + k // 26)}\nfooter" + ("\nrare" if k < 9 else "")) for k in range(140)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows)
+    for deltas in (1, 2, 5):
+        steps = list(L.merged(df, deltas))
+        assert len(steps) == deltas
+        assert deltas == 1 or steps[-1].crossed.count() < steps[-1].now.count() + 2
+        monkeypatch.setattr(L.merged, "__defaults__", (deltas,))
+        assert {tuple(r) for r in L.repeated_places(df).collect()} == want
+        assert {r["article_id"]: r["content"] for r in L.cleaned(df).collect()} == {i: "\n".join(x for k, x in enumerate(c.split("\n"), 1) if (i, k) not in want) for i, _, c in rows}
