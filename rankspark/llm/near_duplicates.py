@@ -74,14 +74,12 @@ PART = 8192
 #: Pairs between two chains that are verified in the first round; each further round allows as many times more.
 ALLOWED = 16
 BINS = 128
-#: Matching bins that a pair of sets needs, by the size of the smaller (the last
-#: for all larger).  A pair with similarity 0.5 has 80 on average, 40 in half the
-#: bins; from 64 shingles on 62 and 25 are 2.9 and 3.6 standard deviations below
-#: for a usual article, smaller sets get as much by their larger deviation.
-_SIZE = np.maximum(np.arange(65), 0.75)
-NEED = np.maximum(0, 80 - 2.9 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
-NEED_HALF = np.maximum(0, 40 - 3.6 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
-NEED[64], NEED_HALF[64] = 62, 25
+#: Matching bins that a pair of sets needs, by the size of the smaller (the last for all larger).  A pair with
+#: similarity 0.5 has 80 on average, 40 in half the bins; what it needs lies four standard deviations below (3e-5).
+SIZES = 1024
+_SIZE = np.maximum(np.arange(SIZES + 1), 0.75)
+NEED = np.maximum(0, 80 - 4 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
+NEED_HALF = np.maximum(0, 40 - 4 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
 WIDTH = 5
 #: Articles that are worked on at once: memory stays bounded, arrays in the cache.
 PIECE = 2000
@@ -235,10 +233,15 @@ def _emit(blocks: int, min_words: int):
     return run
 
 
+def half_reach(sketch: np.ndarray) -> np.ndarray:
+    """Bins of the first half in which a partner may differ; of a pair the larger counts, that of the smaller set."""
+    return (BINS // 2 - NEED_HALF[np.minimum(sketch[:, 4], np.uint64(SIZES)).astype(np.int64)]).astype(np.uint8)
+
+
 def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of sketches agree in enough bins: half of the bins first, then all."""
     half = np.bitwise_count((a[:, 0] ^ b[:, 0]) | (a[:, 1] ^ b[:, 1]))
-    size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(64)).astype(np.int64)
+    size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(SIZES)).astype(np.int64)
     ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF[size])
     rest = np.bitwise_count((a[ok, 2] ^ b[ok, 2]) | (a[ok, 3] ^ b[ok, 3]))
     return ok[half[ok].astype(np.int64) + rest <= BINS - NEED[size[ok]]]
@@ -308,7 +311,7 @@ def _apart(allowed: int):
 
     def one(x: np.ndarray, y: np.ndarray, label: np.ndarray, sketch: np.ndarray, same: bool) -> Iterator[np.ndarray]:
         step = max(1, 500_000 // max(1, len(y)))
-        reach = (BINS // 2 - NEED_HALF[np.minimum(sketch[:, 4], np.uint64(64)).astype(np.int64)]).astype(np.uint8)
+        reach = half_reach(sketch)
         theirs, reach_y, label_y = np.ascontiguousarray(sketch[y].T), reach[y], label[y]
         for start in range(0, len(x), step):
             here = x[start : start + step]

@@ -6,24 +6,28 @@ backward search: from every ``STEP``-th word on, a match is extended to the left
 word by word until no evaluation text has it, which gives the left-maximal
 matches and, as intervals of the index, all places where they occur.  Where a match
 grows in some of its places only, the others are given at the length they reached,
-so each text with a seed is found, however close others are.  (A match stops at
-``MAX_MATCH`` words: what lies further left belongs to earlier ends.)
+so each text with a seed is found, however close others are.  A search stops at
+``MAX_MATCH`` words, for what lies further left is found from earlier ends in the
+same places: merged, the spans are the maximal matches whatever their length.
 Matches of at least ``MIN_MATCH`` words are located, merged into spans of each
 pair of articles, and counted; every common run of ``MIN_MATCH + STEP - 1`` words
-or more is found.  Pairs whose spans can amount to the similarity asked for are verified
-exactly on their full sets of three-word sequences.
-
-Frequent matches (notices of a site, stock phrases, large groups of copies) count
-like others: each interval of seeds is located once a batch, and all pairs of
-articles that share a seed are screened by a sketch of their sets.  Only the pairs
-that pass have their matches extended, located and merged; they must cover
-``COVER`` of the training article before they are verified.  The sketch and its
-margin are those of the near-duplicate operator.
+or more is found.  All pairs with a span are verified exactly on their full sets of
+three-word sequences, after a screening by sketch.
+
+Frequent seeds (notices of a site, stock phrases, large groups of copies; more
+than ``FREQUENT`` articles of a shard) are looked at only where a pair may depend
+on them.  An alike partner has at least half of an article's sequences, so an
+article whose frequent seeds touch up to ``TOUCHED`` of its words shares many others
+with it and is found by its rare seeds.  Of articles with more, all seeds count.
+All pairs that share a seed in this way are screened by a sketch of their sets;
+those that pass have their matches extended, located and merged.  The sketch and
+its margin are those of the near-duplicate operator.
 
 The index of a shard holds the Burrows-Wheeler transform as positions by word, a
 suffix array sampled at every ``RATE``-th word, and the intervals of all
 sequences of ``MIN_MATCH`` words, from which the searches start.  It is written to the
-shared folder; a task reads one shard at a time.
+shared folder; a task reads one shard at a time and streams all articles it holds
+through it, up to ``HELD`` words.
 
 Copies of one text are indexed and streamed once, under one id, and take part in
 its pairs by a join at the end, so a hot group of copies costs one search.
@@ -47,17 +51,21 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
-from rankspark.llm.near_duplicates import BINS, MIN_WORDS, NEED_HALF, SIMILARITY, WIDTH, matching, sketches, verified
+from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, half_reach, matching, sketches, verified
 from rankspark.sources.shared import stored
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_500_000
 STEP = 4
 MIN_MATCH = 6
 MAX_MATCH = 24
 RATE = 8
-#: The share of a training article's words that located spans of a pair must cover.
-COVER = 0.1
-STREAM = 10_000
+#: Articles of a shard with a seed from which it is frequent, and the share of an article's words that such seeds may
+#: touch before they count.
+FREQUENT = 64
+TOUCHED = 0.25
+STREAM = 5_000
+#: Words of training articles that a task holds while the shards pass.
+HELD = 8_000_000
 LOCATE = 500_000
 TABLE = 16_000_000
 _BIG = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +286,7 @@ class Stream:
         seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // d))
         which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
         end = self.first[seeds[which]] + MIN_MATCH - 1
-        return pairs_of_matches(index, self.doc, end, first, low, high, grown, self.counts, wanted)
+        return pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
 
     def alike(self, index: Index) -> np.ndarray:
         """The pairs (training number * evaluation articles + evaluation number, in order) that share a seed and whose sketches match."""
@@ -287,6 +295,16 @@ class Stream:
         _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
         size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        # frequent seeds count for the articles of which they touch much
+        frequent = size > FREQUENT
+        mark = np.zeros(len(self.flat) + MIN_MATCH, np.int64)
+        touching = self.first[hit[frequent[kind]]]
+        np.add.at(mark, touching, 1)
+        np.add.at(mark, touching + MIN_MATCH, -1)
+        touched = np.bincount(self.doc[np.cumsum(mark)[: len(self.flat)] > 0], minlength=len(self.counts))
+        needed = touched > TOUCHED * self.counts
+        used = ~frequent[kind] | needed[self.doc[self.first[hit]]]
+        hit, kind = hit[used], kind[used]
         # of an article's equal seeds one counts
         doc, kind = np.divmod(distinct(self.doc[self.first[hit]] * max(1, len(lead)) + kind), max(1, len(lead)))
         # the articles of frequent seeds as bits, at most four bytes an article in place of eight
@@ -305,7 +323,7 @@ class Stream:
         mine = self.sketch
         columns = [np.ascontiguousarray(theirs[:, c]) for c in (0, 1)]
         own, sizes = mine[:, 4].astype(np.int64), theirs[:, 4].astype(np.int32)
-        reach = (BINS // 2 - NEED_HALF[np.minimum(sizes, 64)]).astype(np.uint8)
+        reach, mine_reach = half_reach(theirs), half_reach(mine)
         wanted = [np.empty(0, np.int64)]
         # a table of all pairs of some training articles, filled and read in pieces of bounded size
         step = max(1, TABLE // d)
@@ -326,14 +344,14 @@ class Stream:
                 b = np.flatnonzero(row & (sizes <= 2 * own[a]) & (2 * sizes >= own[a]))
                 if len(b):
                     half = np.bitwise_count((columns[0][b] ^ mine[a, 0]) | (columns[1][b] ^ mine[a, 1]))
-                    b = b[half <= np.maximum(reach[b], BINS // 2 - NEED_HALF[min(own[a], 64)])]
+                    b = b[half <= np.maximum(reach[b], mine_reach[a])]
                     b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b])]
                     wanted.append(a * d + b)
         return np.concatenate(wanted)
 
 
-def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(training number, evaluation number, words covered, spans) of the ``wanted`` pairs that matches cover enough of."""
+def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(training number, evaluation number, words covered, spans) of the ``wanted`` pairs."""
     of = doc[end]
     # each interval is located once, however many matches have it
     _, kind = np.unique(low * (index.n + 1) + high, return_inverse=True)
@@ -365,8 +383,7 @@ def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.n
     covered = np.add.reduceat(gain, where)
     spans = np.add.reduceat(fresh.astype(np.int64), where)
     mine, theirs = np.divmod(pair[where], len(index.ids))
-    good = covered >= COVER * counts[mine]
-    return mine[good], theirs[good], covered[good], spans[good]
+    return mine, theirs, covered, spans
 
 
 def _word_blocks(shards: int, min_words: int):
@@ -430,30 +447,35 @@ def read_index(path: str, shard: int) -> Index | None:
 def _streamed(path: str, shards: int, min_words: int):
     schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")])
 
-    def through(ids: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # copies of one text are streamed once; a row without words says whose copy an article is
-        _, first, kind = np.unique(W.text_keys(flat, counts), return_index=True, return_inverse=True)
-        lead = np.zeros(len(ids), bool)
-        lead[first] = True
-        copy = np.flatnonzero(ids[first][kind] != ids)
-        none = pa.nulls(len(copy), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none], schema=schema)
-        stream, mine = Stream(flat[np.repeat(lead, counts)], counts[lead]), ids[lead]
+    def through(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        streams = []
+        for ids, flat, counts in held:
+            # copies of one text are streamed once; a row without words says whose copy an article is
+            _, first, kind = np.unique(W.text_keys(flat, counts), return_index=True, return_inverse=True)
+            lead = np.zeros(len(ids), bool)
+            lead[first] = True
+            copy = np.flatnonzero(ids[first][kind] != ids)
+            none = pa.nulls(len(copy), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none], schema=schema)
+            streams.append((ids[lead], flat[np.repeat(lead, counts)], counts[lead]))
         for shard in range(shards):
             index = read_index(path, shard)
-            if index is not None:
-                a, b, covered, spans = stream.overlaps(index)
+            for mine, flat, counts in streams if index is not None else []:
+                a, b, covered, spans = Stream(flat, counts).overlaps(index)
                 yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            held.append(W.article_words(batch, min_words))
-            if sum(len(h[0]) for h in held) >= STREAM:
-                yield from through(*map(np.concatenate, zip(*held)))
+            for start in range(0, batch.num_rows, STREAM):
+                words = W.article_words(batch.slice(start, STREAM), min_words)
+                if len(words[0]):
+                    held.append(words)
+            if sum(len(h[1]) for h in held) >= HELD:
+                yield from through(held)
                 held = []
-        if sum(len(h[0]) for h in held):
-            yield from through(*map(np.concatenate, zip(*held)))
+        if held:
+            yield from through(held)
 
     return run
 
