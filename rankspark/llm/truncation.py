@@ -5,11 +5,12 @@ regression is trained on the closing characters and words, on punctuation and
 open quotes, and on the distance of the length to its source's limit; then every
 record is scored.
 
-1. Site matter at the end of texts is found by counting: a closing line that
-   stands in at least ``SITE_ARTICLES`` articles and ``SITE_PER_CENT`` % of its
-   source's articles (in small sources, fewer that are a larger share; compared
-   without markup, case and digits) is the site's, and so is a last line that
-   only begins like one.
+1. Site matter at the end of texts is found by counting: a line that stands in
+   at least ``SITE_ARTICLES`` articles and ``SITE_PER_CENT`` % of its source's
+   articles (in small sources, fewer that are a larger share; compared without
+   markup, case and digits) is the site's, and so is a last line that only begins
+   like one.  All lines are counted, whatever their number and length, by hash;
+   the text of a site's line is looked up in one article that has it.
 2. What is left after the site's lines, markup, and leftovers of a cut (ellipsis
    marks, half tags, half entities, a broken character) is the author's text.
    Positions where suspiciously many texts of a source end are its limits.
@@ -29,6 +30,7 @@ from nothing is found.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -48,8 +51,6 @@ from rankspark.sources.shared import stored
 SITE_ARTICLES, SITE_PER_CENT = 8, 2
 #: In small sources fewer articles do, if they are a larger share.
 SMALL_ARTICLES, SMALL_PER_CENT = 3, 10
-#: Closing lines of an article that are looked at for site matter.
-CLOSING = 8
 LIMIT_ARTICLES, LIMIT_PER_CENT = 6, 2
 SAMPLE = 20_000
 FEATURES = 1 << 14
@@ -67,35 +68,62 @@ _END = ".!?。！？"
 _AFTER_END = "\"'”“»’)]"
 
 
-def closing_lines(content: str) -> list[tuple[int, str, str]]:
-    """(number of characters up to the line's end, text, plain form) of the lines that aren't blank."""
-    lines, at = [], 0
-    for m in [*_BREAK.finditer(content), None]:
-        raw = content[at : m.start() if m else len(content)]
+def pieces(content: str) -> list[tuple[int, str]]:
+    """(number of characters up to the line's end, the line as it stands) of the lines that aren't blank."""
+    out, at = [], 0
+    for m in _BREAK.finditer(content):
+        raw = content[at : m.start()]
         if raw and not raw.isspace():
-            text = _TAG.sub("", raw) if "<" in raw else raw
-            if "&" in text:
-                # half an entity stays as it is: decoding would make a character of it
-                cut = _HALF_ENTITY.search(text)
-                text = html.unescape(text[: cut.start()]) + cut[0] if cut else html.unescape(text)
-            plain = plain_line(raw)
-            if plain:
-                lines.append((at + len(raw), text.strip(), plain))
-        at = m.end() if m else 0
-    return lines
-
-
-def own_text(content: str, site: set[str]) -> tuple[list[str], str, int] | None:
-    """The author's lines, the leftover of a cut that follows them (or ""), and where they end; none without such lines."""
-    lines = closing_lines(content)
-    if lines and lines[-1][2] not in site and len(lines[-1][2]) >= 6 and any(s.startswith(lines[-1][2]) for s in site):
-        lines.pop()
-    while lines and lines[-1][2] in site:
+            out.append((at + len(raw), raw))
+        at = m.end()
+    raw = content[at:]
+    if raw and not raw.isspace():
+        out.append((at + len(raw), raw))
+    return out
+
+
+def line_text(raw: str) -> str:
+    text = _TAG.sub("", raw) if "<" in raw else raw
+    if "&" in text:
+        # half an entity stays as it is: decoding would make a character of it
+        cut = _HALF_ENTITY.search(text)
+        text = html.unescape(text[: cut.start()]) + cut[0] if cut else html.unescape(text)
+    return text.strip()
+
+
+class Site:
+    """The lines of one source that are the site's."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = set(lines)
+        self.hashes = {line_hash(x) for x in lines}
+        self.ordered = sorted(lines)
+
+    def begins(self, plain: str) -> bool:
+        """Whether a line of the site begins with ``plain``."""
+        at = bisect.bisect_left(self.ordered, plain)
+        return len(plain) >= 6 and at < len(self.ordered) and self.ordered[at].startswith(plain)
+
+
+def line_hash(plain: str) -> int:
+    return xxhash.xxh3_64_intdigest(plain) - (1 << 63)
+
+
+def own_text(content: str, site: Site) -> tuple[list[tuple[int, str]], str, str, int] | None:
+    """The lines before the author's last one (as they stand), that one's text, the leftover of a cut that follows it
+    (or ""), and where it ends; none without such a line.  Lines are taken from the end, as far as needed."""
+    lines, last = pieces(content), True
+    while lines:
+        plain = plain_line(lines[-1][1])
+        if plain:
+            if plain not in site.lines and not (last and site.begins(plain)):
+                break
+            last = False
         lines.pop()
     if not lines:
         return None
-    end, text, _ = lines[-1]
-    left = ""
+    end, raw = lines.pop()
+    text, left = line_text(raw), ""
     for name, pattern in (("tag", _HALF_TAG), ("entity", _HALF_ENTITY)):
         cut = pattern.search(text)
         if cut:
@@ -105,7 +133,18 @@ def own_text(content: str, site: set[str]) -> tuple[list[str], str, int] | None:
     mark = _MARK.search(text)
     if mark and mark.start():
         left, text = "mark", text[: mark.start()]
-    return [t for _, t, _ in lines[:-1]] + [text], left, end
+    return lines, text, left, end
+
+
+def texts_of(lines: list[tuple[int, str]], most: int | None = None) -> list[str]:
+    """The texts of lines with something to read, the last ``most`` of them."""
+    out = []
+    for _, raw in reversed(lines):
+        if len(out) == most:
+            break
+        if plain_line(raw):
+            out.append(line_text(raw))
+    return out[::-1]
 
 
 def _class(c: str) -> str:
@@ -177,47 +216,71 @@ def finished_copy(lines: list[str], rng: np.random.Generator) -> tuple[list[str]
     return lines[:k] + [lines[k][:at]], left, bool(rng.random() < 0.4)
 
 
-def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PARSED = "article_id long, source string, lines array<long>, ends array<int>, last string"
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each article the hashes of its lines, where they end, and the plain form of the last."""
+    for batch in batches:
+        lines, ends, last = [], [], []
+        for content in batch.column(2).to_pylist():
+            plain = [(end, p) for end, raw in pieces(content) if (p := plain_line(raw))]
+            lines.append([line_hash(p) for _, p in plain])
+            ends.append([end for end, _ in plain])
+            last.append(plain[-1][1] if plain else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32())), pa.array(last, pa.string())], names=["article_id", "source", "lines", "ends", "last"])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         source, line = [], []
-        for feed, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for plain in {p for _, _, p in closing_lines(content)[-CLOSING:] if len(p) <= 200}:
+        for feed, content, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for plain in {p for _, raw in pieces(content) if (p := plain_line(raw)) and line_hash(p) in wanted}:
                 source.append(feed)
                 line.append(plain)
         yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(line, pa.string())], names=["source", "line"])
 
 
-def site_matter(rows: DataFrame) -> DataFrame:
-    """(source, site): the closing lines of each source that are the site's; a source has at most
-    ``CLOSING * 100 / SITE_PER_CENT`` of them."""
+def site_matter(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(source, site): the lines of each source that are the site's, one below the other; a source has at most a hundredfold of the lines of an
+    article, by ``SITE_PER_CENT``."""
     totals = rows.groupBy("source").agg(F.count("*").alias("total"))
-    counts = rows.where("content is not null").select("source", "content").mapInArrow(_closing, "source string, line string").groupBy("source", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min(SITE_ARTICLES, SMALL_ARTICLES))
+    lines = parsed.select("article_id", "source", F.explode(F.array_distinct("lines")).alias("line"))
+    counts = lines.groupBy("source", "line").agg(F.count("*").alias("n"), F.min("article_id").alias("article_id")).where(F.col("n") >= min(SITE_ARTICLES, SMALL_ARTICLES))
     share = lambda n, per_cent: (F.col("n") >= n) & (F.col("n") * 100 >= F.col("total") * per_cent)
     often = counts.join(totals, "source").where(share(SITE_ARTICLES, SITE_PER_CENT) | share(SMALL_ARTICLES, SMALL_PER_CENT))
-    return often.groupBy("source").agg(F.collect_list("line").alias("site"))
+    # one article for each line, or for several: few against all
+    wanted = often.groupBy("source", "article_id").agg(F.collect_list("line").alias("wanted"))
+    named = rows.where("content is not null").join(wanted, ["source", "article_id"]).select("source", "content", "wanted").mapInArrow(_named, "source string, line string")
+    return named.distinct().groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("site"))
 
 
-def _sets(column: pa.Array) -> Iterator[set[str]]:
-    known: dict[tuple, set[str]] = {}
+def _sites(column: pa.Array) -> Iterator[Site]:
+    known: dict[str | None, Site] = {}
     for site in column.to_pylist():
-        key = tuple(site or ())
-        yield known.setdefault(key, set(key))
+        if site not in known:
+            known[site] = Site(site.split("\n") if site else [])
+        yield known[site]
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         source, end = [], []
-        for feed, content, site in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2))):
-            own = own_text(content, site)
-            if own:
+        for feed, lines, ends, last, site in zip(*(batch.column(k).to_pylist() for k in range(4)), _sites(batch.column(4))):
+            k = len(lines) - 1
+            if k >= 0 and lines[k] not in site.hashes and site.begins(last):
+                k -= 1
+            while k >= 0 and lines[k] in site.hashes:
+                k -= 1
+            if k >= 0:
                 source.append(feed)
-                end.append(own[2])
+                end.append(ends[k])
         yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(end, pa.int32())], names=["source", "end"])
 
 
-def limits(rows: DataFrame) -> DataFrame:
+def limits(parsed: DataFrame) -> DataFrame:
     """(source, limits): lengths at which suspiciously many texts of a source end; at most 100 / ``LIMIT_PER_CENT`` each."""
-    ends = rows.select("source", "content", "site").where("content is not null").mapInArrow(_ends, "source string, `end` int")
+    ends = parsed.select("source", "lines", "ends", "last", "site").mapInArrow(_ends, "source string, `end` int")
     counts = ends.groupBy("source", "end").agg(F.count("*").alias("n"))
     totals = counts.groupBy("source").agg(F.sum("n").alias("total"))
     often = counts.where(F.col("n") >= LIMIT_ARTICLES).join(totals, "source").where(F.col("n") * 100 >= F.col("total") * LIMIT_PER_CENT)
@@ -230,18 +293,19 @@ def _featured(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {"article_id": [], "label": [], "words": []}
-            for i, content, site, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2)), batch.column(3).to_pylist()):
+            for i, content, site, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sites(batch.column(2)), batch.column(3).to_pylist()):
                 own = own_text(content, site)
                 if own is None:
                     continue
-                lines, left, end = own
+                before, text, left, end = own
                 near = any(m - 1 <= end <= m + 1 for m in marks or ())
                 draw = zlib.crc32(f"{SEED} {i}".encode()) / 2**32 < share
                 rows["article_id"].append(i)
                 # intact: what ends neither in a leftover nor at a limit
                 rows["label"].append(0.0 if draw and not left and not near else None)
-                rows["words"].append(features(lines, left, near))
+                rows["words"].append(features([*texts_of(before, 1), text], left, near))
                 if draw and not left and not near:
+                    lines = [*texts_of(before), text]
                     rng = np.random.default_rng([SEED, i & 0x7FFFFFFFFFFFFFFF])
                     for label, copy in ((1.0, cut_copy(lines, rng)), (0.0, finished_copy(lines, rng) if rng.random() < 0.3 else None)):
                         if copy:
@@ -256,24 +320,26 @@ def _featured(share: float):
 def scored(articles: DataFrame) -> DataFrame:
     """(article_id, probability) of each article with a text of its own, from (article_id, source, content)."""
     rows = articles.select("article_id", "source", "content").where("article_id is not null and source is not null")
-    site, _ = stored(site_matter(rows), "site")
-    known = rows.join(site, "source", "left")
-    marks, _ = stored(limits(known), "limits")
-    known = known.join(marks, "source", "left")
+    parsed, _ = stored(rows.where("content is not null").mapInArrow(_parsed, _PARSED), "lines")
+    site, _ = stored(site_matter(rows, parsed), "site")
+    marks, _ = stored(limits(parsed.join(site, "source", "left")), "limits")
     share = min(1.0, SAMPLE / max(1, rows.count()))
-    made = known.where("content is not null").select("article_id", "content", "site", "limits").mapInArrow(_featured(share), "article_id long, label double, words array<string>")
+    known = rows.where("content is not null").join(site, "source", "left").join(marks, "source", "left")
+    made = known.select("article_id", "content", "site", "limits").mapInArrow(_featured(share), "article_id long, label double, words array<string>")
     made, _ = stored(made, "features")
     hashing = HashingTF(inputCol="words", outputCol="features", numFeatures=FEATURES, binary=True)
-    train = hashing.transform(made.where("label is not null").select("article_id", "label", "words")).persist()
-    every = hashing.transform(made.where("article_id is not null").select("article_id", "words").dropDuplicates(["article_id"]))
+    # the bounded sample is small: one partition, so that a round of the fit is one task
+    train, _ = stored(hashing.transform(made.where("label is not null").select("article_id", "label", "words")).select("article_id", "label", "features").coalesce(1), "training")
+    train = train.coalesce(1).persist()
+    every = hashing.transform(made.where("article_id is not null").select("article_id", "words"))
     if train.select("label").distinct().count() < 2:
-        return every.select("article_id", F.lit(0.0).alias("probability"))
+        return every.select("article_id", F.lit(0.0).alias("probability")).dropDuplicates(["article_id"])
     fit = LogisticRegression(regParam=1e-3, maxIter=60, standardization=False).fit
     # intact records that the first model takes for cut ones are most likely that: they go, and it is fitted again
-    doubted = fit(train).transform(train).where((F.col("label") == 0) & F.col("article_id").isNotNull() & (vector_to_array("probability")[1] >= DOUBT))
-    model = fit(train.join(doubted.select("article_id", F.lit(True).alias("doubted")), "article_id", "left").where("doubted is null"))
+    sure = (F.col("label") == 1) | F.col("article_id").isNull() | (vector_to_array("probability")[1] < DOUBT)
+    model = fit(fit(train).transform(train).where(sure).select("label", "features"))
     train.unpersist()
-    return model.transform(every).select("article_id", vector_to_array("probability")[1].alias("probability"))
+    return model.transform(every).select("article_id", vector_to_array("probability")[1].alias("probability")).dropDuplicates(["article_id"])
 
 
 def cut_off(articles: DataFrame) -> DataFrame:

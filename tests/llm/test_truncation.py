@@ -36,8 +36,12 @@ def test_held_out_accuracy(spark, data):
 
 
 def test_own_text():
-    site = {"read more at the gazette", "0 comments"}
-    own = lambda c: T.own_text(c, site)
+    site = T.Site(["read more at the gazette", "0 comments"])
+
+    def own(c):
+        found = T.own_text(c, site)
+        return found and ([*T.texts_of(found[0]), found[1]], *found[2:])
+
     assert own("<p>It ends.</p>\n<p>12 comments</p>\n<p>Read more at The Gazette</p>")[:2] == (["It ends."], "")
     assert own("It ends.\nRead more at the ga")[:2] == (["It ends."], "")  # a cut notice of the site
     assert own("It was […]")[:2] == (["It was"], "mark")
@@ -57,3 +61,26 @@ def test_rates_and_edges(spark, data):
     rates = {r["source"]: r for r in T.rates(rows).collect()}
     assert rates["s"]["articles"] == 4 and sum(r["cut_off"] for r in rates.values()) == len(ids)
     assert T.cut_off(rows.limit(0)).count() == 0 and T.rates(rows.limit(0)).count() == 0
+
+
+def test_long_footers_and_long_notices_are_site_matter(spark, data):
+    """A footer of any number of lines, and of lines of any length, hides no cut and makes none."""
+    rows, cut = held_out(spark, data.replace("0.001", "0.01"))
+    foot = "\n".join([f"Footer line number {'abcdefghijkl'[k]} of the site" for k in range(12)] + ["This notice is long and ends properly. " * 20])
+    rows = [(i, "one source", c + "\n" + foot) for i, _, c in rows]
+    got = {r[0] for r in T.cut_off(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum((i in got) == (i in cut) for i, _, _ in rows) >= 0.97 * len(rows)
+
+
+def test_the_fit_is_a_few_tasks(spark, data):
+    """The training sample is one partition, whatever the number of partitions of the articles."""
+    df = articles(spark, data, "content").withColumn("source", F.col("feed_name")).repartition(40)
+    tracker, group = spark.sparkContext.statusTracker(), "p4-fit"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        T.cut_off(df).count()
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        tasks = sum(i.numTasks for s in set(stages) if (i := tracker.getStageInfo(s)) and i.numCompletedTasks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks < 600
