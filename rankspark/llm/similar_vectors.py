@@ -4,10 +4,11 @@ Method: stable projections, a kd-tree on them, and a chi-square stopping test.
 Unit vectors are projected onto ``DIMENSIONS`` Gaussian directions; the squared
 projected distance of two vectors over their squared distance then follows a
 chi-square distribution with as many degrees of freedom.  The projections are
-indexed by a kd-tree.  A query takes the leaves in the order of their projected
-distance and verifies their vectors exactly; once a leaf lies so far away that
-a vector as near as the k-th best would have been met before with probability
-``confidence``, the rest is skipped.  With ``min_cosine`` only neighbours of at
+indexed by a kd-tree.  A block of queries takes cells, and in them leaves, in the
+order of their projected distance, and verifies their vectors exactly; once a leaf
+lies so far away from a query that a vector as near as its k-th best would have
+been met before with probability ``confidence``, the query skips it, and a cell that
+all queries skip isn't read.  With ``min_cosine`` only neighbours of at
 least that cosine count, so the k-th best is never farther than that: the search
 ends early and the loss is at most ``1 - confidence`` a neighbour at exactly that
 cosine, and far less above it.
@@ -15,8 +16,9 @@ cosine, and far less above it.
 Layout: the upper levels of the tree are fitted on a sample of at most
 ``SAMPLE`` vectors and cut the collection into cells of about ``CELL`` vectors;
 every vector is indexed.  Cells are written once to the shared folder.  A task
-takes a block of queries of one cell and streams the cells, nearest first,
-through memory: no pair is shuffled and nothing is sent to the driver.
+takes a block of queries of one cell and streams the cells it needs, nearest
+first, through memory: no pair is shuffled.  All tasks know the boxes of the cells
+(48 bytes for ``CELL`` vectors), which is all that the driver gets of them.
 
 Copies: vectors of the same values are searched once, under their smallest id,
 and get their neighbours by a join; the copies of one vector are each other's
@@ -174,9 +176,18 @@ class Search:
             if good.any():
                 self._merge(query[good], cosine.ravel()[hit][good], other[good])
 
+    def reach(self) -> np.ndarray:
+        """Squared projected distance up to which each query looks; that of unit vectors is 2 - 2 cos."""
+        return self.stop * 2 * (1 - self.worst)
+
+    def wants(self, low: np.ndarray, high: np.ndarray) -> bool:
+        """Whether any query may find something in a box of the projection."""
+        gap = np.maximum(np.maximum(low - self.projected, self.projected - high), 0)
+        return bool(((gap * gap).sum(axis=1) <= self.reach()).any())
+
     def add(self, cell: Cell, nearest_first: bool) -> None:
         far = cell.distances(self.projected)
-        reach = lambda: self.stop * 2 * (1 - self.worst)  # noqa: E731  # squared distance of unit vectors: 2 - 2 cos
+        reach = self.reach
         if nearest_first:  # the nearest leaf of each query sets its bound before the rest is judged
             first = far.argmin(axis=0)
             for leaf in np.unique(first):
@@ -185,7 +196,7 @@ class Search:
                 if len(query):
                     self._leaf(cell, leaf, query)
             far[first, np.arange(far.shape[1])] = np.inf
-        for leaf in range(len(far)):
+        for leaf in far.min(axis=1).argsort(kind="stable"):
             query = np.flatnonzero(far[leaf] <= reach())
             if len(query):
                 self._leaf(cell, leaf, query)
@@ -231,7 +242,7 @@ def _built(length: int, projector: np.ndarray):
         order = np.argsort(ids)  # the same tree whatever order the pieces come in
         x = np.frombuffer(b"".join(frame["vectors"]), np.float32).reshape(-1, length)[order]
         cell = Cell.build(ids[order], x, projector, asks=np.frombuffer(b"".join(frame["asks"]), np.uint8)[order])
-        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "ids": [cell.ids.tobytes()], "vectors": [cell.vectors.tobytes()], "sizes": [np.diff(cell.edge).tobytes()], "asks": [cell.asks.tobytes()]})
+        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "ids": [cell.ids.tobytes()], "vectors": [cell.vectors.tobytes()], "sizes": [np.diff(cell.edge).tobytes()], "asks": [cell.asks.tobytes()], "box": [np.stack([cell.low.min(axis=0), cell.high.max(axis=0)]).astype(np.float32).tobytes()]})
 
     return run
 
@@ -246,7 +257,7 @@ def read_cell(path: str, cell: int, length: int, projector: np.ndarray) -> Cell
     return Cell(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, length), np.frombuffer(row["sizes"], np.int64), projector, np.frombuffer(row["asks"], np.uint8))
 
 
-def _searcher(path: str, cells: int, length: int, projector: np.ndarray, k: int, min_cosine: float, confidence: float, blocks: int):
+def _searcher(path: str, boxes: dict[int, np.ndarray], length: int, projector: np.ndarray, k: int, min_cosine: float, confidence: float, blocks: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for home, block in zip(frame["cell"], frame["block"]):
@@ -259,19 +270,24 @@ def _searcher(path: str, cells: int, length: int, projector: np.ndarray, k: int,
                 if not len(mine):
                     continue
                 search = Search(own.ids[mine], own.vectors[mine], own.projected[mine], k, min_cosine, confidence)
-                for c in _outwards(cells, home):
-                    there = own if c == home else read_cell(path, c, length, projector)
-                    if there is not None:
-                        search.add(there, nearest_first=min_cosine <= -1)
+                for c in outwards(boxes, home, search.projected):
+                    if c == home or search.wants(*boxes[c]):
+                        search.add(own if c == home else read_cell(path, c, length, projector), nearest_first=min_cosine <= -1)
                 q, r = np.nonzero(search.best_id >= 0)
                 yield pd.DataFrame({"id": search.ids[q], "neighbour": search.best_id[q, r], "cosine": search.best_cosine[q, r].astype(float)})
 
     return run
 
 
-def _outwards(cells: int, home: int) -> list[int]:
-    """Cells from home outwards: neighbours in the tree are neighbours in the projection."""
-    return sorted(range(cells), key=lambda c: ((c ^ home).bit_length(), c))
+def outwards(boxes: dict[int, np.ndarray], home: int, projected: np.ndarray) -> list[int]:
+    """Cells in the order of their boxes' projected distance from the box of the queries, home first."""
+    low, high = projected.min(axis=0), projected.max(axis=0)
+
+    def distance(c: int) -> tuple[bool, float, int]:
+        gap = np.maximum(np.maximum(boxes[c][0] - high, low - boxes[c][1]), 0)
+        return c != home, float((gap * gap).sum()), c
+
+    return sorted(boxes, key=distance)
 
 
 def neighbours(vectors: DataFrame, length: int, k: int = 5, min_cosine: float = -2.0, confidence: float = CONFIDENCE, every: int = 1, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
@@ -295,11 +311,12 @@ def neighbours(vectors: DataFrame, length: int, k: int = 5, min_cosine: float =
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         tree = cell_tree((x @ projector).astype(np.float32), cells)
     packed = leaders.mapInArrow(_to_cells(length, projector, tree), "cell int, ids binary, vectors binary, asks binary")
-    packed = packed.groupBy("cell").applyInPandas(_built(length, projector), "cell int, ids binary, vectors binary, sizes binary, asks binary")
-    _, path = stored(packed, "cells", "cell")
+    packed = packed.groupBy("cell").applyInPandas(_built(length, projector), "cell int, ids binary, vectors binary, sizes binary, asks binary, box binary")
+    held, path = stored(packed, "cells", "cell")
+    boxes = {r["cell"]: np.frombuffer(r["box"], np.float32).reshape(2, -1) for r in held.select("cell", "box").collect()}
     blocks = 1 if every >= 20 else 2
     tasks = spark.range(0, cells * blocks, 1, cells * blocks).select((F.col("id") / blocks).cast("int").alias("cell"), F.pmod("id", F.lit(blocks)).cast("int").alias("block"))
-    found = tasks.mapInPandas(_searcher(path, cells, length, projector, k, min_cosine, confidence, blocks), "id long, neighbour long, cosine double")
+    found = tasks.mapInPandas(_searcher(path, boxes, length, projector, k, min_cosine, confidence, blocks), "id long, neighbour long, cosine double")
     return _with_copies(found, several, k, every) if several.head(1) else found
 
 
