@@ -11,9 +11,10 @@ among three documents with open probabilities there is one direction that
 changes neither the sum of probabilities nor that of tokens; go along it, to
 either side at random so that expectations stay, until a probability is 0 or 1,
 and take the next document in.  It runs in parallel on salted chunks of each
-source, which leave two open documents each, then on these; at most two of a
-source are left for the landing phase, which rounds them so that the tokens
-come closest to the target.
+source, which leave two open documents each, and in rounds of chunks on what is
+left until that is one chunk a source at most.  Two of it and some that were
+kept go to the landing phase, which rounds them so that the tokens come closest
+to the target.
 
 A source's tokens therefore miss its target by less than the size of its two
 largest documents, whatever the number of documents.
@@ -97,16 +98,18 @@ def _rng(seed: int, source: str, chunk: int) -> np.random.Generator:
     return np.random.default_rng(xxhash.xxh3_64_intdigest(f"{seed}\n{chunk}\n{source}"))
 
 
-def _flown(seed: int):
+def _flown(seed: int, turn: int = 0):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["salt", "doc_id", "tokens"])
         p, tokens, chunk = frame["p"].to_numpy(), frame["tokens"].to_numpy(), int(frame["chunk"].iat[0])
         kept = np.zeros(len(p), bool)
-        if chunk == 0:  # documents of all sizes wait for the landing
+        if turn:
+            kept = frame["kept"].to_numpy()
+        elif chunk == 0:  # documents of all sizes wait for the landing
             order = np.argsort(tokens, kind="stable")
             kept[order[np.unique(np.linspace(0, len(p) - 1, min(KEPT, len(p))).astype(int))]] = True
         p = p.copy()
-        p[~kept] = flight(p[~kept], tokens[~kept], _rng(seed, frame["source"].iat[0], chunk))
+        p[~kept] = flight(p[~kept], tokens[~kept], _rng(seed + turn, frame["source"].iat[0], chunk))
         return frame.assign(p=p, kept=kept)
 
     return run
@@ -155,8 +158,14 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, path: str = RA
     rows = rows.select("doc_id", "source", "tokens", "base", salt.alias("salt"), F.pmod(F.xxhash64(salt), "chunks").cast("int").alias("chunk"), F.col("part").alias("p"), F.lit(False).alias("kept"))
     drawn = rows.where("p > 0").groupBy("source", "chunk").applyInPandas(_flown(seed), rows.schema)
     drawn, _ = stored(drawn, "flown")
-    open_ = drawn.where("p > 0 and p < 1").groupBy("source").applyInPandas(_landed(seed), rows.schema)
-    every = rows.where("p = 0").unionByName(drawn.where("p = 0 or p = 1")).unionByName(open_)
+    every = rows.where("p = 0").unionByName(drawn.where("p = 0 or p = 1"))
+    chunks, turn = plan.agg(F.coalesce(F.max("chunks"), F.lit(0))).first()[0], 0
+    while 2 * chunks + KEPT > CHUNK:  # what the chunks of a source left may still be too much for one
+        chunks, turn = -(-2 * chunks // CHUNK), turn + 1
+        again = drawn.where("p > 0 and p < 1").withColumn("chunk", F.pmod(F.xxhash64("salt", F.lit(turn)), F.lit(chunks)).cast("int"))
+        drawn, _ = stored(again.groupBy("source", "chunk").applyInPandas(_flown(seed, turn), rows.schema), "flown")
+        every = every.unionByName(drawn.where("p = 0 or p = 1"))
+    every = every.unionByName(drawn.where("p > 0 and p < 1").groupBy("source").applyInPandas(_landed(seed), rows.schema))
     chosen = every.select("doc_id", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("uses")).where("uses > 0")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.sum("uses").alias("uses"))
     mixed = got.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()

@@ -61,3 +61,16 @@ def test_edges(spark):
     for empty in (M.mix(documents.limit(0), targets), M.mix(documents, targets.limit(0))):
         assert empty[0].count() == 0
     assert M.mix(documents.limit(0), targets)[1].count() == 4
+
+
+def test_flight_in_rounds(spark, monkeypatch):
+    """Chunks so small that what they leave takes several more rounds."""
+    monkeypatch.setattr(M, "CHUNK", 40)
+    rng = np.random.default_rng(2)
+    rows = [(k, "word " * int(rng.integers(1, 60)), "a" if k % 3 else "b") for k in range(6000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 4)], "source string, target_share double, max_repeats int")
+    chosen, report = M.mix(documents, targets)
+    for r in report.collect():
+        assert r["reaches_target"] and abs(r["tokens"] - r["target_tokens"]) <= 60
+    assert chosen.count() == chosen.select("doc_id").distinct().count()
