@@ -11,17 +11,18 @@ so each text with a seed is found, however close others are.  A search stops at
 same places: merged, the spans are the maximal matches whatever their length.
 Matches of at least ``MIN_MATCH`` words are located, merged into spans of each
 pair of articles, and counted; every common run of ``MIN_MATCH + STEP - 1`` words
-or more is found.  All pairs with a span are verified exactly on their full sets of
-three-word sequences, after a screening by sketch.
+or more is found.
 
 Frequent seeds (notices of a site, stock phrases, large groups of copies; more
 than ``FREQUENT`` articles of a shard) are looked at only where a pair may depend
 on them.  An alike partner has at least half of an article's sequences, so an
 article whose frequent seeds touch up to ``TOUCHED`` of its words shares many others
 with it and is found by its rare seeds.  Of articles with more, all seeds count.
-All pairs that share a seed in this way are screened by a sketch of their sets;
-those that pass have their matches extended, located and merged.  The sketch and
-its margin are those of the near-duplicate operator.
+All pairs that share a seed in this way are screened by a sketch of their sets
+(that of the near-duplicate operator, with its margin) and verified exactly on the
+full sets of three-word sequences, which the index holds beside the texts; those
+that are alike have their matches extended, located and merged.  So no set and no
+text moves for it.
 
 The index of a shard holds the Burrows-Wheeler transform as positions by word, a
 suffix array sampled at every ``RATE``-th word, and the intervals of all
@@ -51,7 +52,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
-from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, half_reach, matching, sketches, verified
+from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, half_reach, matching, sketches
 from rankspark.sources.shared import stored
 
 SHARD_WORDS = 2_500_000
@@ -125,7 +126,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 class Index:
     """An FM-index over the words of some articles."""
 
-    FIELDS = (("ids", np.int64), ("starts", np.int64), ("vocabulary", np.uint64), ("counts", np.int64), ("places", np.int32), ("sampled", np.int32), ("positions", np.int32), ("seeds", np.uint64), ("low", np.int32), ("high", np.int32), ("sketch", np.uint64))
+    FIELDS = (("ids", np.int64), ("starts", np.int64), ("vocabulary", np.uint64), ("counts", np.int64), ("places", np.int32), ("sampled", np.int32), ("positions", np.int32), ("seeds", np.uint64), ("low", np.int32), ("high", np.int32), ("sketch", np.uint64), ("sets", np.uint64), ("sizes", np.int64))
 
     def __init__(self, **fields: np.ndarray):
         self.__dict__.update(fields)
@@ -178,10 +179,11 @@ class Index:
         known[::RATE] = True
         known[starts] = True
         sampled = np.flatnonzero(known[suffixes])
+        doc, sets, _ = W.shingles(flat, counts)
         return cls(
             ids=ids, starts=starts, vocabulary=vocabulary, counts=np.bincount(before, minlength=len(vocabulary) + 1), places=places,
             sampled=sampled.astype(np.int32), positions=suffixes[sampled].astype(np.int32),
-            seeds=hashed[first][by], low=row[first][by].astype(np.int32), high=(row[last][by] + 1).astype(np.int32), sketch=sketches(*W.shingles(flat, counts)[:2], d).ravel(),
+            seeds=hashed[first][by], low=row[first][by].astype(np.int32), high=(row[last][by] + 1).astype(np.int32), sketch=sketches(doc, sets, d).ravel(), sets=sets, sizes=np.bincount(doc, minlength=d),
         )
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
@@ -277,34 +279,54 @@ class Stream:
         good = np.flatnonzero((offset % STEP == 0) & (self.doc[: len(at)] == self.doc[MIN_MATCH - 1 : MIN_MATCH - 1 + len(at)]))
         self.first = good[np.argsort(hashed[good])]
         self.hashed = hashed[self.first]
-        self.sketch = sketches(*W.shingles(flat, counts)[:2], len(counts))
-
-    def overlaps(self, index: Index) -> tuple[np.ndarray, ...]:
-        """(training number, evaluation number, words covered, spans) of the pairs that may be alike."""
-        wanted = self.alike(index)
-        d = len(index.ids)
-        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // d))
+        of, self.sets, _ = W.shingles(flat, counts)
+        self.edge = np.searchsorted(of, np.arange(len(counts) + 1))
+        self.sketch = sketches(of, self.sets, len(counts))
+
+    def overlaps(self, index: Index, similarity: float) -> tuple[np.ndarray, ...]:
+        """(training number, evaluation number, words covered, spans, similarity) of the pairs that are alike."""
+        wanted, value = self.exact(index, self.alike(index), similarity)
+        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // len(index.ids)))
         which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
         end = self.first[seeds[which]] + MIN_MATCH - 1
-        return pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
+        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
+        return mine, theirs, covered, spans, value[np.searchsorted(wanted, mine * len(index.ids) + theirs)]
+
+    def exact(self, index: Index, wanted: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs (in order) those of at least ``similarity``, and their similarities."""
+        theirs = np.concatenate([[0], np.cumsum(index.sizes)])
+        of, b = np.divmod(wanted, len(index.ids))
+        value = np.zeros(len(wanted))
+        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else [0]
+        for i, j in zip(edge[:-1], edge[1:]):
+            mine = self.sets[self.edge[of[i]] : self.edge[of[i] + 1]]
+            for piece in pieces(index.sizes[b], i, j):
+                size = index.sizes[b[piece]]
+                start = np.cumsum(size) - size
+                all_ = index.sets[np.repeat(theirs[b[piece]] - start, size) + np.arange(size.sum())]
+                at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+                common = np.add.reduceat(mine[at] == all_, start, dtype=np.int64)
+                value[piece] = common / (len(mine) + size - common)
+        good = value >= similarity
+        return wanted[good], value[good]
 
     def alike(self, index: Index) -> np.ndarray:
         """The pairs (training number * evaluation articles + evaluation number, in order) that share a seed and whose sketches match."""
         hit, low, high = index.start(self.hashed)
         d, theirs = len(index.ids), index.sketch.reshape(-1, WIDTH)
-        _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
-        size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
         # frequent seeds count for the articles of which they touch much
-        frequent = size > FREQUENT
-        mark = np.zeros(len(self.flat) + MIN_MATCH, np.int64)
-        touching = self.first[hit[frequent[kind]]]
+        frequent = high - low > FREQUENT
+        mark = np.zeros(len(self.flat) + MIN_MATCH + 1, np.int64)
+        touching = self.first[hit[frequent]]
         np.add.at(mark, touching, 1)
         np.add.at(mark, touching + MIN_MATCH, -1)
         touched = np.bincount(self.doc[np.cumsum(mark)[: len(self.flat)] > 0], minlength=len(self.counts))
         needed = touched > TOUCHED * self.counts
-        used = ~frequent[kind] | needed[self.doc[self.first[hit]]]
-        hit, kind = hit[used], kind[used]
+        used = ~frequent | needed[self.doc[self.first[hit]]]
+        hit, low, high = hit[used], low[used], high[used]
+        _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
+        size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
         # of an article's equal seeds one counts
         doc, kind = np.divmod(distinct(self.doc[self.first[hit]] * max(1, len(lead)) + kind), max(1, len(lead)))
         # the articles of frequent seeds as bits, at most four bytes an article in place of eight
@@ -444,8 +466,8 @@ def read_index(path: str, shard: int) -> Index | None:
     return Index(**{name: np.frombuffer(table.column(name)[0].as_buffer(), kind) for name, kind in Index.FIELDS})
 
 
-def _streamed(path: str, shards: int, min_words: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")])
+def _streamed(path: str, shards: int, min_words: int, similarity: float):
+    schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")] + [("similarity", pa.float64())])
 
     def through(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         streams = []
@@ -456,13 +478,13 @@ def _streamed(path: str, shards: int, min_words: int):
             lead[first] = True
             copy = np.flatnonzero(ids[first][kind] != ids)
             none = pa.nulls(len(copy), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none, none.cast(pa.float64())], schema=schema)
             streams.append((ids[lead], flat[np.repeat(lead, counts)], counts[lead]))
         for shard in range(shards):
             index = read_index(path, shard)
             for mine, flat, counts in streams if index is not None else []:
-                a, b, covered, spans = Stream(flat, counts).overlaps(index)
-                yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans}, schema=schema)
+                a, b, covered, spans, value = Stream(flat, counts).overlaps(index, similarity)
+                yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -480,8 +502,8 @@ def _streamed(path: str, shards: int, min_words: int):
     return run
 
 
-def candidates(train: DataFrame, evaluation: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (train_id, eval_id, words, spans) of different texts' representatives, and the copies (leader, copy) of
+def alike_representatives(train: DataFrame, evaluation: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Alike pairs (train_id, eval_id, words, spans, similarity) of different texts' representatives, and the copies (leader, copy) of
     training and of evaluation texts, from two tables of (article_id, title, content)."""
     # shards by characters: about six a word
     size = evaluation.agg(F.sum(F.length("content"))).first()[0] or 0
@@ -489,9 +511,9 @@ def candidates(train: DataFrame, evaluation: DataFrame, min_words: int = MIN_WOR
     blocks = evaluation.select("article_id", "title", "content").mapInArrow(_word_blocks(shards, min_words), "shard int, ids binary, copy_of binary, counts binary, flat binary")
     schema = "shard int, " + ", ".join(f"{name} binary" for name, _ in Index.FIELDS) + ", copies binary"
     index, path = stored(blocks.groupBy("shard").applyInPandas(_indexed, schema), "index", "shard")
-    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, shards, min_words), "train_id long, eval_id long, words long, spans long")
+    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, shards, min_words, similarity), "train_id long, eval_id long, words long, spans long, similarity double")
     found, _ = stored(found, "overlaps")
-    pairs = found.where("words is not null").groupBy("train_id", "eval_id").agg(F.max("words").alias("words"), F.max("spans").alias("spans"))
+    pairs = found.where("words is not null").groupBy("train_id", "eval_id").agg(F.max("words").alias("words"), F.max("spans").alias("spans"), F.max("similarity").alias("similarity"))
     copies = found.where("words is null").select(F.col("eval_id").alias("leader"), F.col("train_id").alias("copy")).distinct()
     return pairs, copies, index.select("copies").mapInPandas(_listed, "leader long, copy long")
 
@@ -516,9 +538,7 @@ def split_overlaps(articles: DataFrame, splits: DataFrame, train: str = "train",
     """(train_id, eval_id, words, spans, similarity) of every alike pair across the splits."""
     rows = with_split(articles, splits)
     here, there = rows.where(F.col("split") == train), rows.where(F.col("split").isin(*evaluation))
-    pairs, train_copies, eval_copies = candidates(here, there, min_words)
-    exact = verified(pairs.select(F.col("train_id").alias("a"), F.col("eval_id").alias("b")), articles, similarity, min_words)
-    alike = exact.withColumnsRenamed({"a": "train_id", "b": "eval_id"}).join(pairs, ["train_id", "eval_id"])
+    alike, train_copies, eval_copies = alike_representatives(here, there, similarity, min_words)
     return _with_copies(_with_copies(alike, train_copies, "train_id"), eval_copies, "eval_id")
 
 

@@ -70,7 +70,7 @@ def test_shards_and_hot_matches(spark):
     df = spark.createDataFrame(rows, "article_id long, title string, content string")
     train, evaluation = df.where("article_id < 30"), df.where("article_id >= 30")
     for words in (S.SHARD_WORDS, 600):
-        got = {(r["train_id"], r["eval_id"]) for r in S.candidates(train, evaluation, shard_words=words)[0].collect()}
+        got = {(r["train_id"], r["eval_id"]) for r in S.alike_representatives(train, evaluation, shard_words=words)[0].collect()}
         assert got == set(itertools.product(range(30), range(30, 60)))
 
 
@@ -79,7 +79,7 @@ def test_copies_take_part_in_all_pairs(spark):
     rows = [(k, "t", text) for k in range(300)] + [(1000, "t", text.replace("word7", "x"))]
     df = spark.createDataFrame(rows, "article_id long, title string, content string").repartition(3)
     splits = spark.createDataFrame([(k, "train" if k % 3 else "test") for k in range(300)] + [(1000, "test")], "article_id long, split string")
-    pairs = S.candidates(df.where("article_id % 3 <> 0"), df.where("article_id % 3 = 0"))[0]
+    pairs = S.alike_representatives(df.where("article_id % 3 <> 0"), df.where("article_id % 3 = 0"))[0]
     assert pairs.count() < 50
     found = S.split_overlaps(df, splits)
     assert {(r["train_id"], r["eval_id"]) for r in found.collect()} == {(a, b) for a in range(300) if a % 3 for b in [*range(0, 300, 3), 1000]}
@@ -94,7 +94,7 @@ def test_a_closer_sibling_hides_no_pair(spark):
     df = spark.createDataFrame(rows, "article_id long, title string, content string")
     assert set(brute_pairs(rows)) >= {(1, 2), (1, 3)}
     for words in (S.SHARD_WORDS, 250):
-        got = {(r["train_id"], r["eval_id"]) for r in S.candidates(df.where("article_id = 1"), df.where("article_id > 1"), shard_words=words)[0].collect()}
+        got = {(r["train_id"], r["eval_id"]) for r in S.alike_representatives(df.where("article_id = 1"), df.where("article_id > 1"), shard_words=words)[0].collect()}
         assert got == {(1, 2), (1, 3)}
 
 
@@ -132,5 +132,22 @@ def test_frequent_matches_hide_no_pair(spark):
     df = spark.createDataFrame(rows, "article_id long, title string, content string")
     want = {(a, b) for a, b in brute_pairs(rows) if a == 0}
     assert len(want) == 20
-    got = {(r["train_id"], r["eval_id"]) for r in S.candidates(df.where("article_id = 0"), df.where("article_id > 0"))[0].collect()}
+    got = {(r["train_id"], r["eval_id"]) for r in S.alike_representatives(df.where("article_id = 0"), df.where("article_id > 0"))[0].collect()}
     assert got >= want
+
+
+def test_notices_that_many_share(spark):
+    """Frequent seeds of a notice are skipped where little depends on them, and count for short articles that are mostly notice."""
+    rng = np.random.default_rng(7)
+    notice = [f"notice{k}" for k in range(40)]
+    rows, n = [], 2 * S.FREQUENT
+    for k in range(n):
+        body = [f"b{k}x{j}" for j in range((14, 60, 150)[k % 3])]
+        rows.append((k, "t", " ".join(body + notice)))
+        other = [f"e{rng.integers(10**9)}" if rng.random() < 0.04 else w for w in body]
+        rows.append((1000 + k, "t", " ".join(other + notice)))
+    df = spark.createDataFrame(rows, "article_id long, title string, content string")
+    want = {(a, b) for a, b in brute_pairs(rows) if a < 1000 <= b} | {(b, a) for a, b in brute_pairs(rows) if b < 1000 <= a}
+    got = S.alike_representatives(df.where("article_id < 1000"), df.where("article_id >= 1000"))[0].collect()
+    assert {(r["train_id"], r["eval_id"]) for r in got} == want and len(want) > n
+    assert all(0.5 <= r["similarity"] <= 1 and r["spans"] >= 1 for r in got)
