@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from rankspark.llm.oracles import oracle_sql  # noqa: F401  (the driver asks this module)
 from rankspark.llm import encode, garbled, mixing, near_duplicates, similar_vectors, site_lines, split_overlap, truncation
 from rankspark.sources import articles, table
 
@@ -23,7 +24,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_vectors.neighbours(_vectors(spark, sf_dir), 64, k=5, every=50)
-    return found.withColumnsRenamed({"id": "article_id", "neighbour": "neighbour_id"})
+    return found.select(F.col("id").alias("article_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 3).alias("cosine"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_found": p8_found,
         "p8_restored": p8_restored,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
