@@ -55,7 +55,7 @@ from rankspark.llm import words as W
 from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, half_reach, matching, sketches
 from rankspark.sources.shared import stored
 
-SHARD_WORDS = 2_500_000
+SHARD_WORDS = 1_800_000
 STEP = 4
 MIN_MATCH = 6
 MAX_MATCH = 24
@@ -66,7 +66,7 @@ FREQUENT = 64
 TOUCHED = 0.25
 STREAM = 5_000
 #: Words of training articles that a task holds while the shards pass.
-HELD = 8_000_000
+HELD = 2_500_000
 LOCATE = 500_000
 TABLE = 16_000_000
 _BIG = np.uint64(0x9E3779B97F4A7C15)
@@ -75,31 +75,34 @@ _BIG = np.uint64(0x9E3779B97F4A7C15)
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """The suffix array, by prefix doubling on what isn't sorted yet; the last symbol must be unique."""
     n = len(symbols)
-    following = np.append(symbols[1:], -1).astype(np.int64) + 1
-    key = symbols.astype(np.int64) * (int(symbols.max()) + 2) + following
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    first = np.r_[True, sorted_[1:] != sorted_[:-1]]
-    rank = np.empty(n, np.int64)
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, n))
+    key = symbols.astype(np.int64)
+    key *= int(symbols.max()) + 2
+    key[:-1] += symbols[1:]
+    key[:-1] += 1
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).astype(np.int32)
+    del key
+    size = np.diff(np.append(start, np.int32(n)))
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(start, size)
     active, k = order[np.repeat(size > 1, size)], 2
+    del order
     while len(active):
         after = np.where(active + k < n, rank[np.minimum(active + k, n - 1)] + 1, 0)
-        order = np.lexsort((after, rank[active]))
+        # by rank, then by what follows
+        order = np.argsort(rank[active].astype(np.int64) * (n + 2) + after, kind="stable")
         active, after, old = active[order], after[order], rank[active[order]]
         head = np.r_[True, old[1:] != old[:-1]]
         first = head | np.r_[True, after[1:] != after[:-1]]
-        at = np.arange(len(active))
+        at = np.arange(len(active), dtype=np.int32)
         base = np.maximum.accumulate(np.where(head, at, 0))
-        new = old + np.maximum.accumulate(np.where(first, at, 0)) - base
-        rank[active] = new
+        rank[active] = old + np.maximum.accumulate(np.where(first, at, 0)) - base
         size = np.diff(np.append(np.flatnonzero(first), len(active)))
         active = active[np.repeat(size > 1, size)]
         k *= 2
-    suffixes = np.empty(n, np.int64)
-    suffixes[rank] = np.arange(n)
+    suffixes = np.empty(n, np.int32)
+    suffixes[rank] = np.arange(n, dtype=np.int32)
     return suffixes
 
 
@@ -271,7 +274,7 @@ class Stream:
     def __init__(self, flat: np.ndarray, counts: np.ndarray):
         self.flat, self.counts = flat, counts
         self.start = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         hashed = seed_hashes(flat)
         at = np.arange(len(hashed))
         offset = at - self.start[self.doc[: len(at)]]
@@ -327,8 +330,27 @@ class Stream:
         _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
         size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
         start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        # of an article's equal seeds one counts
-        doc, kind = np.divmod(distinct(self.doc[self.first[hit]] * max(1, len(lead)) + kind), max(1, len(lead)))
+        mine = self.sketch
+        wanted = [np.empty(0, np.int64)]
+
+        def screened(pair: np.ndarray) -> np.ndarray:
+            """Of pairs those of sets of which none is over twice as large and whose sketches match."""
+            x, y = mine[pair // d, 4], theirs[pair % d, 4]
+            pair = pair[(y <= 2 * x) & (x <= 2 * y)]
+            return pair[matching(mine[pair // d], theirs[pair % d])]
+
+        # the articles that rare seeds do for, pair by pair
+        doc = self.doc[self.first[hit]].astype(np.int64)
+        few = np.flatnonzero(~needed[doc])
+        few = few[np.argsort(doc[few], kind="stable")]
+        for piece in pieces(size[kind[few]], 0, len(few)):
+            at = few[piece]
+            t = size[kind[at]]
+            pair = distinct(np.repeat(doc[at] * d, t) + articles[np.repeat(start[kind[at]] - np.cumsum(t) + t, t) + np.arange(t.sum())])
+            wanted.append(screened(pair))
+        # the others, of whose equal seeds one counts
+        many = needed[doc]
+        doc, kind = np.divmod(distinct(doc[many] * max(1, len(lead)) + kind[many]), max(1, len(lead)))
         # the articles of frequent seeds as bits, at most four bytes an article in place of eight
         often = np.flatnonzero(size > d // 32)
         bits = np.zeros((len(often), -(-d // 64) * 8), np.uint8)
@@ -342,15 +364,15 @@ class Stream:
         many = np.flatnonzero(bit >= 0)
         doc_many, bit = doc[many], bit[many]
         doc, kind = np.delete(doc, many), np.delete(kind, many)
-        mine = self.sketch
         columns = [np.ascontiguousarray(theirs[:, c]) for c in (0, 1)]
         own, sizes = mine[:, 4].astype(np.int64), theirs[:, 4].astype(np.int32)
         reach, mine_reach = half_reach(theirs), half_reach(mine)
-        wanted = [np.empty(0, np.int64)]
-        # a table of all pairs of some training articles, filled and read in pieces of bounded size
-        step = max(1, TABLE // d)
-        for base in range(0, len(self.counts), step):
-            shared = np.zeros(min(step, len(self.counts) - base) * d, bool)
+        # a table of all pairs of some of these articles, filled and read in pieces of bounded size
+        step, some = max(1, TABLE // d), np.flatnonzero(needed)
+        place = np.cumsum(needed) - 1
+        doc, doc_many = place[doc], place[doc_many]
+        for base in range(0, len(some), step):
+            shared = np.zeros(min(step, len(some) - base) * d, bool)
             for piece in pieces(size[kind], *np.searchsorted(doc, [base, base + step])):
                 t = size[kind[piece]]
                 at = np.repeat(start[kind[piece]] - np.cumsum(t) + t, t) + np.arange(t.sum())
@@ -361,7 +383,7 @@ class Stream:
                     together = np.bitwise_or.reduceat(bits[bit[piece]], edge, axis=0)
                     shared.reshape(-1, d)[doc_many[piece][edge] - base] |= np.unpackbits(together.view(np.uint8), axis=1, count=d).view(bool)
             # article by article, so that the columns of the other side stay in the cache
-            for a, row in enumerate(shared.reshape(-1, d), base):
+            for a, row in zip(some[base:], shared.reshape(-1, d)):
                 # no similarity of a half between sets of which one is over twice as large; then half of the sketch, then all
                 b = np.flatnonzero(row & (sizes <= 2 * own[a]) & (2 * sizes >= own[a]))
                 if len(b):
@@ -369,7 +391,7 @@ class Stream:
                     b = b[half <= np.maximum(reach[b], mine_reach[a])]
                     b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b])]
                     wanted.append(a * d + b)
-        return np.concatenate(wanted)
+        return distinct(np.concatenate(wanted))
 
 
 def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -479,11 +501,11 @@ def _streamed(path: str, shards: int, min_words: int, similarity: float):
             copy = np.flatnonzero(ids[first][kind] != ids)
             none = pa.nulls(len(copy), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none, none.cast(pa.float64())], schema=schema)
-            streams.append((ids[lead], flat[np.repeat(lead, counts)], counts[lead]))
+            streams.append((ids[lead], Stream(flat[np.repeat(lead, counts)], counts[lead])))
         for shard in range(shards):
             index = read_index(path, shard)
-            for mine, flat, counts in streams if index is not None else []:
-                a, b, covered, spans, value = Stream(flat, counts).overlaps(index, similarity)
+            for mine, stream in streams if index is not None else []:
+                a, b, covered, spans, value = stream.overlaps(index, similarity)
                 yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
