@@ -2,7 +2,8 @@
 
 Every round is two grouped aggregations over the links; a node with very many
 neighbours costs rows, never one task's memory beyond its own neighbour list's
-minimum.  Rounds grow with the logarithm of the longest chain.  Each round is
+minimum, and where the links of such a node meet its minimum they are spread over
+``SALTS`` keys.  Rounds grow with the logarithm of the longest chain.  Each round is
 checkpointed to the shared folder, so a lost executor costs one round at most.
 """
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame
 from rankspark.sources.shared import cut
 
 
+SALTS = 8
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of every node in ``links`` (a, b); a component is named by its smallest node.
 
@@ -25,7 +29,10 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         # large star: each node's larger neighbours go to its smallest neighbour or itself
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        links = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # all links of a star meet its centre's minimum: that of each node is repeated for each salt
+        salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        up = both.where("b > a").withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+        links = up.join(salted, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: each node's smaller neighbours, and itself, go to the smallest
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         joined = links.join(least, "a")
