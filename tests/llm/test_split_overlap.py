@@ -5,7 +5,7 @@ import pyspark.sql.functions as F
 
 from rankspark.llm import split_overlap as S
 from rankspark.sources import articles, table
-from tests_llm_help import brute_pairs
+from test_near_duplicates import brute_pairs
 
 
 def test_index_finds_what_a_scan_finds():
