@@ -1,10 +1,13 @@
 """Readers: the sets of articles that the pipelines work on.
 
-All take the clock as a parameter, so a run sees one time.  Filters are written
-on the scan, so they and the column list reach the Parquet files; the feed and
-tag tables are dimensions.  An entry that was delivered again counts in its
-latest state (latest ``changed_at``, null being earliest; then the greatest
-status).  Rows whose feed is missing drop out, and so do rows where a null
+All take the clock as a parameter, so a run sees one time.  An entry that was
+delivered again counts in its latest state (latest ``changed_at``, null being
+earliest; then the greatest status); status and ``changed_at`` are all that a
+later delivery changes.  So the readers work on narrow rows (``NARROW``): a bound
+on the date, which can't change, is put on the scan and reaches the Parquet files,
+what can change is tested after the latest state is known, and titles, texts and
+the like are fetched for the articles that are left (:func:`completed`).  The feed
+and tag tables are dimensions.  Rows whose feed is missing drop out, and so do rows where a null
 makes a filter unknown.  Repeated links, and a second row of an article in
 ``time_sensitivity``, are the data's to avoid: the readers dedupe the latter by
 its latest row.  Empty tables give empty results.
@@ -18,11 +21,15 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from rankspark.schema import RELATIONS
+from rankspark.sources.shared import stored
 
 # The titles of the two urgency tags, and the user whose tags count.
 URGENCY_TITLES = ("0-urgency", "1-urgency")
 TAG_USER = 1
 COLUMNS = tuple(c.split()[0] for c in RELATIONS["entries"].columns.split(", "))
+#: What the readers filter on.
+NARROW = ("feed_id", "published_at", "vote", "starred")
+_NAMED = {"id": "article_id", "url": "link", "published_at": "date_entered", "changed_at": "last_read"}
 
 
 def clock(at: datetime | str) -> Column:
@@ -41,15 +48,18 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row a key: the greatest by ``order`` (nulls least).
 
     A partial maximum is taken before the shuffle, so a key with very many rows
-    is no hot spot and nothing is sorted.
+    is no hot spot.  Strings keep Spark from aggregating by hash: it sorts, so the
+    columns should be few.
     """
     rest = [c for c in df.columns if c not in key and c not in order]
     best = df.groupBy(*key).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_best"))
     return best.select(*key, *[F.col(f"_best.{c}").alias(c) for c in [*order, *rest]]).select(*df.columns)
 
 
-def current_entries(entries: DataFrame, *columns: str) -> DataFrame:
-    """Entries in their latest state, the named columns only (all if none are named)."""
+def current_entries(entries: DataFrame, *columns: str, since: Column | None = None) -> DataFrame:
+    """Entries in their latest state, the named columns only (all if none are named), published from ``since`` on."""
+    if since is not None:
+        entries = entries.where(F.col("published_at") >= since)
     wanted = list(dict.fromkeys(["id", "changed_at", "status", *(columns or entries.columns)]))
     return latest(entries.select(*wanted), ["id"], ["changed_at", "status"])
 
@@ -64,14 +74,26 @@ def articles(entries: DataFrame, feeds: DataFrame, time_sensitivity: DataFrame |
     else:
         scores = time_sensitivity.groupBy(F.col("article_id").alias("id")).agg(F.max_by("score", "last_updated").alias("time_sensitivity_score"))
         rows = rows.join(scores, "id", "left")
-    named = {"id": "article_id", "url": "link", "published_at": "date_entered", "changed_at": "last_read"}
-    rows = rows.withColumnsRenamed(named)
+    rows = rows.withColumnsRenamed(_NAMED)
     if "tags" in rows.columns:
         rows = rows.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     order = ["article_id", "title", "starred", "feed_name", "content", "link", "author", "date_entered", "last_read", "time_sensitivity_score", "tags", "vote", "status"]
     return rows.select(*[c for c in order if c in rows.columns])
 
 
+def completed(rows: DataFrame, entries: DataFrame, *columns: str) -> DataFrame:
+    """Articles with more columns of their entries, which all deliveries of an entry share.
+
+    Only the entries of ``rows`` are moved: their ids are few beside the entries,
+    and Spark broadcasts them while they are small or filters the scan by them.
+    """
+    more = entries.select("id", *columns).withColumnsRenamed(_NAMED)
+    if "tags" in columns:
+        more = more.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    wanted = more.join(rows.select("article_id").distinct(), "article_id", "left_semi").dropDuplicates(["article_id"])
+    return rows.join(wanted, "article_id")
+
+
 def first_k(df: DataFrame, k: int, key: str = "article_id") -> DataFrame:
     """The ``k`` rows of least key (a distributed top-k)."""
     return df.orderBy(F.asc_nulls_last(key)).limit(k)
@@ -82,10 +104,12 @@ def skip_k(df: DataFrame, k: int, key: str = "article_id") -> DataFrame:
 
     A row number over everything would send all rows to one task.  The boundary
     is the greatest of the first ``k`` keys, found as a top-k and compared in
-    parallel.
+    parallel.  The rows, which should be narrow, are stored, so that what gives
+    them runs once.
     """
     if k <= 0:
         return df
+    df, _ = stored(df, "rows")
     boundary = first_k(df.select(key), k, key).agg(F.max(key)).scalar()
     return df.where(F.col(key) > boundary)
 
@@ -173,6 +197,12 @@ def embeddings_of(ids: DataFrame, cache: DataFrame, key: dict) -> DataFrame:
     for column, value in key.items():
         rows = rows.where(F.col(column) == F.lit(value))
     rows = rows.select("article_id", "text_hash", "embedding", "last_updated").join(ids.select("article_id"), "article_id", "left_semi")
+    return latest_embeddings(rows)
+
+
+def latest_embeddings(rows: DataFrame) -> DataFrame:
+    """(article_id, text_hash, embedding) of cache rows of one configuration; the latest row of an article counts."""
+    rows = rows.select("article_id", "text_hash", "embedding", "last_updated")
     return latest(rows, ["article_id"], ["last_updated", "text_hash"]).select("article_id", "text_hash", "embedding")
 
 

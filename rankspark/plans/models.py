@@ -23,8 +23,8 @@ VOTED = f"{CUR}, voted as (select id article_id, case when vote = 1 then 1 else
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "relevance_embeddings").select("article_id").distinct()
-    return R.embeddings_of(ids, table(spark, d, "relevance_embeddings"), KEY).where(V.usable(F.col("embedding"), 64))
+    rows = table(spark, d, "relevance_embeddings").where(IS_KEY).where("article_id is not null")
+    return R.latest_embeddings(rows).where(V.usable(F.col("embedding"), 64))
 
 
 def voted(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +65,13 @@ def lr_fit_urgency(spark: SparkSession, d: str) -> DataFrame:
     return H.probabilities(model, rows).select("article_id", "label", F.round("p", 4).alias("p"))
 
 
+def freshness_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Expected lifetimes by five heads; buckets are not stored, so ratings and the parity of the id stand in for them."""
+    ratings = table(spark, d, "time_sensitivity").where("score between 1 and 5").select("article_id", (F.col("score") + F.when(F.pmod("article_id", F.lit(2)) == 0, 1).otherwise(0)).alias("bucket"))
+    rows = ratings.join(vectors(spark, d), "article_id")
+    return P.predicted(P.fit_heads(rows), rows).select("article_id", "bucket", F.round(P.expected_lifetime(F.col("buckets")), 1).alias("days"))
+
+
 def _codec(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d).withColumn("packed", V.pack("embedding"))
     return rows.select("article_id", F.octet_length("packed").alias("bytes"), (V.unpack("packed") == F.col("embedding")).alias("same"))
@@ -116,12 +123,18 @@ QUERIES = {
         lambda s, d: table(s, d, "time_sensitivity").where("score between 1 and 5").select("article_id", *P.cumulative_targets(F.col("score"))),
         "select article_id, cast(score > 1 as int) over_1, cast(score > 2 as int) over_2, cast(score > 3 as int) over_3, cast(score > 4 as int) over_4, cast(score > 5 as int) over_5 from time_sensitivity where score between 1 and 5",
     ),
+    "freshness_heads": (freshness_heads, None),
     "freshness_lifetime": (
         _buckets,
         """select distinct article_id, model_key, last_updated, round((1 - 0.9::double * u) * 0.5 + (0.9::double * u - 0.8::double * u) * 2 + (0.8::double * u - 0.6::double * u) * 5.5 + (0.6::double * u - 0.4::double * u) * 19
         + (0.4::double * u - 0.2::double * u) * 90 + 0.2::double * u * 365, 6) as "days" from (select *, urgency_score u from urgency_inference where urgency_score is not null)""",
     ),
-    "dataset_fingerprint": (lambda s, d: P.fingerprint(voted(s, d).select("article_id", "label")), None),
+    "dataset_fingerprint": (
+        lambda s, d: P.fingerprint(voted(s, d).select("article_id", "label")),
+        f"""with {VOTED}, h as (select md5(concat_ws('|', article_id::varchar, label::varchar)) h from voted),
+        n as (select ('0x' || h[1:12])::bigint a, ('0x' || h[13:24])::bigint b from h)
+        select count(*) "rows", sha256(count(*)::varchar || '|' || coalesce(sum(a), 0)::varchar || '|' || coalesce(bit_xor(b), 0)::varchar) fingerprint from n""",
+    ),
     "chronological_holdout": (
         lambda s, d: D.newest_share(current(s, d, "published_at", "vote").where(F.col("vote").isin(-1, 1)), 0.3, "published_at", "id").select("id", "published_at"),
         f"with {CUR}, v as (select * from cur where vote in (-1, 1)) select id, published_at from v order by published_at desc nulls last, id desc limit (select cast(floor(count(*) * 0.3) as bigint) from v)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from rankspark.functions import scores as S
 from rankspark.operators import select as R
@@ -30,8 +30,8 @@ OLD = f"{OPEN} and date_entered >= {NOW} - to_days(365) and date_entered <= {NOW
 K = 20
 
 
-def article_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    entries = R.current_entries(table(spark, d, "entries"), *(columns or COLUMNS))
+def article_rows(spark: SparkSession, d: str, *columns: str, since: Column | None = None) -> DataFrame:
+    entries = R.current_entries(table(spark, d, "entries"), *(columns or COLUMNS), since=since)
     return R.articles(entries, table(spark, d, "feeds"), table(spark, d, "time_sensitivity"))
 
 
@@ -39,13 +39,27 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.withColumn("n_tags", F.size("tags")).select("article_id", "title", "starred", "feed_name", "link", "author", "date_entered", "last_read", "time_sensitivity_score", "n_tags", "vote", "status")
 
 
-def _reader(make: Callable[[SparkSession, str, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _shown(make(spark, d, article_rows(spark, d)))
+def _reader(make: Callable[[SparkSession, str, DataFrame], DataFrame], since: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """A reader on narrow rows published from ``since`` on; what it keeps is completed."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = make(spark, d, article_rows(spark, d, *R.NARROW, since=since()))
+        return _shown(R.completed(rows, table(spark, d, "entries"), "title", "url", "author", "tags"))
+
+    return run
+
+
+def _days(days: int) -> Callable[[], Column]:
+    return lambda: R.days_before(AS_OF, days)
+
+
+def _months(months: int) -> Callable[[], Column]:
+    return lambda: R.months_before(AS_OF, months)
 
 
 def active_set_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The active set with decayed scores: the raw score stands in by a formula on the id."""
-    rows = R.active_set(article_rows(spark, d, "feed_id", "published_at", "vote", "starred"), AS_OF).dropDuplicates(["article_id"])
+    rows = R.active_set(article_rows(spark, d, *R.NARROW, since=R.days_before(AS_OF, 365)), AS_OF).dropDuplicates(["article_id"])
     urgency = R.latest_urgency(table(spark, d, "urgency_inference"), MODEL_KEY)
     rows = rows.join(urgency, "article_id", "left").withColumn("raw_score", (F.col("article_id") * 37 % 101).cast("int"))
     score = S.decayed(F.col("raw_score"), S.age_days(R.clock(AS_OF), F.col("date_entered")), F.col("urgency_score"))
@@ -60,7 +74,7 @@ DECAY = "cast(round_even({s} * exp(-(ln(2.0) / (120 + {u} * (10 - 120))) * ((epo
 
 def _boundary(spark: SparkSession, d: str) -> DataFrame:
     """Articles that stand in both halves of the active set, and how often."""
-    rows = article_rows(spark, d, "feed_id", "published_at", "vote", "starred")
+    rows = article_rows(spark, d, *R.NARROW, since=R.days_before(AS_OF, 365))
     return R.active_set(rows, AS_OF).groupBy("article_id").agg(F.count("*").alias("times"))
 
 
@@ -92,22 +106,22 @@ QUERIES = {
         from d left join urg on urg.article_id = d.article_id""",
     ),
     "active_set": (_boundary, f"with {ART}, {ACTIVE} select article_id, count(*) times from act group by article_id"),
-    "good_train": (_reader(lambda s, d, a: R.skip_k(R.good(a, AS_OF), K)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {GOOD}) select {SHOWN} from g where rn > {K}"),
-    "good_sample": (_reader(lambda s, d, a: R.first_k(R.good(a, AS_OF), K)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {GOOD}) select {SHOWN} from g where rn <= {K}"),
-    "bad_train": (_reader(lambda s, d, a: R.skip_k(R.bad(a, AS_OF), K)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {BAD}) select {SHOWN} from g where rn > {K}"),
-    "bad_sample": (_reader(lambda s, d, a: R.first_k(R.bad(a, AS_OF), K)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {BAD}) select {SHOWN} from g where rn <= {K}"),
-    "unlabelled_pool": (_reader(lambda s, d, a: R.unlabelled(a, AS_OF)), f"with {ART} select {SHOWN} from art where {OPEN} and date_entered > {NOW} - interval 1 year order by article_id limit 2000"),
-    "recent_unread": (_reader(lambda s, d, a: R.recent_unread(a, AS_OF, 40)), f"with {ART} select {SHOWN} from art where {OPEN} and date_entered >= {NOW} - to_days(40)"),
-    "old_unread_sample": (_reader(lambda s, d, a: R.old_unread(a, AS_OF, 30, 365, 30)), f"with {ART} select {SHOWN} from art where {OLD.format(days=30, limit=30)}"),
-    "missing_time_sensitivity": (_reader(lambda s, d, a: R.without_time_sensitivity(a, table(s, d, "time_sensitivity"), AS_OF, 200)), f"with {ART} select {SHOWN} from art a where date_entered >= {NOW} - to_days(200) and not exists (select 1 from time_sensitivity t where t.article_id = a.article_id)"),
-    "missing_binary_label": (_reader(lambda s, d, a: R.without_simplified(a, _simplified(s, d), AS_OF)), f"with {ART} select {SHOWN} from art a where date_entered > {NOW} - interval 6 month and not exists (select 1 from time_sensitivity t where t.article_id = a.article_id)"),
-    "missing_urgency": (_reader(lambda s, d, a: R.without_urgency(a, table(s, d, "urgency_inference"), MODEL_KEY, AS_OF, 200)), f"with {ART} select {SHOWN} from art a where {OPEN} and date_entered >= {NOW} - to_days(200) and not exists (select 1 from urgency_inference t where t.article_id = a.article_id and t.model_key = '{MODEL_KEY}')"),
+    "good_train": (_reader(lambda s, d, a: R.skip_k(R.good(a, AS_OF), K), _months(36)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {GOOD}) select {SHOWN} from g where rn > {K}"),
+    "good_sample": (_reader(lambda s, d, a: R.first_k(R.good(a, AS_OF), K), _months(36)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {GOOD}) select {SHOWN} from g where rn <= {K}"),
+    "bad_train": (_reader(lambda s, d, a: R.skip_k(R.bad(a, AS_OF), K), _months(36)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {BAD}) select {SHOWN} from g where rn > {K}"),
+    "bad_sample": (_reader(lambda s, d, a: R.first_k(R.bad(a, AS_OF), K), _months(36)), f"with {ART}, g as (select *, row_number() over (order by article_id) rn from art where {BAD}) select {SHOWN} from g where rn <= {K}"),
+    "unlabelled_pool": (_reader(lambda s, d, a: R.unlabelled(a, AS_OF), _months(12)), f"with {ART} select {SHOWN} from art where {OPEN} and date_entered > {NOW} - interval 1 year order by article_id limit 2000"),
+    "recent_unread": (_reader(lambda s, d, a: R.recent_unread(a, AS_OF, 40), _days(40)), f"with {ART} select {SHOWN} from art where {OPEN} and date_entered >= {NOW} - to_days(40)"),
+    "old_unread_sample": (_reader(lambda s, d, a: R.old_unread(a, AS_OF, 30, 365, 30), _days(365)), f"with {ART} select {SHOWN} from art where {OLD.format(days=30, limit=30)}"),
+    "missing_time_sensitivity": (_reader(lambda s, d, a: R.without_time_sensitivity(a, table(s, d, "time_sensitivity"), AS_OF, 200), _days(200)), f"with {ART} select {SHOWN} from art a where date_entered >= {NOW} - to_days(200) and not exists (select 1 from time_sensitivity t where t.article_id = a.article_id)"),
+    "missing_binary_label": (_reader(lambda s, d, a: R.without_simplified(a, _simplified(s, d), AS_OF), _months(6)), f"with {ART} select {SHOWN} from art a where date_entered > {NOW} - interval 6 month and not exists (select 1 from time_sensitivity t where t.article_id = a.article_id)"),
+    "missing_urgency": (_reader(lambda s, d, a: R.without_urgency(a, table(s, d, "urgency_inference"), MODEL_KEY, AS_OF, 200), _days(200)), f"with {ART} select {SHOWN} from art a where {OPEN} and date_entered >= {NOW} - to_days(200) and not exists (select 1 from urgency_inference t where t.article_id = a.article_id and t.model_key = '{MODEL_KEY}')"),
     "tagged_all": (
-        lambda s, d: R.tagged(article_rows(s, d), table(s, d, "entry_user_tags"), table(s, d, "user_tags")).select("article_id", "feed_name", "status", "urgency_label"),
+        lambda s, d: R.tagged(article_rows(s, d, "feed_id"), table(s, d, "entry_user_tags"), table(s, d, "user_tags")).select("article_id", "feed_name", "status", "urgency_label"),
         f"with {ART} select article_id, feed_name, status, case u.title when '0-urgency' then 0 when '1-urgency' then 1 end urgency_label from art join entry_user_tags l on l.entry_id = article_id join user_tags u on u.id = l.user_tag_id and u.user_id = 1 and u.title in ('0-urgency', '1-urgency')",
     ),
     "tagged_read": (
-        lambda s, d: R.tagged(article_rows(s, d), table(s, d, "entry_user_tags"), table(s, d, "user_tags"), read_only=True).select("article_id", "feed_name", "status", "urgency_label"),
+        lambda s, d: R.tagged(article_rows(s, d, "feed_id"), table(s, d, "entry_user_tags"), table(s, d, "user_tags"), read_only=True).select("article_id", "feed_name", "status", "urgency_label"),
         f"with {ART} select article_id, feed_name, status, case u.title when '0-urgency' then 0 when '1-urgency' then 1 end urgency_label from art join entry_user_tags l on l.entry_id = article_id join user_tags u on u.id = l.user_tag_id and u.user_id = 1 and u.title in ('0-urgency', '1-urgency') where status = 'read'",
     ),
     "conflicting_labels": (

@@ -12,7 +12,7 @@ from rankspark.schema import RELATIONS
 from rankspark.sources import table
 
 #: Queries that need both classes or rows to draw from, and say so.
-RAISE = {"holdout_stratified", "lr_fit_relevance", "lr_fit_urgency"}
+RAISE = {"holdout_stratified", "lr_fit_relevance", "lr_fit_urgency", "freshness_heads"}
 
 
 @pytest.fixture(scope="module")
@@ -60,9 +60,19 @@ def test_skip_k_never_moves_all_rows_to_one_task(spark, data):
     assert "Window" not in text and "TakeOrderedAndProject" in text
 
 
+def test_skip_k_runs_its_reader_once(spark, data):
+    text = plan(readers.QUERIES["good_train"][0](spark, data)).split("== Physical Plan ==")[1]
+    assert not any("FileScan" in line and "entries" in line and "status" in line for line in text.splitlines())
+
+
 def test_columns_and_filters_reach_the_scan(spark, data):
-    text = plan(R.recent_unread(readers.article_rows(spark, data, "feed_id", "vote", "starred", "published_at"), readers.AS_OF))
+    text = plan(readers.QUERIES["recent_unread"][0](spark, data))
     assert all("content" not in line for line in text.splitlines() if "ReadSchema" in line)
+    for name in ("good_sample", "recent_unread", "missing_urgency", "old_unread_sample", "unlabelled_pool"):
+        scans = [line for line in plan(readers.QUERIES[name][0](spark, data)).split("== Physical Plan ==")[1].splitlines() if "FileScan" in line and "published_at" in line]
+        assert scans and all("GreaterThanOrEqual(published_at" in line or "DataFilters: [isnotnull(published_at" in line for line in scans), name
+        # what is shuffled for the latest state is narrow
+        assert all("title" not in line and "url" not in line for line in scans), name
     text = plan(R.urgency_of(table(spark, data, "entries").select(F.col("id").alias("article_id")), table(spark, data, "urgency_inference"), "brisk-linear"))
     assert "EqualTo(model_key,brisk-linear)" in text
 
