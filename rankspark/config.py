@@ -20,6 +20,8 @@ def strtobool(text: str) -> bool:
 
 @dataclass(frozen=True)
 class Config:
+    database_url: str = ""
+    logging_config: str = "logging.conf"
     excellent_weight: float = 3.0
     half_life_evergreen: float = 120.0
     half_life_urgent: float = 10.0
@@ -59,6 +61,18 @@ class Config:
         """The settings that define an embedding."""
         return {"model_name": self.relevance_model_name, "max_length": self.relevance_max_length, "text_prep_mode": self.relevance_text_prep_mode, "prep_version": self.relevance_prep_version}
 
+    # The names under which the models of a configuration are stored.
+    def _family(self, c: float) -> str:
+        return f"{self.relevance_model_name.replace('/', '-')}_{self.relevance_max_length}_{self.relevance_text_prep_mode}_embedding_linear_c{c}"
+
+    @property
+    def relevance_family(self) -> str:
+        return self._family(self.relevance_linear_c)
+
+    @property
+    def urgency_family(self) -> str:
+        return "urgency_" + self._family(self.urgency_linear_c)
+
     @property
     def urgency_model_key(self) -> str:
         # Fixed value: the format of the key under which scores of a configuration are stored.

@@ -19,10 +19,13 @@ from pyspark.sql import Column
 from pyspark.sql import types as T
 
 
+# The marks of scores in a title, in front and at the end.
+FRONT_MARK, END_MARK = r"\[\d+\]\s*", r"\s*\(TS:\s*\d+\)\s*$"
+
+
 def clean_title(title: Column) -> Column:
     """Every ``[n]`` goes, and the last ``(TS: n)`` at the end; digits of any script count."""
-    marks = F.regexp_replace(title, r"(?U)\[\d+\]\s*", "")
-    return F.regexp_replace(marks, r"(?U)\s*\(TS:\s*\d+\)\s*$", "")
+    return F.regexp_replace(F.regexp_replace(title, f"(?U){FRONT_MARK}", ""), f"(?U){END_MARK}", "")
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -76,6 +79,8 @@ ASCII = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o",
     "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ы": "y", "ь": "'",
     "э": "e", "ю": "iu", "я": "ia", "№": "No.",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
 }
 _SPACES = re.compile(r"[^\S\n]+")
 
@@ -121,6 +126,12 @@ def single_blob(title: Column, content: Column) -> Column:
     return normalise_text(collapse_whitespace(strip_html(both)))
 
 
+def legacy_text(title: Column, content: Column) -> Column:
+    """The form before :func:`single_blob`: the title keeps its marks."""
+    both = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit("")))
+    return normalise_text(strip_html(both))
+
+
 Tokenize, Detokenize = Callable[[str], list], Callable[[list], str]
 
 
@@ -134,7 +145,7 @@ def title_head_text(title: str | None, content: str | None, budget: int, separat
     Of a budget of four or less only one title token comes out.  The title keeps
     its markup.  The tokenizer is a parameter; words are the default.
     """
-    marks = re.sub(r"\s*\(TS:\s*\d+\)\s*$", "", re.sub(r"\[\d+\]\s*", "", title or ""))
+    marks = re.sub(END_MARK, "", re.sub(FRONT_MARK, "", title or ""))
     head = normalise(" ".join(marks.split()))
     if budget <= 4:
         return detokenize(head_tokens(tokenize(head), 1))

@@ -7,8 +7,11 @@ together again to bucket probabilities, and turned into an expected lifetime.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame
 
+from rankspark.operators import model as H
+
 BUCKETS = 6
 # The lifetime in days that stands for each bucket.
 LIFETIMES = (0.5, 2.0, 5.5, 19.0, 90.0, 365.0)
@@ -38,6 +41,24 @@ def class_weights(rows: DataFrame, label: str = "label", exponent: float = 0.375
     return rows.join(F.broadcast(counts.select(label, F.pow(total / (2.0 * F.col("_n")), F.lit(exponent)).alias("weight"))), label)
 
 
+def fit_heads(rows: DataFrame, bucket: str = "bucket", features: str = "embedding", c: float = 20.0) -> list[LogisticRegressionModel]:
+    """Five heads without intercept, one for each cumulative target, with class weights; an error if a target has one class only."""
+    made = rows.select(features, *cumulative_targets(F.col(bucket))).persist()
+    try:
+        return [H.fit(class_weights(made, f"over_{k}"), c, intercept=False, features=features, label=f"over_{k}") for k in range(1, BUCKETS)]
+    finally:
+        made.unpersist()
+
+
+def predicted(heads: list[LogisticRegressionModel], rows: DataFrame, features: str = "embedding") -> DataFrame:
+    """``rows`` with ``buckets``, the six probabilities; null features give null."""
+    names = [f"_over_{k}" for k in range(1, BUCKETS)]
+    for head, name in zip(heads, names):
+        rows = H.probabilities(head, rows, features).withColumnRenamed("p", name)
+    made = bucket_probabilities([F.col(n) for n in names])
+    return rows.withColumn("buckets", F.when(F.col(features).isNotNull(), made)).drop(*names)
+
+
 def reviewed_labels(labels: DataFrame) -> DataFrame:
     """(article_id, bucket) from (article_id, bucket, reviewed): reviewed labels go before automatic ones; articles whose counting labels differ drop out."""
     best = labels.groupBy("article_id").agg(F.max("reviewed").alias("reviewed"))
@@ -47,8 +68,10 @@ def reviewed_labels(labels: DataFrame) -> DataFrame:
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """(rows, fingerprint): the same for the same bag of rows in any order; sums of hashes, so nothing is gathered."""
-    hashed = F.xxhash64(*rows.columns)
-    return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.sum(F.pmod(hashed, F.lit(2**31 - 1))).cast("string"), F.bit_xor(hashed).cast("string")), 256).alias("fingerprint"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns])
+    number = lambda start: F.conv(F.substring(F.md5(text), start, 12), 16, 10).cast("long")
+    parts = [F.count("*"), F.coalesce(F.sum(number(1)), F.lit(0)), F.coalesce(F.bit_xor(number(13)), F.lit(0))]
+    return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256).alias("fingerprint"))
 
 
 def ranked_probability_score(rows: DataFrame) -> DataFrame:

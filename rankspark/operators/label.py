@@ -8,6 +8,8 @@ unlabelled, so a later run asks again.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +52,17 @@ def rejected(rows: DataFrame) -> DataFrame:
     return rows.where("not ok").drop("ok")
 
 
+def keyword_labeller() -> Callable[[list[str]], list[str]]:
+    """A labeller by cues, for trying pipelines out: it reads the title and text of :data:`SCALE_PROMPT` or a like prompt."""
+
+    def one(prompt: str) -> str:
+        text = prompt[prompt.find("Title: ") :].lower()
+        found = [k for k, cues in CUES.items() if any(re.search(rf"\b{c}\b", text) for c in cues)]
+        return json.dumps({"score": max(found, default=1), "confidence": "low", "explanation": "by the words it uses"})
+
+    return lambda prompts: [one(p) for p in prompts]
+
+
 def answers(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], key: str = "article_id", prompt: str = "prompt", batch: int = 10) -> DataFrame:
     """(key, answer) by a labeller that each Python worker builds once."""
 
@@ -64,14 +77,35 @@ def answers(prompts: DataFrame, make: Callable[[], Callable[[list[str]], list[st
     return prompts.select(key, prompt).mapInArrow(run, f"`{key}` {kind}, answer string")
 
 
-# Cues of the five steps of the rating scale, most urgent first.
-CUES = ((5, "now|tonight|breaking|warning"), (4, "today|tomorrow|deadline"), (3, "this week|monday|tuesday|wednesday|thursday|friday"), (2, "month|season|winter|spring|summer|autumn"))
+# Cues of the five steps of the rating scale.
+CUES = {
+    1: ("history of", "profile", "explainer", "deep dive"),
+    2: ("analysis", "opinion", "trend", "culture"),
+    3: ("debate", "upcoming", "policy", "investigation"),
+    4: ("announces", "reports", "wins", "results", "verdict"),
+    5: ("live", "breaking", "unfolding", "evacuation", "alert"),
+}
+#: What each step says of a text, and how long it keeps.
+STEPS = {
+    1: "evergreen: history, lives, basics explained; keeps for years",
+    2: "low: features, trends and views; keeps for months",
+    3: "medium: something under way without hurry; keeps for days or weeks",
+    4: "high: one recent event; out of date in a day or two",
+    5: "critical: told while it happens; out of date in hours",
+}
+SCALE_PROMPT = "\n".join([
+    "Rate how soon this article is out of date, whatever its weight, from 1 to 5:",
+    *(f"{k} - {STEPS[k]} (typical words: {', '.join(CUES[k])})" for k in STEPS),
+    'Answer with one JSON object and nothing else: {"score": 1 to 5, "confidence": "low", "medium" or "high", "explanation": one sentence}',
+    "Title: {title}",
+    "Text: {content}",
+])
 
 
 def keyword_score(text: Column) -> Column:
-    """A rating from 1 (evergreen) to 5 by cues in the text: a deterministic stand-in for a language model."""
+    """A rating from 1 (evergreen, or no cue) to 5 by the most urgent cue in the text: a deterministic stand-in for a language model."""
     low, out = F.lower(text), None
-    for score, pattern in CUES:
-        hit = low.rlike(rf"\b({pattern})\b")
+    for score in sorted(CUES, reverse=True):
+        hit = low.rlike(rf"\b({'|'.join(CUES[score])})\b")
         out = F.when(hit, score) if out is None else out.when(hit, score)
     return out.otherwise(1).cast("int")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-import shutil
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from pathlib import Path
 
 import pyspark.sql.functions as F
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -19,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 
 from rankspark.functions.scores import clipped
+from rankspark.sources import files
 
 
 def sample_weights(rows: DataFrame, excellent: float = 3.0) -> DataFrame:
@@ -61,7 +63,7 @@ def probabilities(model: LogisticRegressionModel, rows: DataFrame, features: str
 
 # --- artifacts: a folder with the model and its metadata ---
 
-NAME = re.compile(r"^(?P<prefix>.+)_(?P<date>\d{4}-\d{2}-\d{2})_(?P<counts>\d+(?:_[a-z]+)?(?:_\d+(?:_[a-z]+)?)*)$")
+NAME = re.compile(r"^(?P<prefix>.+)_(?P<date>\d{4}[-_]\d{2}[-_]\d{2})_(?P<counts>\d+(?:_[a-z]+)?(?:_\d+(?:_[a-z]+)?)*)$")
 
 
 @dataclass(frozen=True)
@@ -77,36 +79,59 @@ def artifact_path(root: str, prefix: str, date: str, **counts: int) -> str:
 
 def save(model: LogisticRegressionModel, path: str, **metadata) -> None:
     model.write().overwrite().save(f"{path}/classifier")
-    Path(path, "metadata.json").write_text(json.dumps(metadata, indent=2, sort_keys=True))
+    files.write_text(f"{path}/metadata.json", json.dumps(metadata, indent=2, sort_keys=True))
 
 
 def load(path: str) -> tuple[LogisticRegressionModel, dict]:
-    return LogisticRegressionModel.load(f"{path}/classifier"), json.loads(Path(path, "metadata.json").read_text())
+    return LogisticRegressionModel.load(f"{path}/classifier"), json.loads(files.read_text(f"{path}/metadata.json"))
 
 
 def artifacts(root: str, prefix: str) -> list[Artifact]:
     """Models of a prefix, oldest first: by date, then by counts as numbers (not as text)."""
     found = []
-    for p in Path(root).iterdir() if Path(root).is_dir() else ():
-        m = NAME.match(p.name)
-        if m and m["prefix"] == prefix and p.is_dir():
-            found.append(Artifact(str(p), m["date"], tuple(map(int, re.findall(r"\d+", m["counts"])))))
+    for name in files.names(root, folders=True):
+        m = NAME.match(name)
+        if m and m["prefix"] == prefix:
+            found.append(Artifact(f"{root}/{name}", m["date"].replace("_", "-"), tuple(map(int, re.findall(r"\d+", m["counts"])))))
     return sorted(found, key=lambda a: (a.date, a.counts, a.path))
 
 
-def latest_artifact(root: str, prefix: str, clean_old: bool = False) -> str:
+def latest_artifact(root: str, prefix: str, clean_old: bool = True) -> str:
+    """The newest model of a prefix; older ones are deleted unless they are to stay."""
     found = artifacts(root, prefix)
     if not found:
         raise FileNotFoundError(f"no model {prefix} in {root}")
     if clean_old:
         for old in found[:-1]:
-            shutil.rmtree(old.path)
+            files.delete(old.path)
     return found[-1].path
 
 
 def clean_checkpoints(path: str) -> int:
     """Delete the folders ``checkpoint-*`` of a path; how many there were."""
-    old = [p for p in Path(path).glob("checkpoint-*") if p.is_dir()]
-    for p in old:
-        shutil.rmtree(p)
+    old = [name for name in files.names(path, folders=True) if name.startswith("checkpoint-")]
+    for name in old:
+        files.delete(f"{path}/{name}")
     return len(old)
+
+
+EVALUATION = "eval_"
+
+
+def clean_evaluations(root: str) -> int:
+    """Delete the folders ``eval_*`` that a broken evaluation left below ``root``; how many there were."""
+    old = [name for name in files.names(root, folders=True) if name.startswith(EVALUATION)]
+    for name in old:
+        files.delete(f"{root}/{name}")
+    return len(old)
+
+
+@contextmanager
+def evaluation_folder(root: str) -> Iterator[str]:
+    """A folder for the models of one evaluation, which goes with it."""
+    path = f"{root}/{EVALUATION}{uuid.uuid4().hex}"
+    files.make_folder(path)
+    try:
+        yield path
+    finally:
+        files.delete(path)

@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
-from pathlib import Path
 
 import pyspark.sql.functions as F
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from rankspark.config import Config
 from rankspark.functions import scores as S
@@ -27,6 +26,7 @@ from rankspark.operators import splits as D
 from rankspark.operators import writes as U
 from rankspark.operators.cache import encode_with_cache
 from rankspark.operators.encode import Encoder
+from rankspark.sources import files
 from rankspark.sources.shared import stored
 
 
@@ -40,8 +40,13 @@ class Tables:
     user_tags: DataFrame
     entry_user_tags: DataFrame
 
-    def articles(self) -> DataFrame:
-        return R.articles(R.current_entries(self.entries), self.feeds, self.time_sensitivity)
+    def articles(self, since: Column | None = None) -> DataFrame:
+        """All articles, published from ``since`` on, with what the readers filter on: no text moves here."""
+        return R.articles(R.current_entries(self.entries, *R.NARROW, since=since), self.feeds, self.time_sensitivity)
+
+    def completed(self, rows: DataFrame) -> DataFrame:
+        """What a reader left, with titles, contents and the rest."""
+        return R.completed(rows, self.entries, "title", "content", "url", "author", "tags")
 
 
 def texts(rows: DataFrame, config: Config) -> DataFrame:
@@ -65,32 +70,42 @@ class Refresh:
     relevance_embeddings: DataFrame
 
 
+def active_articles(tables: Tables, config: Config, as_of: datetime | str) -> DataFrame:
+    """The active set, each article once, with clean titles and contents."""
+    rows = tables.articles(R.days_before(as_of, max(config.lookback_days, config.max_lookback_days)))
+    active = R.active_set(rows, as_of, config.lookback_days, config.max_lookback_days, config.sampling).dropDuplicates(["article_id"])
+    return tables.completed(active).withColumn("title", T.clean_title(F.col("title")))
+
+
 def refresh(tables: Tables, relevance: LogisticRegressionModel, urgency: LogisticRegressionModel, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str) -> Refresh:
     """Score the active set: relevance decayed by an urgency-dependent half-life.  An empty set changes nothing."""
-    active = R.active_set(tables.articles(), as_of, config.lookback_days, config.max_lookback_days, config.sampling).dropDuplicates(["article_id"])
-    active = active.withColumn("title", T.clean_title(F.col("title")))
-    rows, fresh = embedded(active, tables, config, make, dimensions, as_of)
+    rows, fresh = embedded(active_articles(tables, config, as_of), tables, config, make, dimensions, as_of)
     urgent = H.probabilities(urgency, rows).withColumnRenamed("p", "urgency_score")
     both = H.probabilities(relevance, urgent).withColumn("relevance", S.to_score(F.col("p")))
     decayed = S.decayed(F.col("relevance"), S.age_days(R.clock(as_of), F.col("date_entered")), F.col("urgency_score"), config.half_life_evergreen, config.half_life_urgent)
     scores, _ = stored(both.select("article_id", "relevance", "urgency_score", decayed.alias("score")), "scores")
     inferred = scores.select("article_id", F.lit(config.urgency_model_key).alias("model_key"), "urgency_score", R.clock(as_of).alias("last_updated"), F.lit(0).alias("ordinal"))
-    changes = scores.select(F.col("article_id").alias("id"), "score", F.lit(0).alias("ordinal"))
-    return Refresh(scores, U.update(tables.entries, changes, "id", "score"), U.upsert_urgency(tables.urgency_inference, inferred), U.upsert_embeddings(tables.relevance_embeddings, fresh))
+    return Refresh(scores, scored_entries(tables, scores), U.upsert_urgency(tables.urgency_inference, inferred), U.upsert_embeddings(tables.relevance_embeddings, fresh))
+
+
+def scored_entries(tables: Tables, scores: DataFrame) -> DataFrame:
+    """The entries with new scores, from (article_id, score).  Entries kept in buckets take them by
+    :func:`rankspark.sinks.update_buckets`, which leaves the other buckets alone."""
+    return U.update(tables.entries, scores.select(F.col("article_id").alias("id"), "score", F.lit(0).alias("ordinal")), "id", "score")
 
 
 def relevance_set(tables: Tables, config: Config, as_of: datetime | str, held_out: bool = False) -> DataFrame:
     """Good (label 1) and bad (label 0) articles with weights: the training part, or the hold-out of the oldest ids."""
     k = config.validation_size
     take = (lambda rows: R.first_k(rows, k)) if held_out else (lambda rows: R.skip_k(rows, k))
-    rows = tables.articles()
+    rows = tables.articles(R.months_before(as_of, 36))
     both = take(R.good(rows, as_of)).withColumn("label", F.lit(1)).unionByName(take(R.bad(rows, as_of)).withColumn("label", F.lit(0)))
-    return H.sample_weights(both, config.excellent_weight)
+    return H.sample_weights(tables.completed(both), config.excellent_weight)
 
 
 def urgency_set(tables: Tables) -> DataFrame:
     rows = R.tagged(tables.articles(), tables.entry_user_tags, tables.user_tags, read_only=True)
-    return rows.withColumnRenamed("urgency_label", "label")
+    return tables.completed(rows).withColumnRenamed("urgency_label", "label")
 
 
 def train_relevance(tables: Tables, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str) -> tuple[LogisticRegressionModel, DataFrame | None]:
@@ -137,18 +152,51 @@ def evaluate_urgency(tables: Tables, config: Config, make: Callable[[], Encoder]
 
 def load_or_train(path: str, train: Callable[[], LogisticRegressionModel], **metadata) -> LogisticRegressionModel:
     """The model at ``path``, trained and saved there first if there is none."""
-    if not Path(path).exists():
+    if not files.exists(path):
         H.save(train(), path, **metadata)
     return H.load(path)[0]
 
 
 def infer(tables: Tables, model: LogisticRegressionModel, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str, days: int = 14) -> DataFrame:
     """(article_id, p, score) of the recent unread articles by one head, without decay."""
-    rows = R.recent_unread(tables.articles(), as_of, days).withColumn("title", T.clean_title(F.col("title")))
+    recent = R.recent_unread(tables.articles(R.days_before(as_of, days)), as_of, days)
+    rows = tables.completed(recent).withColumn("title", T.clean_title(F.col("title")))
     rows, _ = embedded(rows, tables, config, make, dimensions, as_of)
     return H.probabilities(model, rows).select("article_id", "p", S.to_score(F.col("p")).alias("score"))
 
 
+def checked_device(allowed_without: bool, present: bool | None = None) -> None:
+    """An error unless there is a GPU or the settings allow going on without; a missing driver library counts as none."""
+    if present is None:
+        try:
+            from torch import cuda
+
+            present = cuda.is_available()
+        except ImportError:
+            present = False
+    if not present and not allowed_without:
+        raise RuntimeError("no GPU is there, and the settings don't allow going on without")
+
+
+def infer_relevance(tables: Tables, models: str, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str, days: int = 14, gpu: bool | None = None) -> DataFrame:
+    """:func:`infer` by the newest relevance head below ``models``; older ones are deleted."""
+    checked_device(config.allow_inference_wo_gpu, gpu)
+    head, _ = H.load(H.latest_artifact(models, config.relevance_family))
+    return infer(tables, head, config, make, dimensions, as_of, days)
+
+
+def infer_urgency(tables: Tables, models: str, config: Config, make: Callable[[], Encoder], dimensions: int, as_of: datetime | str, gpu: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new state of the stored urgency, new state of the cache): the active set by the newest urgency head, under the key
+    of the configuration.  An empty set changes nothing and needs no head."""
+    rows, fresh = embedded(active_articles(tables, config, as_of), tables, config, make, dimensions, as_of)
+    if not rows.head(1):
+        return tables.urgency_inference, tables.relevance_embeddings
+    checked_device(config.allow_inference_wo_gpu, gpu)
+    head, _ = H.load(H.latest_artifact(models, config.urgency_family))
+    scored = H.probabilities(head, rows).select("article_id", F.lit(config.urgency_model_key).alias("model_key"), F.col("p").alias("urgency_score"), R.clock(as_of).alias("last_updated"), F.lit(0).alias("ordinal"))
+    return U.upsert_urgency(tables.urgency_inference, scored), U.upsert_embeddings(tables.relevance_embeddings, fresh)
+
+
 def evaluation_row(metrics: DataFrame, model: str, on: str, training: dict[str, int], evaluation: dict[str, int]) -> DataFrame:
     """The row of the history of evaluations."""
     counts = lambda d: F.create_map(*[x for k, n in d.items() for x in (F.lit(k), F.lit(n))]).cast("map<string,int>")
@@ -168,9 +216,22 @@ def label_answers(rows: DataFrame, labeller: Callable[[], Callable[[list[str]],
 
 def label_simplified(tables: Tables, labels: DataFrame, labeller: Callable[[], Callable[[list[str]], list[str]]], as_of: datetime | str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new label rows, new tag links, rejects) for the articles of the last six months without a label."""
-    rows = R.without_simplified(tables.articles(), labels, as_of)
+    rows = tables.completed(R.without_simplified(tables.articles(R.months_before(as_of, 6)), labels, as_of))
     parsed, _ = stored(L.parsed(label_answers(rows, labeller), (0, 1)), "answers")
     good = L.accepted(parsed)
     new = good.select("article_id", F.col("score").cast("short").alias("score"), "explanation", R.clock(as_of).alias("last_updated"))
     links = U.assign_tags(tables.entry_user_tags, tables.user_tags, good.select("article_id", F.col("score").alias("label"), F.lit(0).alias("ordinal")))
     return new, links, L.rejected(parsed)
+
+
+def label_time_sensitivity(tables: Tables, labeller: Callable[[], Callable[[list[str]], list[str]]], as_of: datetime | str, days: int = 14) -> tuple[DataFrame, DataFrame]:
+    """(new rows of ``time_sensitivity``, rejects) for the articles of the last ``days`` days that have none.
+
+    An answer needs a score from 1 to 5, a known confidence and an explanation; an
+    article with another answer stays without a row and is asked for again.
+    """
+    recent = R.without_time_sensitivity(tables.articles(R.days_before(as_of, days)), tables.time_sensitivity, as_of, days)
+    rows = tables.completed(recent).withColumn("title", T.clean_title(F.col("title")))
+    parsed, _ = stored(L.parsed(label_answers(rows, labeller, L.SCALE_PROMPT, answer_words=200), (1, 2, 3, 4, 5), confidence=True), "answers")
+    new = L.accepted(parsed).select("article_id", "score", R.clock(as_of).alias("last_updated"), "confidence", "explanation")
+    return new, L.rejected(parsed)

@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.functions import text as T
+from rankspark.functions import vectors as V
 from rankspark.operators import cache as C
 from rankspark.operators import label as L
 from rankspark.operators import select as R
@@ -98,8 +99,11 @@ def _head(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    rows = current(spark, d, "title", "content").select("id", T.title_head(64)(F.col("title"), F.col("content")).alias("text"))
-    return encoded(rows, HashingEncoder).select("id", "embedding")
+    """The signs of the components, which SQL gives exactly, and the length, which is 1 but for texts without words."""
+    rows = current(spark, d, "title", "content").select("id", T.title_head_words(F.col("title"), F.col("content"), 64).alias("text"))
+    made = encoded(rows, HashingEncoder).select("id", "embedding")
+    signs = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+    return made.select("id", signs.alias("signs"), F.round(V.norm(F.col("embedding")), 3).alias("norm"))
 
 
 VALID = "score between 1 and 5 and explanation is not null and confidence in ('low', 'medium', 'high')"
@@ -132,12 +136,21 @@ QUERIES = {
         """select article_id, model_name, max_length, text_prep_mode, prep_version, text_hash, last_updated from (select *, row_number() over (
         partition by article_id, model_name, max_length, text_prep_mode, prep_version order by last_updated desc nulls last, text_hash desc nulls last) rn from relevance_embeddings) where rn = 1""",
     ),
-    "encode_hashing": (_encoded, None),
+    "encode_hashing": (
+        _encoded,
+        f"""with {CUR}, p as (select id, {_words(BLANKS.format(t=TITLE.format(t="coalesce(title, '')")))} h, {_words(MARKUP.format(t="coalesce(content, '')"))} b from cur),
+        q as (select id, list_concat(h[1:60], b[1:60 - len(h[1:60])]) w from p), w as (select id, unnest(w) w from q), u as (select distinct w from w),
+        x as (select w, sha256('0|' || w) || sha256('1|' || w) x from u), v as (select w, k, ('0x' || x[2 * k + 1 : 2 * k + 2])::int v from x, range(64) r(k)),
+        s as (select id, k, sum(case when v > 127 then v - 256 else v end) s from w join v using (w) group by id, k),
+        a as (select id, string_agg(case sign(s) when 1 then '+' when -1 then '-' else '0' end, '' order by k) a, max(abs(s)) > 0 n from s group by id)
+        select id, coalesce(a, repeat('0', 64)) signs, case when n then 1.0::double else 0.0::double end norm from p left join a using (id)""",
+    ),
     "parse_labels": (parse_labels, f"select article_id, score, confidence, explanation from time_sensitivity where {VALID}"),
     "reject_labels": (reject_labels, f"select article_id from time_sensitivity where not coalesce({VALID}, false)"),
     "label_by_keywords": (
-        lambda s, d: current(s, d, "title").select("id", L.keyword_score(F.coalesce("title", F.lit(""))).alias("score")),
-        f"with {CUR} select id, cast(case " + " ".join(rf"when regexp_matches(lower(coalesce(title, '')), '\b({p})\b') then {n}" for n, p in L.CUES) + " else 1 end as int) score from cur",
+        lambda s, d: current(s, d, "title", "content").select("id", L.keyword_score(F.concat_ws(" ", F.coalesce("title", F.lit("")), T.strip_markup(F.coalesce("content", F.lit(""))))).alias("score")),
+        f"with {CUR}, t as (select id, lower(coalesce(title, '') || ' ' || {MARKUP.format(t="coalesce(content, '')")}) b from cur) select id, cast(case "
+        + " ".join(rf"when regexp_matches(b, '\b({'|'.join(L.CUES[n])})\b') then {n}" for n in sorted(L.CUES, reverse=True)) + " else 1 end as int) score from t",
     ),
     "check_violations": (
         lambda s, d: violations(table(s, d, "time_sensitivity"), "time_sensitivity"),

@@ -15,6 +15,7 @@ from rankspark.operators import splits as D
 from rankspark.operators import writes as U
 from rankspark.operators.encode import HashingEncoder, encoded, mean_pool
 from rankspark.schema import RELATIONS, asserted, valid, violations
+from rankspark.sources import files
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -165,7 +166,68 @@ def test_swap_reads_what_it_replaces(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
-def test_history(tmp_path):
+def test_buckets_that_nothing_changes_are_left_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(200).select("id", F.lit(0).alias("score"))
+    sinks.write_buckets(rows, path, ["id"], 8)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    changes = spark.createDataFrame([(5, 50, 0), (5, 51, 1), (999, 1, 0)], "id long, score int, ordinal int")
+    touched = sinks.update_buckets(path, changes, ["id"], 8, lambda old, new: U.update(old, new, "id", "score"))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    assert 1 <= len(touched) <= 2
+    assert {p for p in before if after.get(p) != before[p]} == {p for p in before if int(p.parent.name.split("=")[1]) in touched}
+    assert rows_of(spark.read.parquet(path), "id", "score") == [(k, 51 if k == 5 else 0) for k in range(200)]
+    assert sinks.update_buckets(path, changes.limit(0), ["id"], 8, lambda old, new: old) == []
+
+
+def test_snapshots_of_an_encoder(spark, tmp_path):
+    from rankspark.operators.encode import READY, ensured_snapshot, has_snapshot
+
+    calls, path = [], str(tmp_path / "encoder")
+
+    def fetch(to):
+        calls.append(to)
+        for name in ("config.json", "vocab.json", "part-1.safetensors"):
+            (tmp_path / "encoder" / name).write_text("{}")
+
+    assert not has_snapshot(path)
+    for _ in range(2):
+        assert ensured_snapshot(path, fetch) == path
+    assert calls == [path] and has_snapshot(path) and (tmp_path / "encoder" / READY).exists()
+    # one that is usable is marked without a fetch, one that broke off is made again
+    (tmp_path / "encoder" / READY).unlink()
+    ensured_snapshot(path, fetch)
+    assert len(calls) == 1
+    (tmp_path / "encoder" / READY).unlink()
+    (tmp_path / "encoder" / "vocab.json").unlink()
+    ensured_snapshot(path, fetch)
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("intervals, settled", [(1024, 100_000), (3, 2), (2, 0)])
+def test_newest_share_equals_a_sort(spark, monkeypatch, intervals, settled):
+    monkeypatch.setattr(D, "INTERVALS", intervals)
+    monkeypatch.setattr(D, "SETTLED", settled)
+    rng = np.random.default_rng(3)
+    times = ["1969-12-31 23:59:58", "1970-01-01 00:00:00.000001", "1970-01-01", "2024-01-01 10:00:00", "2024-01-01 10:00:00.5", "1901-05-05", None]
+    made = [(int(k) - 30, times[int(rng.integers(len(times)))]) for k in rng.permutation(70)]
+    rows = spark.createDataFrame(made, "id long, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    order = sorted(rows.collect(), key=lambda r: (r["at"] is not None, str(r["at"]) if r["at"] else "", r["id"]), reverse=True)
+    for share in (0.0, 0.01, 0.2, 0.5, 0.77, 0.95, 1.0):
+        got = D.newest_share(rows, share, "at", "id")
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in order[: int(70 * share)])
+        assert got.columns == rows.columns
+
+
+def test_stored_tables_are_cleaned_by_age(spark):
+    from rankspark.sources.shared import clean_stored, stored
+
+    df, path = stored(spark.range(3), "some")
+    assert clean_stored(spark, 24) == 0 and df.count() == 3
+    assert clean_stored(spark, 0) >= 1 and not files.exists(path)
+
+
+def test_history(spark, tmp_path):
     path = str(tmp_path / "h.json")
     assert sinks.read_history(path) == []
     sinks.append_history(path, {"a": 1})
@@ -298,8 +360,8 @@ def test_artifacts(spark, tmp_path):
     model = H.fit(rows, 1.0)
     for date, n in (("2024-01-01", 99), ("2024-01-01", 100), ("2023-12-31", 500)):
         H.save(model, H.artifact_path(str(tmp_path), "rel", date, good=n, bad=1), c=1.0)
-    assert H.latest_artifact(str(tmp_path), "rel").endswith("2024-01-01_100_good_1_bad")
-    loaded, meta = H.load(H.latest_artifact(str(tmp_path), "rel", clean_old=True))
+    assert H.latest_artifact(str(tmp_path), "rel", clean_old=False).endswith("2024-01-01_100_good_1_bad") and len(H.artifacts(str(tmp_path), "rel")) == 3
+    loaded, meta = H.load(H.latest_artifact(str(tmp_path), "rel"))
     assert meta == {"c": 1.0} and np.allclose(loaded.coefficients.toArray(), model.coefficients.toArray())
     assert len(H.artifacts(str(tmp_path), "rel")) == 1
     with pytest.raises(FileNotFoundError):
@@ -339,8 +401,10 @@ def test_answers_are_parsed_strictly(spark, answer, ok):
 
 
 def test_keywords(spark):
-    rows = spark.createDataFrame([("Storm WARNING",), ("due tomorrow",), ("nowhere",), ("",)], "t string")
-    assert [r[0] for r in rows.select(L.keyword_score(F.col("t"))).collect()] == [5, 4, 1, 1]
+    rows = spark.createDataFrame([("Breaking: live REPORTS",), ("who wins",), ("a policy of opinion",), ("alive",), ("",)], "t string")
+    assert [r[0] for r in rows.select(L.keyword_score(F.col("t"))).collect()] == [5, 4, 3, 1, 1]
+    prompts = [L.SCALE_PROMPT.replace("{title}", t[0]).replace("{content}", "") for t in rows.collect()]
+    assert [json.loads(a)["score"] for a in L.keyword_labeller()(prompts)] == [5, 4, 3, 1, 1]
 
 
 # --- freshness ---
@@ -358,3 +422,28 @@ def test_freshness(spark):
     assert tuple(P.fingerprint(pairs).first()) == tuple(P.fingerprint(pairs.orderBy("guess")).first()) != tuple(P.fingerprint(pairs.limit(3)).first())
     labels = spark.createDataFrame([(1, 2, True), (1, 3, False), (2, 1, False), (2, 2, False), (3, 4, True), (3, 4, True)], "article_id long, bucket int, reviewed boolean")
     assert rows_of(P.reviewed_labels(labels)) == [(1, 2), (3, 4)]
+
+
+def test_freshness_heads_follow_the_buckets(spark):
+    rng = np.random.default_rng(8)
+    made = [([float(b) - 3.5, float(rng.normal())], b) for b in rng.integers(1, 7, 400).tolist()]
+    rows = spark.createDataFrame([*made, (None, 3)], "embedding array<double>, bucket int")
+    heads = P.fit_heads(rows.where("embedding is not null"))
+    assert len(heads) == 5 and all(h.intercept == 0 for h in heads)
+    got = P.predicted(heads, rows).collect()
+    assert all((r["buckets"] is None) == (r["embedding"] is None) for r in got)
+    sums = [sum(r["buckets"]) for r in got if r["buckets"]]
+    assert np.allclose(sums, 1)
+    mean = {b: np.mean([np.dot(r["buckets"], range(1, 7)) for r in got if r["buckets"] and r["bucket"] == b]) for b in range(1, 7)}
+    assert all(mean[b] < mean[b + 1] for b in range(1, 6))
+
+
+def test_evaluation_folders_go(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "eval_old").mkdir()
+    (tmp_path / "kept").mkdir()
+    assert H.clean_evaluations(root) == 1
+    with pytest.raises(KeyError), H.evaluation_folder(root) as path:
+        assert files.exists(path)
+        raise KeyError
+    assert files.names(root) == ["kept"]
