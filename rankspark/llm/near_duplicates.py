@@ -46,6 +46,7 @@ smallest id.  An empty table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -74,12 +75,26 @@ PART = 8192
 #: Pairs between two chains that are verified in the first round; each further round allows as many times more.
 ALLOWED = 16
 BINS = 128
-#: Matching bins that a pair of sets needs, by the size of the smaller (the last for all larger).  A pair with
-#: similarity 0.5 has 80 on average, 40 in half the bins; what it needs lies four standard deviations below (3e-5).
 SIZES = 1024
-_SIZE = np.maximum(np.arange(SIZES + 1), 0.75)
-NEED = np.maximum(0, 80 - 4 * np.sqrt(5.5**2 + 48**2 / (4 / 3 * _SIZE))).astype(np.int64)
-NEED_HALF = np.maximum(0, 40 - 4 * np.sqrt(3.9**2 + 24**2 / (4 / 3 * _SIZE))).astype(np.int64)
+
+
+class Margin(NamedTuple):
+    """Matching bins that a pair of sets needs, in all bins and in the first half, by the size of the smaller (the last for all larger)."""
+
+    need: np.ndarray
+    half: np.ndarray
+
+
+def margin(deviations: float) -> Margin:
+    """A pair with similarity 0.5 has 80 matching bins on average, 40 in half of them; it may have so many standard deviations less."""
+    size = np.maximum(np.arange(SIZES + 1), 0.75)
+    need = 80 - deviations * np.sqrt(5.5**2 + 48**2 / (4 / 3 * size))
+    half = 40 - (deviations + 0.5) * np.sqrt(3.9**2 + 24**2 / (4 / 3 * size))
+    return Margin(np.maximum(0, need).astype(np.int64), np.maximum(0, half).astype(np.int64))
+
+
+#: Screening in front of a shuffle of sets (5 of 10,000 pairs at the threshold may fail), and in front of sets at hand (1 of 30,000).
+SCREEN, WIDE = margin(3.3), margin(4.0)
 WIDTH = 5
 #: Articles that are worked on at once: memory stays bounded, arrays in the cache.
 PIECE = 2000
@@ -233,18 +248,18 @@ def _emit(blocks: int, min_words: int):
     return run
 
 
-def half_reach(sketch: np.ndarray) -> np.ndarray:
+def half_reach(sketch: np.ndarray, allowed: Margin = SCREEN) -> np.ndarray:
     """Bins of the first half in which a partner may differ; of a pair the larger counts, that of the smaller set."""
-    return (BINS // 2 - NEED_HALF[np.minimum(sketch[:, 4], np.uint64(SIZES)).astype(np.int64)]).astype(np.uint8)
+    return (BINS // 2 - allowed.half[np.minimum(sketch[:, 4], np.uint64(SIZES)).astype(np.int64)]).astype(np.uint8)
 
 
-def matching(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def matching(a: np.ndarray, b: np.ndarray, allowed: Margin = SCREEN) -> np.ndarray:
     """Which pairs of sketches agree in enough bins: half of the bins first, then all."""
     half = np.bitwise_count((a[:, 0] ^ b[:, 0]) | (a[:, 1] ^ b[:, 1]))
     size = np.minimum(np.minimum(a[:, 4], b[:, 4]), np.uint64(SIZES)).astype(np.int64)
-    ok = np.flatnonzero(half <= BINS // 2 - NEED_HALF[size])
+    ok = np.flatnonzero(half <= BINS // 2 - allowed.half[size])
     rest = np.bitwise_count((a[ok, 2] ^ b[ok, 2]) | (a[ok, 3] ^ b[ok, 3]))
-    return ok[half[ok].astype(np.int64) + rest <= BINS - NEED[size[ok]]]
+    return ok[half[ok].astype(np.int64) + rest <= BINS - allowed.need[size[ok]]]
 
 
 #: Kinds of rows after the exchange of keys.

@@ -19,7 +19,7 @@ on them.  An alike partner has at least half of an article's sequences, so an
 article whose frequent seeds touch up to ``TOUCHED`` of its words shares many others
 with it and is found by its rare seeds.  Of articles with more, all seeds count.
 All pairs that share a seed in this way are screened by a sketch of their sets
-(that of the near-duplicate operator, with its margin) and verified exactly on the
+(that of the near-duplicate operator, with a wider margin) and verified exactly on the
 full sets of three-word sequences, which the index holds beside the texts; those
 that are alike have their matches extended, located and merged.  So no set and no
 text moves for it.
@@ -52,7 +52,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
-from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDTH, half_reach, matching, sketches
+from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDE, WIDTH, half_reach, matching, sketches
 from rankspark.sources.shared import stored
 
 SHARD_WORDS = 1_800_000
@@ -337,7 +337,7 @@ class Stream:
             """Of pairs those of sets of which none is over twice as large and whose sketches match."""
             x, y = mine[pair // d, 4], theirs[pair % d, 4]
             pair = pair[(y <= 2 * x) & (x <= 2 * y)]
-            return pair[matching(mine[pair // d], theirs[pair % d])]
+            return pair[matching(mine[pair // d], theirs[pair % d], WIDE)]
 
         # the articles that rare seeds do for, pair by pair
         doc = self.doc[self.first[hit]].astype(np.int64)
@@ -366,7 +366,7 @@ class Stream:
         doc, kind = np.delete(doc, many), np.delete(kind, many)
         columns = [np.ascontiguousarray(theirs[:, c]) for c in (0, 1)]
         own, sizes = mine[:, 4].astype(np.int64), theirs[:, 4].astype(np.int32)
-        reach, mine_reach = half_reach(theirs), half_reach(mine)
+        reach, mine_reach = half_reach(theirs, WIDE), half_reach(mine, WIDE)
         # a table of all pairs of some of these articles, filled and read in pieces of bounded size
         step, some = max(1, TABLE // d), np.flatnonzero(needed)
         place = np.cumsum(needed) - 1
@@ -389,7 +389,7 @@ class Stream:
                 if len(b):
                     half = np.bitwise_count((columns[0][b] ^ mine[a, 0]) | (columns[1][b] ^ mine[a, 1]))
                     b = b[half <= np.maximum(reach[b], mine_reach[a])]
-                    b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b])]
+                    b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b], WIDE)]
                     wanted.append(a * d + b)
         return distinct(np.concatenate(wanted))
 
