@@ -26,8 +26,8 @@ Hot keys.  Articles of the same set in a batch are linked and one goes on; near
 copies are linked to a leader by parts of the sketch, with a leader a batch in
 front of the shuffle.  A key that more than ``HOT`` articles share waits until
 these links and those of the other keys are verified and chained.  Then all its
-pairs of articles in *different* chains are compared, in sub-blocks of at most
-``PART`` by ``PART``; members of the largest chain meet the others only.  Of the
+pairs of articles in *different* chains are compared by two sketches, in sub-blocks
+of at most ``PART`` by ``PART``; members of the largest chain meet the others only.  Of the
 pairs between two chains the ``ALLOWED`` nearest are verified first, and more in
 further rounds as long as there are any and the chains stay apart.  So a hot
 group of near copies costs a link each, and no pair is left out.
@@ -95,6 +95,8 @@ def margin(deviations: float) -> Margin:
 
 #: Screening in front of a shuffle of sets (5 of 10,000 pairs at the threshold may fail), and in front of sets at hand (1 of 30,000).
 SCREEN, WIDE = margin(3.3), margin(4.0)
+#: Two sketches together, as the members of hot keys have them: twice the bins, twice the variance.
+BOTH = np.maximum(0, 160 - 3.3 * np.sqrt(2 * (5.5**2 + 48**2 / (4 / 3 * np.maximum(np.arange(SIZES + 1), 0.75))))).astype(np.int64)
 WIDTH = 5
 #: Articles that are worked on at once: memory stays bounded, arrays in the cache.
 PIECE = 2000
@@ -120,6 +122,13 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack([planes[0][:, 0], planes[1][:, 0], planes[0][:, 1], planes[1][:, 1], size], axis=1))
 
 
+def second_sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The same by other hashes, without the sizes: (n, 4)."""
+    other = W.mix(h ^ np.uint64(0x2ED)) & np.uint64((1 << W.HASH_BITS) - 1)
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(W.HASH_BITS)) | other)  # in_pieces: documents in 16 bits
+    return sketches(doc, other[order], n)[:, :4]
+
+
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bins in which sketches differ."""
     return np.bitwise_count((a[..., 0:4:2] ^ b[..., 0:4:2]) | (a[..., 1:4:2] ^ b[..., 1:4:2])).sum(axis=-1)
@@ -214,6 +223,7 @@ def _emit(blocks: int, min_words: int):
             ids, doc, h, anchor = ids[alone], place[doc[keep]], h[keep], anchor[keep]
             n = len(ids)
             sketch = sketches(doc, h, n)
+            more = np.concatenate([sketch, second_sketches(doc, h, n)], axis=1)
             key, owner = _segment_keys(doc, h, anchor, n)
             # near copies are linked to a leader of the batch, which alone goes on with the code
             code, by = _near_codes(sketch).ravel(), np.repeat(np.arange(n), 8)
@@ -233,7 +243,7 @@ def _emit(blocks: int, min_words: int):
                 (marks % np.uint64(blocks), (("marks", marks),)),
                 (W.mix(key[often] ^ ids[owner[often]].view(np.uint64)) % np.uint64(blocks), (("hot_keys", key[often]), ("hot_ids", ids[owner[often]]))),
                 (code[leads] % np.uint64(blocks), (("codes", code[leads]), ("code_ids", ids[by[leads]]))),
-                (W.mix(ids.view(np.uint64)) % np.uint64(blocks), (("sketch_ids", ids), ("sketches", sketch))),
+                (W.mix(ids.view(np.uint64)) % np.uint64(blocks), (("sketch_ids", ids), ("sketches", more))),
             ]
             parts += [(W.mix(v[:, 1].astype(np.uint64)) % np.uint64(blocks), ((name, v),)) for name, v in (("copies", copies), ("links", links))]
             rows: dict[int, dict[str, bytes]] = {}
@@ -286,7 +296,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     links = np.concatenate([part["links"].reshape(-1, 2), near])
     links = links[links[:, 0] != links[:, 1]]
     _, first = np.unique(part["sketch_ids"], return_index=True)
-    sketch = part["sketches"].reshape(-1, WIDTH)[first]
+    sketch = part["sketches"].reshape(-1, WIDTH + 4)[first]
     copies = part["copies"].reshape(-1, 2)
     x = [key[cold], key[hot], part["hot_keys"], copies.min(axis=1), links.min(axis=1), part["sketch_ids"][first]]
     y = [ids[cold], ids[hot], part["hot_ids"], copies.max(axis=1), links.max(axis=1), part["sketch_ids"][first]]
@@ -297,13 +307,13 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": kind.astype(np.int32), "x": np.concatenate([v.view(np.int64) for v in x]), "y": np.concatenate(y), "sketch": held})
 
 
-def _members(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return frame["y"].to_numpy(), np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(-1, WIDTH)
+def _members(frame: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return frame["y"].to_numpy(), np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(-1, width)
 
 
 def _compared(frame: pd.DataFrame) -> pd.DataFrame:
     """(a, b) of the articles under one key whose sketches match."""
-    ids, sketch = _members(frame)
+    ids, sketch = _members(frame, WIDTH)
     key = frame["x"].to_numpy()
     order = np.lexsort((ids, key))
     key, ids, sketch = key[order], ids[order], sketch[order]
@@ -340,10 +350,13 @@ def _apart(allowed: int):
             near = (sketch[i, 4] <= 2 * sketch[j, 4]) & (sketch[j, 4] <= 2 * sketch[i, 4])
             i, j = i[near], j[near]
             ok = matching(sketch[i], sketch[j])
+            i, j = i[ok], j[ok]
+            size = np.minimum(np.minimum(sketch[i, 4], sketch[j, 4]), np.uint64(SIZES)).astype(np.int64)
+            ok = differing(sketch[i], sketch[j]) + differing(sketch[i, WIDTH:], sketch[j, WIDTH:]) <= 2 * BINS - BOTH[size]
             yield np.stack([i[ok], j[ok]])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, sketch = _members(frame)
+        ids, sketch = _members(frame, WIDTH + 4)
         label, key, side = frame["label"].to_numpy(), frame["x"].to_numpy(), frame["side"].to_numpy()
         # side 0 meets itself, 1 meets 2, and nothing else
         order = np.lexsort((side, key))
@@ -474,7 +487,7 @@ def chains(articles: DataFrame, similarity: float = SIMILARITY, min_words: int =
     keyed, _ = stored(keyed.groupBy("block").applyInPandas(_shared, "kind int, x long, y long, sketch binary"), "keys", "kind")
     of = lambda kind: keyed.where(F.col("kind") == kind)
     sketched = of(SKETCH).select("y", "sketch").dropDuplicates(["y"])
-    cold = of(COLD).select("x", "y").join(sketched, "y").withColumn("block", F.pmod("x", F.lit(blocks)))
+    cold = of(COLD).select("x", "y").join(sketched.select("y", F.substring("sketch", 1, 8 * WIDTH).alias("sketch")), "y").withColumn("block", F.pmod("x", F.lit(blocks)))
     pairs = cold.groupBy("block").applyInPandas(_compared, "a long, b long")
     pairs, _ = stored(pairs.union(of(LINK).select("x", "y")).distinct(), "candidates")
     known, sets = ends(pairs), shingle_sets(ends(pairs), articles, min_words)
