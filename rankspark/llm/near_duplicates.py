@@ -102,6 +102,8 @@ WIDTH = 5
 PIECE = 2000
 #: 64-bit words of the bitmap of wanted ids, whatever their number (8 MB).
 BITMAP = 1 << 20
+#: Bytes of a shingle's hash in the sets that are verified.
+PACKED = 5
 #: Articles to one block of keys.
 BLOCK_ARTICLES = 25_000
 
@@ -417,16 +419,16 @@ def _sets(min_words: int, bitmap: Broadcast):
                 ids, flat, counts = W.article_words(piece, min_words)
                 doc, h, _ = W.shingles(flat, counts)
                 edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-                # 48 bits of each hash
-                packed = h.view(np.uint8).reshape(-1, 8)[:, : W.HASH_BITS // 8]
+                # 40 bits of each hash: two of a pair of sets agree by chance once in ten million pairs
+                packed = h.view(np.uint8).reshape(-1, 8)[:, :PACKED]
                 yield pa.RecordBatch.from_pydict({"article_id": ids, "shingles": [packed[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]}, schema=pa.schema([("article_id", pa.int64()), ("shingles", pa.binary())]))
 
     return run
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    h = np.zeros((len(x) // 6, 8), np.uint8)
-    h[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    h = np.zeros((len(x) // PACKED, 8), np.uint8)
+    h[:, :PACKED] = np.frombuffer(x, np.uint8).reshape(-1, PACKED)
     return h.view(np.uint64).ravel()
 
 
@@ -490,18 +492,16 @@ def chains(articles: DataFrame, similarity: float = SIMILARITY, min_words: int =
     cold = of(COLD).select("x", "y").join(sketched.select("y", F.substring("sketch", 1, 8 * WIDTH).alias("sketch")), "y").withColumn("block", F.pmod("x", F.lit(blocks)))
     pairs = cold.groupBy("block").applyInPandas(_compared, "a long, b long")
     pairs, _ = stored(pairs.union(of(LINK).select("x", "y")).distinct(), "candidates")
-    known, sets = ends(pairs), shingle_sets(ends(pairs), articles, min_words)
-    found = components(with_sets(pairs, sets, similarity).select("a", "b").union(of(COPY).select("x", "y")))
-    waiting, allowed, more = of(WAITING).select("x", "y").distinct(), ALLOWED, True
+    found = components(verified(pairs, articles, similarity, min_words).select("a", "b").union(of(COPY).select("x", "y")))
+    # an article that came twice may stand twice under a hot key, in one chain with itself
+    waiting, allowed, more = of(WAITING).select("x", "y"), ALLOWED, True
     while more and waiting.head(1):
         apart = _blocks_apart(waiting, sketched, found, blocks).groupBy("block").applyInPandas(_apart(allowed), "a long, b long, more boolean")
         apart, _ = stored(apart.groupBy("a", "b").agg(F.max("more").alias("more")), "apart")
         more = apart.agg(F.max("more")).first()[0]
         if more is None:
             break
-        new = ends(apart).join(known, "article_id", "left_anti")
-        sets, known = sets.unionByName(shingle_sets(new, articles, min_words)), known.union(new)
-        fresh, _ = stored(with_sets(apart.select("a", "b"), sets, similarity).select("a", "b"), "links")
+        fresh, _ = stored(verified(apart.select("a", "b"), articles, similarity, min_words).select("a", "b"), "links")
         if fresh.head(1):
             found = components(fresh.union(found.select("node", "component")))
         allowed *= ALLOWED
