@@ -70,7 +70,8 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     """(rows, fingerprint): the same for the same bag of rows in any order; sums of hashes, so nothing is gathered."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns])
     number = lambda start: F.conv(F.substring(F.md5(text), start, 12), 16, 10).cast("long")
-    parts = [F.count("*"), F.coalesce(F.sum(number(1)), F.lit(0)), F.coalesce(F.bit_xor(number(13)), F.lit(0))]
+    # 48 bits a row: a long overflows from some 65,000 rows on
+    parts = [F.count("*"), F.coalesce(F.sum(number(1).cast("decimal(28,0)")), F.lit(0)), F.coalesce(F.bit_xor(number(13)), F.lit(0))]
     return rows.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256).alias("fingerprint"))
 
 

@@ -424,6 +424,19 @@ def test_freshness(spark):
     assert rows_of(P.reviewed_labels(labels)) == [(1, 2), (3, 4)]
 
 
+def test_fingerprint_of_many_rows(spark):
+    from hashlib import md5, sha256
+
+    n = 100_000
+    texts = [md5(f"{k}".encode()).hexdigest() for k in range(n)]
+    both = 0
+    for t in texts:
+        both ^= int(t[12:24], 16)
+    total = sum(int(t[:12], 16) for t in texts)
+    assert total >= 1 << 63
+    assert tuple(P.fingerprint(spark.range(n)).first()) == (n, sha256(f"{n}|{total}|{both}".encode()).hexdigest())
+
+
 def test_freshness_heads_follow_the_buckets(spark):
     rng = np.random.default_rng(8)
     made = [([float(b) - 3.5, float(rng.normal())], b) for b in rng.integers(1, 7, 400).tolist()]
