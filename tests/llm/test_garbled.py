@@ -123,6 +123,21 @@ def test_on_tables(spark):
     assert G.found(df.limit(0)).count() == 0
 
 
+def test_the_model_comes_from_all_words(spark):
+    """Every word of a long text counts, and words of more than 100 characters do as a whole."""
+    rows = [*clean_rows(10), (10_000, " ".join(SAMPLES[k] for k in ("fr", "de", "es")) * 40), (10_001, "é" * 150 + " ñ"), (10_002, garble(SAMPLES["fr"], "utf-8", "western")), (10_003, None)]
+    made = G.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    whole = G.fit_words([w for _, t in rows if t and (w := G.WORD.findall(G.resolve(t)))])
+    assert (made.pairs, made.firsts, made.total) == (whole.pairs, whole.firsts, whole.total)
+    assert made.pairs["éé"] >= 149
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", "plain", "é", "aé bé", "xxé1abc2éx", "a-bé_cé&#233;d", "été&eacute; naïve", *SAMPLES.values(), *(garble(SAMPLES["fr"], "utf-8", r) for r in ("western", "gbk", "cp437"))]
+    for text in texts:
+        assert G.words_of(text) == G.WORD.findall(G.resolve(text))
+
+
 def test_on_the_data(spark, data):
     docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
     ids = {r[0] for r in G.found(docs).collect()}
