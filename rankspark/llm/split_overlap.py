@@ -13,16 +13,18 @@ Matches of at least ``MIN_MATCH`` words are located, merged into spans of each
 pair of articles, and counted; every common run of ``MIN_MATCH + STEP - 1`` words
 or more is found.
 
-Frequent seeds (notices of a site, stock phrases, large groups of copies; more
-than ``FREQUENT`` articles of a shard) are looked at only where a pair may depend
-on them.  An alike partner has at least half of an article's sequences, so an
-article whose frequent seeds touch up to ``TOUCHED`` of its words shares many others
-with it and is found by its rare seeds.  Of articles with more, all seeds count.
-All pairs that share a seed in this way are screened by a sketch of their sets
-(that of the near-duplicate operator, with a wider margin) and verified exactly on the
-full sets of three-word sequences, which the index holds beside the texts; those
-that are alike have their matches extended, located and merged.  So no set and no
-text moves for it.
+Which pairs are alike is known before: of sets at a similarity of a half, put into
+one order, the first common sequence stands so early in both that as many can follow
+as the pair must share.  So the sequences of a text's first half are enough, and of
+pairs that share one those count whose sizes and places there allow it.  The order is
+by how often the evaluation articles have a sequence, rarest first (counted over all
+of them in a table of bounded size; where two share a cell the order stays one order,
+so that no pair is lost).  The pairs are screened by a sketch of their sets (that of
+the near-duplicate operator, with a wider margin) and verified exactly on the full
+sets of three-word sequences, which the index holds beside the texts; those that are
+alike have their matches extended, located and merged, and those without a match have
+no words and no spans.  So no set and no text moves for it, and the parts of an index
+that matches need are read for shards with alike pairs only.
 
 The index of a shard holds the Burrows-Wheeler transform as positions by word, a
 suffix array sampled at every ``RATE``-th word, and the intervals of all
@@ -52,7 +54,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from rankspark.llm import words as W
-from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDE, WIDTH, half_reach, matching, sketches
+from rankspark.llm.near_duplicates import MIN_WORDS, SIMILARITY, WIDE, WIDTH, matching, sketches
 from rankspark.sources.shared import stored
 
 SHARD_WORDS = 1_800_000
@@ -60,15 +62,17 @@ STEP = 4
 MIN_MATCH = 6
 MAX_MATCH = 24
 RATE = 8
-#: Articles of a shard with a seed from which it is frequent, and the share of an article's words that such seeds may
-#: touch before they count.
+#: Articles of a shard with a seed from which it is frequent: no bound here, a size for tests.
 FREQUENT = 64
-TOUCHED = 0.25
 STREAM = 5_000
 #: Words of training articles that a task holds while the shards pass.
 HELD = 2_500_000
 LOCATE = 500_000
-TABLE = 16_000_000
+#: Bits of a sequence's hash in the order, and of a size beside it; articles to one sort; cells of the table of counts at most.
+TOKEN, SIZE = 43, 21
+TOGETHER = 1 << 64 - TOKEN - 8
+CELLS = 1 << 25
+PARTS = 16
 _BIG = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -126,6 +130,56 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
 
 
+def tokens(sets: np.ndarray) -> np.ndarray:
+    return sets >> np.uint64(W.HASH_BITS - TOKEN)
+
+
+def beginnings(sets: np.ndarray, sizes: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, article, place) of the first half of each article's set, rarest first, without what no evaluation article has."""
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    found = [(np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32))]
+    for at in range(0, len(sizes), TOGETHER):
+        size = sizes[at : at + TOGETHER]
+        token = tokens(sets[edge[at] : edge[at + len(size)]])
+        key = np.repeat(np.arange(len(size), dtype=np.uint64) << np.uint64(TOKEN + 8), size)
+        key |= rarity[(token & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(TOKEN)
+        key = np.sort(key | token)
+        doc = (key >> np.uint64(TOKEN + 8)).astype(np.int32)
+        place = (np.arange(len(key)) - (edge[at : at + len(size)] - edge[at])[doc]).astype(np.int32)
+        early = (2 * place <= size[doc]) & ((key >> np.uint64(TOKEN)) & np.uint64(255) > 0)
+        found.append((key[early] & np.uint64((1 << TOKEN) - 1), doc[early] + np.int32(at), place[early]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def sized(token: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Token and size in one key."""
+    return token << np.uint64(SIZE) | np.clip(size, 0, (1 << SIZE) - 1).astype(np.uint64)
+
+
+class Side:
+    """The sets of a shard's evaluation articles, and where the first halves have which sequence."""
+
+    FIELDS = (("keys", np.uint64), ("docs", np.int32), ("limits", np.int32))
+
+    def __init__(self, read, **fields: np.ndarray):
+        self.__dict__.update(fields)
+        self.read = read
+
+    @classmethod
+    def postings(cls, sets: np.ndarray, sizes: np.ndarray, rarity: np.ndarray) -> dict[str, np.ndarray]:
+        """In the order of token and size; ``limits`` is the largest size of a partner whose first common sequence this is."""
+        token, doc, place = beginnings(sets, sizes, rarity)
+        key = sized(token, sizes[doc])
+        order = np.argsort(key)
+        return {"keys": key[order], "docs": doc[order], "limits": (2 * sizes[doc] - 3 * place)[order].astype(np.int32)}
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name != "sets":
+            raise AttributeError(name)
+        self.sets = self.read("sets")
+        return self.sets
+
+
 class Index:
     """An FM-index over the words of some articles."""
 
@@ -269,9 +323,9 @@ def left_maximal(index: Index, flat: np.ndarray, begin: np.ndarray, first: np.nd
 
 
 class Stream:
-    """A batch of training articles with the hashes of their seeds, in the order of the hashes."""
+    """A batch of training articles with the hashes of their seeds, in the order of the hashes, and the first halves of their sets."""
 
-    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+    def __init__(self, flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
         self.flat, self.counts = flat, counts
         self.start = np.concatenate([[0], np.cumsum(counts)])[:-1]
         self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -282,116 +336,72 @@ class Stream:
         good = np.flatnonzero((offset % STEP == 0) & (self.doc[: len(at)] == self.doc[MIN_MATCH - 1 : MIN_MATCH - 1 + len(at)]))
         self.first = good[np.argsort(hashed[good])]
         self.hashed = hashed[self.first]
-        of, self.sets, _ = W.shingles(flat, counts)
-        self.edge = np.searchsorted(of, np.arange(len(counts) + 1))
-        self.sketch = sketches(of, self.sets, len(counts))
-
-    def overlaps(self, index: Index, similarity: float) -> tuple[np.ndarray, ...]:
-        """(training number, evaluation number, words covered, spans, similarity) of the pairs that are alike."""
-        wanted, value = self.exact(index, self.alike(index), similarity)
-        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // len(index.ids)))
-        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
-        end = self.first[seeds[which]] + MIN_MATCH - 1
-        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
-        return mine, theirs, covered, spans, value[np.searchsorted(wanted, mine * len(index.ids) + theirs)]
+        of, sets, _ = W.shingles(flat, counts)
+        self.sketch = sketches(of, sets, len(counts))
+        self.sizes = np.bincount(of, minlength=len(counts))
+        token, doc, place = beginnings(sets, self.sizes, rarity)
+        order = np.argsort(token)
+        token, self.owner, place = token[order], doc[order].astype(np.min_scalar_type(len(counts))), place[order]
+        # partners' sizes: half of this one's at least, at most what may still follow
+        size = self.sizes[self.owner]
+        self.least, self.most = sized(token, (size + 1) // 2), sized(token, 2 * size - 3 * place)
+        self.sets = of.astype(np.uint64) << np.uint64(W.HASH_BITS) | sets
+
+    def alike(self, side: Side, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (training number * evaluation articles + evaluation number, in order) of at least ``similarity``, and their similarities."""
+        return self.exact(side, self.candidates(side), similarity)
+
+    def candidates(self, side: Side) -> np.ndarray:
+        """The pairs, in order, that share an early sequence and whose sketches match."""
+        d, theirs = len(side.ids), side.sketch.reshape(-1, WIDTH)
+        low = np.searchsorted(side.keys, self.least)
+        hit = np.flatnonzero(side.keys[np.minimum(low, len(side.keys) - 1)] <= self.most) if len(side.keys) else np.empty(0, np.int64)
+        hit = hit[low[hit] < len(side.keys)]
+        high = np.searchsorted(side.keys, self.most[hit], side="right")
+        order = np.argsort(self.owner[hit], kind="stable")
+        hit, high = hit[order], high[order]
+        low, owner = low[hit], self.owner[hit].astype(np.int64)
+        t = high - low
+        wanted = [np.empty(0, np.int64)]
+        for piece in pieces(t, 0, len(t)):
+            n = t[piece]
+            at = np.repeat(low[piece] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            a = np.repeat(owner[piece], n)
+            good = side.limits[at] >= self.sizes[a]
+            pair = distinct(a[good] * d + side.docs[at[good]])
+            wanted.append(pair[matching(self.sketch[pair // d], theirs[pair % d], WIDE)])
+        return distinct(np.concatenate(wanted))
 
-    def exact(self, index: Index, wanted: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    def exact(self, side: Side, wanted: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs (in order) those of at least ``similarity``, and their similarities."""
-        theirs = np.concatenate([[0], np.cumsum(index.sizes)])
-        of, b = np.divmod(wanted, len(index.ids))
         value = np.zeros(len(wanted))
-        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else [0]
-        for i, j in zip(edge[:-1], edge[1:]):
-            mine = self.sets[self.edge[of[i]] : self.edge[of[i] + 1]]
-            for piece in pieces(index.sizes[b], i, j):
-                size = index.sizes[b[piece]]
-                start = np.cumsum(size) - size
-                all_ = index.sets[np.repeat(theirs[b[piece]] - start, size) + np.arange(size.sum())]
-                at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
-                common = np.add.reduceat(mine[at] == all_, start, dtype=np.int64)
-                value[piece] = common / (len(mine) + size - common)
+        if not len(wanted):
+            return wanted, value
+        edge = np.concatenate([[0], np.cumsum(side.sizes)])
+        a, b = np.divmod(wanted, len(side.ids))
+        for piece in pieces(side.sizes[b], 0, len(b)):
+            if not len(piece):
+                continue
+            size = side.sizes[b[piece]]
+            start = np.cumsum(size) - size
+            theirs = side.sets[np.repeat(edge[b[piece]] - start, size) + np.arange(size.sum())] | np.repeat(a[piece].astype(np.uint64) << np.uint64(W.HASH_BITS), size)
+            at = np.minimum(np.searchsorted(self.sets, theirs), len(self.sets) - 1)
+            common = np.add.reduceat(self.sets[at] == theirs, start, dtype=np.int64)
+            value[piece] = common / (self.sizes[a[piece]] + size - common)
         good = value >= similarity
         return wanted[good], value[good]
 
-    def alike(self, index: Index) -> np.ndarray:
-        """The pairs (training number * evaluation articles + evaluation number, in order) that share a seed and whose sketches match."""
-        hit, low, high = index.start(self.hashed)
-        d, theirs = len(index.ids), index.sketch.reshape(-1, WIDTH)
-        # frequent seeds count for the articles of which they touch much
-        frequent = high - low > FREQUENT
-        mark = np.zeros(len(self.flat) + MIN_MATCH + 1, np.int64)
-        touching = self.first[hit[frequent]]
-        np.add.at(mark, touching, 1)
-        np.add.at(mark, touching + MIN_MATCH, -1)
-        touched = np.bincount(self.doc[np.cumsum(mark)[: len(self.flat)] > 0], minlength=len(self.counts))
-        needed = touched > TOUCHED * self.counts
-        used = ~frequent | needed[self.doc[self.first[hit]]]
-        hit, low, high = hit[used], low[used], high[used]
-        _, lead, kind = np.unique(low, return_index=True, return_inverse=True)
-        size, articles = index.articles(low[lead], high[lead], np.full(len(lead), -1))
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        mine = self.sketch
-        wanted = [np.empty(0, np.int64)]
-
-        def screened(pair: np.ndarray) -> np.ndarray:
-            """Of pairs those of sets of which none is over twice as large and whose sketches match."""
-            x, y = mine[pair // d, 4], theirs[pair % d, 4]
-            pair = pair[(y <= 2 * x) & (x <= 2 * y)]
-            return pair[matching(mine[pair // d], theirs[pair % d], WIDE)]
-
-        # the articles that rare seeds do for, pair by pair
-        doc = self.doc[self.first[hit]].astype(np.int64)
-        few = np.flatnonzero(~needed[doc])
-        few = few[np.argsort(doc[few], kind="stable")]
-        for piece in pieces(size[kind[few]], 0, len(few)):
-            at = few[piece]
-            t = size[kind[at]]
-            pair = distinct(np.repeat(doc[at] * d, t) + articles[np.repeat(start[kind[at]] - np.cumsum(t) + t, t) + np.arange(t.sum())])
-            wanted.append(screened(pair))
-        # the others, of whose equal seeds one counts
-        many = needed[doc]
-        doc, kind = np.divmod(distinct(doc[many] * max(1, len(lead)) + kind[many]), max(1, len(lead)))
-        # the articles of frequent seeds as bits, at most four bytes an article in place of eight
-        often = np.flatnonzero(size > d // 32)
-        bits = np.zeros((len(often), -(-d // 64) * 8), np.uint8)
-        for k, q in enumerate(often):
-            row = np.zeros(bits.shape[1] * 8, bool)
-            row[articles[start[q] : start[q] + size[q]]] = True
-            bits[k] = np.packbits(row)
-        bits, bit = bits.view(np.uint64), np.full(len(lead), -1)
-        bit[often] = np.arange(len(often))
-        bit = bit[kind]
-        many = np.flatnonzero(bit >= 0)
-        doc_many, bit = doc[many], bit[many]
-        doc, kind = np.delete(doc, many), np.delete(kind, many)
-        columns = [np.ascontiguousarray(theirs[:, c]) for c in (0, 1)]
-        own, sizes = mine[:, 4].astype(np.int64), theirs[:, 4].astype(np.int32)
-        reach, mine_reach = half_reach(theirs, WIDE), half_reach(mine, WIDE)
-        # a table of all pairs of some of these articles, filled and read in pieces of bounded size
-        step, some = max(1, TABLE // d), np.flatnonzero(needed)
-        place = np.cumsum(needed) - 1
-        doc, doc_many = place[doc], place[doc_many]
-        for base in range(0, len(some), step):
-            shared = np.zeros(min(step, len(some) - base) * d, bool)
-            for piece in pieces(size[kind], *np.searchsorted(doc, [base, base + step])):
-                t = size[kind[piece]]
-                at = np.repeat(start[kind[piece]] - np.cumsum(t) + t, t) + np.arange(t.sum())
-                shared[np.repeat((doc[piece] - base) * d, t) + articles[at]] = True
-            for piece in pieces(np.full(len(bit), bits.shape[1]), *np.searchsorted(doc_many, [base, base + step])):
-                if len(piece):
-                    edge = np.flatnonzero(np.r_[True, doc_many[piece][1:] != doc_many[piece][:-1]])
-                    together = np.bitwise_or.reduceat(bits[bit[piece]], edge, axis=0)
-                    shared.reshape(-1, d)[doc_many[piece][edge] - base] |= np.unpackbits(together.view(np.uint8), axis=1, count=d).view(bool)
-            # article by article, so that the columns of the other side stay in the cache
-            for a, row in zip(some[base:], shared.reshape(-1, d)):
-                # no similarity of a half between sets of which one is over twice as large; then half of the sketch, then all
-                b = np.flatnonzero(row & (sizes <= 2 * own[a]) & (2 * sizes >= own[a]))
-                if len(b):
-                    half = np.bitwise_count((columns[0][b] ^ mine[a, 0]) | (columns[1][b] ^ mine[a, 1]))
-                    b = b[half <= np.maximum(reach[b], mine_reach[a])]
-                    b = b[matching(np.broadcast_to(mine[a], (len(b), WIDTH)), theirs[b], WIDE)]
-                    wanted.append(a * d + b)
-        return distinct(np.concatenate(wanted))
+    def overlaps(self, index: Index, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(training number, evaluation number, words covered, spans) of the pairs, in order; zeros where they have no match."""
+        d = len(index.ids)
+        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // d))
+        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
+        end = self.first[seeds[which]] + MIN_MATCH - 1
+        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
+        at = np.searchsorted(wanted, mine * d + theirs)
+        words, parts = np.zeros((2, len(wanted)), np.int64)
+        words[at], parts[at] = covered, spans
+        return wanted // d, wanted % d, words, parts
 
 
 def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -479,16 +489,75 @@ def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"leader": pairs[:, 0], "copy": pairs[:, 1]})
 
 
-def read_index(path: str, shard: int) -> Index | None:
+def _fields(path: str, shard: int, names: list[str]) -> dict[str, memoryview] | None:
     files, at = pafs.FileSystem.from_uri(path)
     if files.get_file_info(f"{at}/shard={shard}").type == pafs.FileType.NotFound:
         return None
-    names = [i.path for i in files.get_file_info(pafs.FileSelector(f"{at}/shard={shard}")) if i.base_name.endswith(".parquet")]
-    table = pq.ParquetFile(files.open_input_file(names[0])).read(columns=[name for name, _ in Index.FIELDS])
-    return Index(**{name: np.frombuffer(table.column(name)[0].as_buffer(), kind) for name, kind in Index.FIELDS})
+    found = [i.path for i in files.get_file_info(pafs.FileSelector(f"{at}/shard={shard}")) if i.base_name.endswith(".parquet")]
+    table = pq.ParquetFile(files.open_input_file(found[0])).read(columns=names)
+    return {name: table.column(name)[0].as_buffer() for name in names}
+
+
+def read_index(path: str, shard: int) -> Index | None:
+    read = _fields(path, shard, [name for name, _ in Index.FIELDS])
+    return read and Index(**{name: np.frombuffer(read[name], kind) for name, kind in Index.FIELDS})
+
+
+def read_side(path: str, postings: str, shard: int) -> Side | None:
+    kinds = dict(Index.FIELDS)
+    names = ("ids", "sizes", "sketch")
+    read, more = _fields(path, shard, list(names)), _fields(postings, shard, [name for name, _ in Side.FIELDS])
+    if read is None or more is None:
+        return None
+    fields = {name: np.frombuffer(read[name], kinds[name]) for name in names} | {name: np.frombuffer(more[name], kind) for name, kind in Side.FIELDS}
+    return Side(lambda name: np.frombuffer(_fields(path, shard, [name])[name], kinds[name]), **fields)
+
+
+def _counted(cells: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, np.uint32)
+        for frame in frames:
+            for sets in frame["sets"]:
+                np.add.at(total, (tokens(np.frombuffer(sets, np.uint64)) & np.uint64(cells - 1)).astype(np.int64), np.uint32(1))
+        if total.any():
+            parts = np.minimum(total, 65535).astype(np.uint16).reshape(PARTS, -1)
+            yield pd.DataFrame({"part": np.arange(PARTS, dtype=np.int32), "n": [p.tobytes() for p in parts]})
+
+    return run
+
+
+def _rarity(frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts as bytes, exact up to 127, then by eighths of a doubling."""
+    total = sum(np.frombuffer(n, np.uint16).astype(np.int64) for n in frame["n"])
+    value = np.where(total < 128, total, np.minimum(255, 128 + 8 * np.log2(np.maximum(total, 128) / 128))).astype(np.uint8)
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "n": [value.tobytes()]})
+
+
+_rarities: dict[str, np.ndarray] = {}
+
+
+def read_rarity(path: str) -> np.ndarray:
+    """The table of counts; a worker keeps one.  Without evaluation articles it has one empty cell."""
+    if path not in _rarities:
+        files, at = pafs.FileSystem.from_uri(path)
+        names = [i.path for i in files.get_file_info(pafs.FileSelector(at)) if i.base_name.endswith(".parquet")]
+        rows = [row for name in names for row in pq.ParquetFile(files.open_input_file(name)).read().to_pylist()]
+        _rarities.clear()
+        _rarities[path] = np.frombuffer(b"".join(r["n"] for r in sorted(rows, key=lambda r: r["part"])) or b"\0", np.uint8)
+    return _rarities[path]
+
+
+def _posted(path: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard, sizes, sets in zip(frame["shard"], frame["sizes"], frame["sets"]):
+                made = Side.postings(np.frombuffer(sets, np.uint64), np.frombuffer(sizes, np.int64), read_rarity(path))
+                yield pd.DataFrame({"shard": np.array([shard], np.int32)} | {name: [made[name].astype(kind).tobytes()] for name, kind in Side.FIELDS})
+
+    return run
 
 
-def _streamed(path: str, shards: int, min_words: int, similarity: float):
+def _streamed(path: str, postings: str, rarity: str, shards: int, min_words: int, similarity: float):
     schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")] + [("similarity", pa.float64())])
 
     def through(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -501,12 +570,15 @@ def _streamed(path: str, shards: int, min_words: int, similarity: float):
             copy = np.flatnonzero(ids[first][kind] != ids)
             none = pa.nulls(len(copy), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none, none.cast(pa.float64())], schema=schema)
-            streams.append((ids[lead], Stream(flat[np.repeat(lead, counts)], counts[lead])))
+            streams.append((ids[lead], Stream(flat[np.repeat(lead, counts)], counts[lead], read_rarity(rarity))))
         for shard in range(shards):
-            index = read_index(path, shard)
-            for mine, stream in streams if index is not None else []:
-                a, b, covered, spans, value = stream.overlaps(index, similarity)
-                yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
+            side, index = read_side(path, postings, shard), None
+            for mine, stream in streams if side is not None else []:
+                wanted, value = stream.alike(side, similarity)
+                if len(wanted):
+                    index = index or read_index(path, shard)
+                    a, b, covered, spans = stream.overlaps(index, wanted)
+                    yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -533,7 +605,11 @@ def alike_representatives(train: DataFrame, evaluation: DataFrame, similarity: f
     blocks = evaluation.select("article_id", "title", "content").mapInArrow(_word_blocks(shards, min_words), "shard int, ids binary, copy_of binary, counts binary, flat binary")
     schema = "shard int, " + ", ".join(f"{name} binary" for name, _ in Index.FIELDS) + ", copies binary"
     index, path = stored(blocks.groupBy("shard").applyInPandas(_indexed, schema), "index", "shard")
-    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, shards, min_words, similarity), "train_id long, eval_id long, words long, spans long, similarity double")
+    cells = min(CELLS, max(1 << 16, 1 << int(size // 6).bit_length()))
+    counts = index.select("sets").mapInPandas(_counted(cells), "part int, n binary").groupBy("part").applyInPandas(_rarity, "part int, n binary")
+    _, rarity = stored(counts, "rarity")
+    _, postings = stored(index.select("shard", "sizes", "sets").mapInPandas(_posted(rarity), "shard int, " + ", ".join(f"{name} binary" for name, _ in Side.FIELDS)), "postings", "shard")
+    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, postings, rarity, shards, min_words, similarity), "train_id long, eval_id long, words long, spans long, similarity double")
     found, _ = stored(found, "overlaps")
     pairs = found.where("words is not null").groupBy("train_id", "eval_id").agg(F.max("words").alias("words"), F.max("spans").alias("spans"), F.max("similarity").alias("similarity"))
     copies = found.where("words is null").select(F.col("eval_id").alias("leader"), F.col("train_id").alias("copy")).distinct()

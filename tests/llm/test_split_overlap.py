@@ -151,3 +151,27 @@ def test_notices_that_many_share(spark):
     got = S.alike_representatives(df.where("article_id < 1000"), df.where("article_id >= 1000"))[0].collect()
     assert {(r["train_id"], r["eval_id"]) for r in got} == want and len(want) > n
     assert all(0.5 <= r["similarity"] <= 1 and r["spans"] >= 1 for r in got)
+
+
+def test_candidates_are_few_and_miss_none():
+    """Texts made of common phrases share sequences with nearly all others; few pairs get looked at, all alike ones among them."""
+    rng = np.random.default_rng(8)
+    phrases = [rng.integers(0, 1 << 62, 9).astype(np.uint64) for _ in range(60)]
+
+    def text(n):
+        return [np.r_[phrases[rng.integers(60)], rng.integers(0, 1 << 62, rng.integers(8, 16)).astype(np.uint64)] for _ in range(n)]
+
+    base = [text(int(rng.integers(3, 14))) for _ in range(400)]
+    near = [[*x[: len(x) - k % len(x)], *text(k % 4)] for k, x in enumerate(base[:200])]
+    flat = lambda docs: (np.concatenate([np.concatenate(x) for x in docs]), np.array([sum(map(len, x)) for x in docs]))
+    evaluation, train = flat(base), flat(near + [text(10) for _ in range(200)])
+    index = S.Index.build(np.arange(400), *evaluation)
+    for cells in (1, 1 << 4, 1 << 20):
+        counts = np.bincount((S.tokens(index.sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+        rarity = np.minimum(counts, 255).astype(np.uint8)
+        side = S.Side(lambda name: index.sets, ids=index.ids, sizes=index.sizes, sketch=index.sketch, **S.Side.postings(index.sets, index.sizes, rarity))
+        stream = S.Stream(*train, rarity)
+        mine, theirs = ([set(x.tolist()) for x in np.split(sets, np.cumsum(sizes)[:-1])] for sets, sizes in ((stream.sets & np.uint64((1 << 48) - 1), stream.sizes), (index.sets, index.sizes)))
+        alike = {a * 400 + b for a in range(400) for b in range(400) if 2 * len(mine[a] & theirs[b]) >= len(mine[a] | theirs[b])}
+        assert len(alike) > 60 and set(stream.alike(side, 0.5)[0].tolist()) == alike
+        assert len(stream.candidates(side)) < 400 * 400 // 200
