@@ -21,16 +21,17 @@ by how often the evaluation articles have a sequence, rarest first (counted over
 of them in a table of bounded size; where two share a cell the order stays one order,
 so that no pair is lost).  The pairs are screened by a sketch of their sets (that of
 the near-duplicate operator, with a wider margin) and verified exactly on the full
-sets of three-word sequences, which the index holds beside the texts; those that are
-alike have their matches extended, located and merged, and those without a match have
-no words and no spans.  So no set and no text moves for it, and the parts of an index
-that matches need are read for shards with alike pairs only.
+sets of three-word sequences, which the index holds beside the texts.  The words of
+training articles with an alike partner go to its shard once more, where the matches of
+the pairs are extended, located and merged; those without a match have no words and no
+spans.  So no set moves, and no text of an article without a partner; the search reads
+the sets of a shard, and the shard's index is read once.
 
 The index of a shard holds the Burrows-Wheeler transform as positions by word, a
 suffix array sampled at every ``RATE``-th word, and the intervals of all
 sequences of ``MIN_MATCH`` words, from which the searches start.  It is written to the
-shared folder; a task reads one shard at a time and streams all articles it holds
-through it, up to ``HELD`` words.
+shared folder; a task of the search reads the sets of one shard at a time and streams
+all articles it holds through them, up to ``HELD`` words.
 
 Copies of one text are indexed and streamed once, under one id, and take part in
 its pairs by a join at the end, so a hot group of copies costs one search.
@@ -322,11 +323,11 @@ def left_maximal(index: Index, flat: np.ndarray, begin: np.ndarray, first: np.nd
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 5
 
 
-class Stream:
-    """A batch of training articles with the hashes of their seeds, in the order of the hashes, and the first halves of their sets."""
+class Seeds:
+    """Training articles with the hashes of their seeds, in the order of the hashes."""
 
-    def __init__(self, flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
-        self.flat, self.counts = flat, counts
+    def __init__(self, flat: np.ndarray, counts: np.ndarray):
+        self.flat = flat
         self.start = np.concatenate([[0], np.cumsum(counts)])[:-1]
         self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         hashed = seed_hashes(flat)
@@ -336,6 +337,24 @@ class Stream:
         good = np.flatnonzero((offset % STEP == 0) & (self.doc[: len(at)] == self.doc[MIN_MATCH - 1 : MIN_MATCH - 1 + len(at)]))
         self.first = good[np.argsort(hashed[good])]
         self.hashed = hashed[self.first]
+
+    def overlaps(self, index: Index, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(training number, evaluation number, words covered, spans) of the pairs, in order; zeros where they have no match."""
+        d = len(index.ids)
+        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first]], self.first, self.hashed)
+        end = self.first[which] + MIN_MATCH - 1
+        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
+        at = np.searchsorted(wanted, mine * d + theirs)
+        words, parts = np.zeros((2, len(wanted)), np.int64)
+        words[at], parts[at] = covered, spans
+        return wanted // d, wanted % d, words, parts
+
+
+class Stream:
+    """A batch of training articles with the first halves of their sets."""
+
+    def __init__(self, flat: np.ndarray, counts: np.ndarray, rarity: np.ndarray):
+        self.flat, self.edge = flat, np.concatenate([[0], np.cumsum(counts)])
         of, sets, _ = W.shingles(flat, counts)
         self.sketch = sketches(of, sets, len(counts))
         self.sizes = np.bincount(of, minlength=len(counts))
@@ -391,18 +410,6 @@ class Stream:
         good = value >= similarity
         return wanted[good], value[good]
 
-    def overlaps(self, index: Index, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(training number, evaluation number, words covered, spans) of the pairs, in order; zeros where they have no match."""
-        d = len(index.ids)
-        seeds = np.flatnonzero(np.isin(self.doc[self.first], wanted // d))
-        which, first, low, high, grown = left_maximal(index, self.flat, self.start[self.doc[self.first[seeds]]], self.first[seeds], self.hashed[seeds])
-        end = self.first[seeds[which]] + MIN_MATCH - 1
-        mine, theirs, covered, spans = pairs_of_matches(index, self.doc, end, first, low, high, grown, wanted)
-        at = np.searchsorted(wanted, mine * d + theirs)
-        words, parts = np.zeros((2, len(wanted)), np.int64)
-        words[at], parts[at] = covered, spans
-        return wanted // d, wanted % d, words, parts
-
 
 def pairs_of_matches(index: Index, doc: np.ndarray, end: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, grown: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
     """(training number, evaluation number, words covered, spans) of the ``wanted`` pairs."""
@@ -558,7 +565,7 @@ def _posted(path: str):
 
 
 def _streamed(path: str, postings: str, rarity: str, shards: int, min_words: int, similarity: float):
-    schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")] + [("similarity", pa.float64())])
+    schema = pa.schema([("train_id", pa.int64()), ("copy_of", pa.int64()), ("shard", pa.int32())] + [(c, pa.binary()) for c in ("words", "numbers", "similarities")])
 
     def through(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         streams = []
@@ -568,17 +575,23 @@ def _streamed(path: str, postings: str, rarity: str, shards: int, min_words: int
             lead = np.zeros(len(ids), bool)
             lead[first] = True
             copy = np.flatnonzero(ids[first][kind] != ids)
-            none = pa.nulls(len(copy), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), none, none, none.cast(pa.float64())], schema=schema)
+            none = pa.nulls(len(copy), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[copy]), pa.array(ids[first][kind][copy]), pa.nulls(len(copy), pa.int32()), none, none, none], schema=schema)
             streams.append((ids[lead], Stream(flat[np.repeat(lead, counts)], counts[lead], read_rarity(rarity))))
         for shard in range(shards):
-            side, index = read_side(path, postings, shard), None
+            side = read_side(path, postings, shard)
             for mine, stream in streams if side is not None else []:
                 wanted, value = stream.alike(side, similarity)
                 if len(wanted):
-                    index = index or read_index(path, shard)
-                    a, b, covered, spans = stream.overlaps(index, wanted)
-                    yield pa.RecordBatch.from_pydict({"train_id": mine[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
+                    # a row an article, with the numbers of its partners
+                    a, b = np.divmod(wanted, len(side.ids))
+                    lead = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                    rows = {
+                        "train_id": mine[a[lead]], "copy_of": pa.nulls(len(lead), pa.int64()), "shard": np.full(len(lead), shard, np.int32),
+                        "words": [stream.flat[stream.edge[k] : stream.edge[k + 1]].tobytes() for k in a[lead]],
+                        "numbers": [x.tobytes() for x in np.split(b, lead[1:])], "similarities": [x.tobytes() for x in np.split(value, lead[1:])],
+                    }
+                    yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -596,6 +609,29 @@ def _streamed(path: str, postings: str, rarity: str, shards: int, min_words: int
     return run
 
 
+def _matched(path: str):
+    """Words and spans of the alike pairs; rows come by shard."""
+    schema = pa.schema([(c, pa.int64()) for c in ("train_id", "eval_id", "words", "spans")] + [("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, at = None, -1
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            for rows in np.split(np.arange(len(shards)), np.flatnonzero(shards[1:] != shards[:-1]) + 1):
+                for start in range(0, len(rows), STREAM):
+                    part = batch.slice(rows[start], len(rows[start : start + STREAM]))
+                    if shards[rows[0]] != at:
+                        at = int(shards[rows[0]])
+                        index = read_index(path, at)
+                    texts, numbers = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("words", np.uint64), ("numbers", np.int64)))
+                    wanted = np.repeat(np.arange(len(texts)), list(map(len, numbers))) * len(index.ids) + np.concatenate(numbers)
+                    a, b, covered, spans = Seeds(np.concatenate(texts), np.array(list(map(len, texts)))).overlaps(index, wanted)
+                    value = np.frombuffer(b"".join(part.column("similarities").to_pylist()), np.float64)
+                    yield pa.RecordBatch.from_pydict({"train_id": part.column("train_id").to_numpy()[a], "eval_id": index.ids[b], "words": covered, "spans": spans, "similarity": value}, schema=schema)
+
+    return run
+
+
 def alike_representatives(train: DataFrame, evaluation: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Alike pairs (train_id, eval_id, words, spans, similarity) of different texts' representatives, and the copies (leader, copy) of
     training and of evaluation texts, from two tables of (article_id, title, content)."""
@@ -609,10 +645,12 @@ def alike_representatives(train: DataFrame, evaluation: DataFrame, similarity: f
     counts = index.select("sets").mapInPandas(_counted(cells), "part int, n binary").groupBy("part").applyInPandas(_rarity, "part int, n binary")
     _, rarity = stored(counts, "rarity")
     _, postings = stored(index.select("shard", "sizes", "sets").mapInPandas(_posted(rarity), "shard int, " + ", ".join(f"{name} binary" for name, _ in Side.FIELDS)), "postings", "shard")
-    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, postings, rarity, shards, min_words, similarity), "train_id long, eval_id long, words long, spans long, similarity double")
-    found, _ = stored(found, "overlaps")
-    pairs = found.where("words is not null").groupBy("train_id", "eval_id").agg(F.max("words").alias("words"), F.max("spans").alias("spans"), F.max("similarity").alias("similarity"))
-    copies = found.where("words is null").select(F.col("eval_id").alias("leader"), F.col("train_id").alias("copy")).distinct()
+    found = train.select("article_id", "title", "content").mapInArrow(_streamed(path, postings, rarity, shards, min_words, similarity), "train_id long, copy_of long, shard int, words binary, numbers binary, similarities binary")
+    found, _ = stored(found, "alike")
+    alike = found.where("shard is not null").select("shard", "train_id", "words", "numbers", "similarities").repartition(2 * shards, "shard").sortWithinPartitions("shard")
+    matched, _ = stored(alike.mapInArrow(_matched(path), "train_id long, eval_id long, words long, spans long, similarity double"), "overlaps")
+    pairs = matched.groupBy("train_id", "eval_id").agg(F.max("words").alias("words"), F.max("spans").alias("spans"), F.max("similarity").alias("similarity"))
+    copies = found.where("shard is null").select(F.col("copy_of").alias("leader"), F.col("train_id").alias("copy")).distinct()
     return pairs, copies, index.select("copies").mapInPandas(_listed, "leader long, copy long")
 
 
